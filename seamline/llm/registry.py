@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import matroska, mixing, sharding, warc
+from seamline.llm import decontamination, matroska, mixing, sharding, superminhash, warc
 from seamline.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def op4_matroska_packets(spark: SparkSession, folder: str) -> DataFrame:
     return matroska.read_back(matroska.store(table(spark, folder, "documents")))
 
 
+def op5_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85, bands=20)
+
+
+def op7_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id")
     return sharding.place(documents, sharding.lookup_table(sharding.shard_names(spark)))
@@ -26,5 +34,5 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, mixing.target_weights(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_matroska_packets, op8_lookup_sharding, op10_pfair_mixing)}
-ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_matroska_packets, op5_superminhash, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
+ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
