@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint: it survives lost executors and ends the lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder, which goes when the application ends.
+
+    For larger tables than ``cut``: columnar, compressed, and later reads take only the columns they need.
+    """
+    spark = df.sparkSession
+    where = f"{shared_folder(spark).rstrip('/')}/seamline-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
