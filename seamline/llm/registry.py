@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import decontamination, matroska, mixing, sharding, superminhash, warc
+from seamline.llm import crossparse, decontamination, matroska, mixing, segments, sharding, superminhash, warc
+from seamline.llm.crossparse import held_out
 from seamline.sources.tables import table
 
 
@@ -12,6 +13,14 @@ def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, folder, "pages"))).select(*warc.COLUMNS)
 
 
+def op2_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(~held_out())
+    model = segments.fit(documents, labels)
+    scored = segments.score(documents, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_segments", "top_score")
+
+
 def op4_matroska_packets(spark: SparkSession, folder: str) -> DataFrame:
     return matroska.read_back(matroska.store(table(spark, folder, "documents")))
 
@@ -20,6 +29,12 @@ def op5_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85, bands=20)
 
 
+def op6_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = crossparse.fit(documents.where(~held_out()))
+    return crossparse.identify(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -34,5 +49,5 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, mixing.target_weights(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_matroska_packets, op5_superminhash, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
 ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
