@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import crossparse, decontamination, matroska, mixing, segments, sharding, superminhash, warc
+from seamline.llm import chunking, crossparse, decontamination, matroska, mixing, segments, sharding, superminhash, warc
 from seamline.llm.crossparse import held_out
 from seamline.sources.tables import table
 
@@ -21,6 +21,10 @@ def op2_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_segments", "top_score")
 
 
+def op3_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.repeated_passages(table(spark, folder, "documents"))
+
+
 def op4_matroska_packets(spark: SparkSession, folder: str) -> DataFrame:
     return matroska.read_back(matroska.store(table(spark, folder, "documents")))
 
@@ -49,5 +53,5 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, mixing.target_weights(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
 ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
