@@ -14,11 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.llm.common import ALNUM, SLOTS, Words, narrowed, sliced, texts_of
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import cut, stored
 
 WINDOW = 10
-#: So many of a window's rarest terms have their lists intersected.
-RAREST = 3
+#: So many of a window's rarest terms have their lists intersected before the words are checked.
+RAREST = 2
 
 
 def _slots(terms: DataFrame | None) -> np.ndarray | None:
@@ -101,7 +101,7 @@ def build_index(df: DataFrame, terms: DataFrame | None = None, key: str = "doc_i
 
 
 def windows(items: DataFrame, counts: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(item, item_hash, parts, part, term, place): the rarest terms of each window of each item, with their places in the item.
+    """(item, item_hash, term, place, others): each window's rarest term with its place in the item, and the next rarest ones.
 
     A window is ``size`` consecutive terms, or a whole shorter item. Windows that share their rarest terms are one.
     Every window is covered. Terms that the texts lack count 0, so that their windows match nothing.
@@ -113,21 +113,30 @@ def windows(items: DataFrame, counts: DataFrame, size: int = WINDOW, rarest: int
     inside = known.withColumn("start", F.explode(F.sequence(first, last)))
     rank = F.row_number().over(W.partitionBy("item", "item_hash", "start").orderBy("n", "place"))
     chosen = inside.withColumn("rank", rank).where(F.col("rank") <= rarest)
-    picked = chosen.groupBy("item", "item_hash", "start").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("picked"))
-    groups = picked.select("item", "item_hash", "picked").distinct().withColumn("parts", F.size("picked"))
-    return groups.select("item", "item_hash", F.xxhash64("picked").alias("set"), "parts", F.posexplode("picked").alias("part", "p")).select("item", "item_hash", "set", "parts", "part", "p.place", "p.term")
+    picked = chosen.groupBy("item", "item_hash", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "place", "term"))).alias("p"))
+    other = lambda x: F.struct(x["place"].alias("place"), x["term"].alias("term"))
+    others = F.transform(F.slice("p", 2, rarest), other)
+    return picked.select("item", "item_hash", F.col("p")[0]["term"].alias("term"), F.col("p")[0]["place"].alias("place"), others.alias("others")).distinct()
+
+
+def window_terms(sought: DataFrame) -> DataFrame:
+    return sought.select(F.explode(F.concat(F.array("term"), F.transform("others", lambda o: o["term"]))).alias("term")).distinct()
 
 
 def alignments(index: DataFrame, sought: DataFrame) -> DataFrame:
     """(doc, text_hash, item, item_hash, shift): where all rarest terms of a window stand at one offset between item and text.
 
-    One join on the term, then the intersection of the offset-adjusted lists as one grouping. Term lists are joined with
-    the few sought terms, so a frequent term's list is only split, not multiplied.
+    The rarest term's lists are moved by its place in the item; the next terms' lists, moved likewise, are intersected
+    with what is left, joined by text and term. So a more frequent term's positions are looked up, never multiplied.
     """
     postings = index.where("term IS NOT NULL").select("doc", "text_hash", "term", "positions")
-    met = postings.join(sought, "term").select("doc", "text_hash", "item", "item_hash", "set", "parts", "part", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("shift"))
-    agreed = met.groupBy("doc", "text_hash", "item", "item_hash", "set", "shift", "parts").agg(F.count_distinct("part").alias("n")).where("n = parts")
-    return agreed.select("doc", "text_hash", "item", "item_hash", "shift").distinct()
+    led = postings.join(sought, "term").select("doc", "text_hash", "item", "item_hash", "others", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("shift"))
+    alone = led.where("size(others) = 0").select("doc", "text_hash", "item", "item_hash", "shift")
+    asked = led.select("doc", "text_hash", "item", "item_hash", "shift", F.xxhash64("others").alias("set"), F.size("others").alias("parts"), F.explode("others").alias("o"))
+    asked = asked.withColumn("term", F.col("o.term")).withColumn("at", F.col("shift") + F.col("o.place")).drop("o").where("at >= 0").distinct()
+    met = asked.join(postings, ["doc", "text_hash", "term"]).where("array_contains(positions, at)")
+    agreed = met.groupBy("doc", "text_hash", "item", "item_hash", "shift", "set", "parts").agg(F.count_distinct("term", "at").alias("n")).where("n = parts")
+    return agreed.select("doc", "text_hash", "item", "item_hash", "shift").union(alone).distinct()
 
 
 def verify(df: DataFrame, found: DataFrame, items: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +183,7 @@ def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key:
     items = cut(item_terms(benchmark, item, item_text))
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
     sought = cut(windows(items, term_counts(df, vocabulary, text), size))
-    index = cut(build_index(df, sought.select("term"), key, text))
+    index = stored(build_index(df, window_terms(sought), key, text))
     found = cut(alignments(index, sought))
     return index.where("term IS NULL").select("doc", "text_hash", "n_words"), verify(df, found, items, size, key, text)
 
