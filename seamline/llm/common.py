@@ -150,3 +150,14 @@ def narrowed(df, ids, key: str):
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS))
     taken = ids.select(slot.alias("_slot")).distinct()
     return df.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+
+
+def without(df, ids, key: str):
+    """Rows of ``df`` whose key isn't in ``ids`` (null keys stay). Rows in hash slots that no id has pass without a shuffle."""
+    from pyspark.sql import functions as F
+
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS))
+    taken = F.broadcast(ids.select(slot.alias("_slot")).distinct())
+    marked = df.withColumn("_slot", slot)
+    sure = marked.join(taken, "_slot", "left_anti").drop("_slot")
+    return sure.unionByName(marked.join(taken, "_slot", "left_semi").drop("_slot").join(ids, key, "left_anti"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.llm.common import sliced, texts_of
 
@@ -160,21 +161,27 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     return Model(texts, chars)
 
 
-def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, bits_per_char): one row per row of ``df``, whole texts, no shuffle.
+def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """(key, lang_pred, score, bits_per_char), or all columns and these where ``carry`` is set (columns of these names are replaced): one row per row of ``df``, whole texts, no shuffle.
 
     ``und`` with score 0 for a null text, a text without letters, or a model without languages; ties go to the first
     language by name. ``score`` is the winner's share of tempered odds. Other columns aren't read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [key, "lang_pred", "score", "bits_per_char"]
+    new = ["lang_pred", "score", "bits_per_char"]
+    if carry:
+        slim = df.drop(*new)
+        column, olds = text, slim.columns
+    else:
+        slim = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+        column, olds = "_text", [key]
 
     def run(batches):
         m = shared.value
         labels = np.array([*m.langs, "und"], object)
         for batch in batches:
-            for part in sliced(batch, "_text"):
-                texts = [t.replace("\0", " ") for t in texts_of(part, "_text").to_pylist()]
+            for part in sliced(batch, column):
+                texts = [t.replace("\0", " ") for t in texts_of(part, column).to_pylist()]
                 codes = np.frombuffer("\0".join([*map(folded, texts), ""]).encode("utf-32-le", "replace"), np.uint32)
                 kinds = m.kinds[codes]
                 keep = (kinds != 0) | np.concatenate(([True], kinds[:-1] != 0))
@@ -195,11 +202,11 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     best, score, low = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
                 none = (letters == 0) | (not m.langs)
                 best = np.where(none, len(m.langs), best)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels[best], pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(np.where(none, 0.0, low))], names=names)
+                old = [part.column(c) for c in olds]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(labels[best], pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(np.where(none, 0.0, low))], names=[*olds, *new])
 
-    slim = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits_per_char double")
+    schema = T.StructType([slim.schema[c] for c in olds]).add("lang_pred", "string").add("score", "double").add("bits_per_char", "double")
+    return slim.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):

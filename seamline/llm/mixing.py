@@ -53,7 +53,7 @@ def period(plan: DataFrame, ticks: int = TICKS) -> DataFrame:
             F.zip_with(state["done"], F.sequence(F.lit(0), F.size("p") - 1), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
             # floor and ceiling of a division of whole numbers
             lambda s, x: F.when(
-                F.expr("1") * F.floor(x["c"] * ticks / s["share"]) <= t,
+                F.floor(x["c"] * ticks / s["share"]) <= t,
                 F.struct(F.ceil((x["c"] + 1) * ticks / s["share"]).alias("d"), x["i"].alias("i")),
             ),
         )
@@ -78,13 +78,14 @@ def ranked(df: DataFrame, source: str, key: str, rows: int) -> DataFrame:
     ranges = max(1, -(-rows // BUCKET_ROWS))
     width = -(-SPACE // ranges)
     drawn = df.withColumn("_name", F.col(source).cast("string")).withColumn("_draw", draw(F.col(key))).withColumn("_range", F.expr(f"_draw div {width}"))
+    # one key for window and join, so that rows are shuffled once
+    cell = F.concat(F.col("_range").cast("string"), F.when(F.col("_name").isNull(), "-").otherwise("+"), F.coalesce("_name", F.lit("")))
+    drawn = drawn.withColumn("_cell", cell)
     before = W.partitionBy("_name").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    counts = drawn.groupBy("_name", "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    counts = counts.select(F.col("_name").alias("_n"), F.col("_range").alias("_r"), "_before")
-    inside = W.partitionBy("_name", "_range").orderBy("_draw", F.col(key).asc_nulls_first())
+    counts = drawn.groupBy("_name", "_range", "_cell").count().select("_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_cell").orderBy("_draw", F.col(key).asc_nulls_first())
     placed = drawn.withColumn("_in", F.row_number().over(inside) - 1)
-    joined = placed.join(counts, placed["_name"].eqNullSafe(counts["_n"]) & (placed["_range"] == counts["_r"]))
-    return joined.withColumn("_rank", F.col("_in") + F.col("_before")).drop("_draw", "_range", "_in", "_n", "_r", "_before")
+    return placed.join(counts, "_cell").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_draw", "_range", "_in", "_cell", "_before")
 
 
 def target_weights(df: DataFrame, source: str = "source", power: float = 0.5) -> DataFrame:

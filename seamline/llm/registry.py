@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import chunking, crossparse, decontamination, matroska, mixing, segments, sharding, superminhash, warc
+from seamline.llm import chunking, crossparse, decontamination, licenses, matroska, mixing, segments, sharding, superminhash, warc
 from seamline.llm.crossparse import held_out
 from seamline.sources.tables import table
 
@@ -48,10 +48,14 @@ def op8_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(documents, sharding.lookup_table(sharding.shard_names(spark)))
 
 
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, folder, "documents")))
+
+
 def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mix(documents, mixing.target_weights(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op10_pfair_mixing)}
-ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op9_licence_scan, op10_pfair_mixing)}
+ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op9_licence_scan": licenses.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
