@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, SLOTS, Words, narrowed, sliced, texts_of
+from seamline.llm.common import ALNUM, SLOTS, Words, sliced, texts_of
+from seamline.plans.lineage import stored
 
 SAMPLE = 60_000
 TERMS = 1 << 16
@@ -111,7 +112,8 @@ def training(df: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     if total > bound:
         chosen = chosen.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
     slim = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_text"))
-    return narrowed(slim, chosen, "_k").join(chosen, "_k").select("label", "_text")
+    # about ``bound`` rows of two numbers, whatever the input is
+    return stored(slim.join(F.broadcast(chosen), "_k").select("label", "_text"))
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE) -> Model:
