@@ -38,7 +38,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, bytes]:
     _, offsets, data = texts.buffers()
     wide = pa.types.is_large_string(texts.type)
     ends = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    whole = bytes(data)[ends[0] : ends[-1]] if data is not None and len(ends) else b""
+    whole = bytes(memoryview(data)[ends[0] : ends[-1]]) if data is not None and len(ends) else b""
     return ends - ends[0], whole
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline.llm.common import SPACED, Words, mix, narrowed, runs, sliced, texts_of
 from seamline.llm.components import connected
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import cut, stored
 
 #: Bits of a shingle's value; the upper 12 hold the text's place in a step while a step is sorted.
 BITS = 52
@@ -165,15 +165,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     wordless texts are linked with nothing; an empty table gives an empty result. Other columns aren't read.
     """
     source = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    found = cut(sketch(source, "doc", "text", width, bands, rows))
+    found = stored(sketch(source, "doc", "text", width, bands, rows))
     classes = found.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("rep"))
     reps = found.join(classes, ["n_shingles", "d1", "d2"]).where("doc = rep").dropDuplicates(["doc"])
     places = reps.select("doc", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
     heads = places.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("texts"), F.sum("n").alias("mass")).where("texts > 1")
-    placed = cut(places.join(heads, ["band", "value"]).select("band", "value", "doc", "n", "leader", "texts"))
+    placed = stored(places.join(heads, ["band", "value"]).select("band", "value", "doc", "n", "leader", "texts"))
 
     wanted = placed.select("doc").distinct()
-    sets = cut(shingles(narrowed(source, wanted, "doc").join(wanted, "doc", "left_semi"), "doc", "text", width).dropDuplicates(["doc"]))
+    sets = stored(shingles(narrowed(source, wanted, "doc").join(wanted, "doc", "left_semi"), "doc", "text", width).dropDuplicates(["doc"]))
     fits = lambda n, m: (F.least(n, m) * 100) >= F.greatest(n, m) * percent
     meets = linked(percent)
 
