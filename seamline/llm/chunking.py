@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut where the gear hash of its last 16 bytes has five zero bits on top and no other such place lies in the
-LEAST bytes before it. Whether a place is a cut depends on the 32 bytes before it only, so chunks after an insertion
-are the same again. Chunks are deduplicated by digest; runs of chunks that a text shares with the first text that has
-them are joined, extended word by word in both directions, and reported where they are long enough.
+A text is cut where the gear hash of its last 16 bytes is larger than at any of the RADIUS places before and not smaller
+than at any of the RADIUS places after. Whether a place is a cut depends on the 40 bytes before and the 24 after it
+only, so chunks after an insertion are the same again; and as each neighbourhood has its maximum, repetitive text is cut
+as well. Chunks are deduplicated by digest; runs of chunks that a text shares with the first text that has them are
+joined, extended word by word in both directions, and reported where they are long enough.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamline.llm.common import _hashed, _WINDOW, mix, raw, sliced, texts_of
+from seamline.llm.common import _WINDOW, _hashed, mix, narrowed, raw, sliced, texts_of
 from seamline.plans.lineage import cut, stored
 
 SPAN = 16
-ZEROS = 5
-LEAST = 16
+RADIUS = 24
 MOST = 256
 #: Passages of over 50 words.
 MIN_WORDS = 51
 #: Bytes beyond a run in which its extension is sought: 50 words and what a cut may be away.
-REACH = 768
+REACH = 512
+#: A place in one long number: so many bits for the byte in its text.
+SHIFT = 26
+SLOTS_OF_DIGESTS = 1 << 22
 GEAR = (mix(np.arange(7, 263, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -40,14 +43,30 @@ def gear(b: np.ndarray) -> np.ndarray:
 
 def cuts(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks begin, and the end of all: texts' offsets, hash cuts, and cuts of longer chunks at MOST bytes."""
-    if not len(b):
+    n = len(b)
+    if not n:
         return np.zeros(1, np.int64)
     h = gear(b)
-    place = np.flatnonzero(h >> np.uint16(SPAN - ZEROS) == 0) + 1
-    text = np.searchsorted(offsets, place, side="right") - 1
-    place = place[place - offsets[np.minimum(text, len(offsets) - 1)] >= SPAN]  # the hash must lie within one text
-    place = place[np.diff(place, prepend=-LEAST) >= LEAST] if len(place) else place
-    edges = np.union1d(offsets, place)
+    blind = (offsets[:-1][:, None] + np.arange(SPAN + RADIUS)).reshape(-1)
+    h[blind[blind < n]] = 0  # here the hash or what it is compared with would reach into the text before
+    most = np.concatenate((np.zeros(RADIUS, np.uint16), h, np.zeros(RADIUS, np.uint16)))
+    for step in (1, 2, 4, 8):
+        most[:-step] = np.maximum(most[:-step], most[step:])
+    most[:-8] = np.maximum(most[:-8], most[8:])  # of 24 places from each on
+    right = h >= most[RADIUS + 1 : RADIUS + 1 + n]
+    edges = np.union1d(offsets, np.flatnonzero((h > most[:n]) & right) + 1)
+    # text of a period below RADIUS has only equal maxima: there every RADIUS bytes the next one cuts, at the same phase in all texts
+    for i in np.flatnonzero(np.diff(edges) > MOST):
+        a, z = edges[i], edges[i + 1]
+        equal = np.flatnonzero((h[a:z] >= most[a:z]) & right[a:z] & (h[a:z] > 0)) + 1
+        chosen, last = [], 0
+        while last + RADIUS < z - a and (k := np.searchsorted(equal, last + RADIUS)) < len(equal):
+            last = int(equal[k])
+            chosen.append(a + last)
+        if chosen:
+            edges = np.append(edges, chosen)
+    edges = np.unique(edges)
+    edges = edges[edges <= n]
     sizes = np.diff(edges)
     long = np.flatnonzero(sizes > MOST)
     if len(long):
@@ -68,10 +87,11 @@ def digests(b: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", wanted: np.ndarray | None = None) -> DataFrame:
     """(doc, start, size, words, digest): the chunks of every text, in bytes. Null and empty texts have none.
 
-    ``words`` counts the words that begin in the chunk. Chunks cover the text without gaps.
+    ``words`` counts the words that begin in the chunk; the digest covers bytes and size. Chunks cover the text without
+    gaps; with ``wanted``, a bitmap over hash slots of digests, only chunks in its slots are returned.
     """
 
     def run(batches):
@@ -82,17 +102,23 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 edges = cuts(b, offsets)
                 if len(edges) < 2:
                     continue
-                begins = (b > 32) & np.concatenate(([True], b[:-1] <= 32))
-                begins[offsets[:-1][offsets[:-1] < len(b)]] |= b[offsets[:-1][offsets[:-1] < len(b)]] > 32
+                blank = b <= 32
+                begins = ~blank & np.concatenate(([True], blank[:-1]))
+                heads = offsets[:-1][offsets[:-1] < len(b)]
+                begins[heads] = ~blank[heads]
                 counted = np.concatenate(([0], np.cumsum(begins)))
                 owner = np.searchsorted(offsets, edges[:-1], side="right") - 1
+                sizes = np.diff(edges)
+                digest = mix(digests(b, edges) + sizes.astype(np.uint64))
+                keep = np.flatnonzero(wanted[digest & np.uint64(len(wanted) - 1)]) if wanted is not None else np.arange(len(sizes))
+                first, owner = edges[:-1][keep], owner[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(owner)),
-                        pa.array((edges[:-1] - offsets[owner]).astype(np.int32)),
-                        pa.array(np.diff(edges).astype(np.int32)),
-                        pa.array(np.diff(counted[edges]).astype(np.int32)),
-                        pa.array(digests(b, edges).view(np.int64)),
+                        pa.array((first - offsets[owner]).astype(np.int32)),
+                        pa.array(sizes[keep].astype(np.int32)),
+                        pa.array(np.diff(counted[edges])[keep].astype(np.int32)),
+                        pa.array(digest[keep].view(np.int64)),
                     ],
                     names=["doc", "start", "size", "words", "digest"],
                 )
@@ -101,24 +127,47 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return slim.mapInArrow(run, "doc long, start int, size int, words int, digest long")
 
 
-def firsts(found: DataFrame) -> DataFrame:
-    """(digest, size, copies, keeper, keeper_start): chunks that occur again, with their first place by (doc, start).
+def firsts(found: DataFrame, narrow: bool) -> DataFrame:
+    """(digest, keeper, keeper_start): chunks that several texts have, with their first place by (doc, start).
 
-    Copies are counted and the least place is taken before rows are shuffled.
+    The least and the largest place are taken before rows are shuffled. A place is one long number where ids and sizes
+    leave room for that (``narrow``), else a decimal; both order alike.
     """
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
-    most = found.groupBy("digest", "size").agg(F.count("*").alias("copies"), F.min(place.cast("decimal(31,0)")).alias("place")).where("copies > 1")
-    keeper = F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
-    start = (F.col("place") - keeper.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast("int")
-    return most.select("digest", "size", "copies", keeper.alias("keeper"), start.alias("keeper_start"))
-
-
-def shared_runs(found: DataFrame) -> DataFrame:
-    """(doc, keeper, start, keeper_start, size, words): unbroken runs of chunks that a text shares with the first text that has them."""
-    met = found.join(firsts(found), ["digest", "size"]).where("doc <> keeper").withColumn("shift", F.col("keeper_start") - F.col("start"))
+    if narrow:
+        place, unit = F.col("doc") * (1 << SHIFT) + F.col("start"), F.lit(1 << SHIFT)
+    else:
+        unit = F.lit(1 << 31).cast("decimal(10,0)")
+        place = (F.col("doc").cast("decimal(20,0)") * unit + F.col("start").cast("decimal(10,0)")).cast("decimal(31,0)")
+    text_of = lambda c: F.floor(F.col(c) / unit).cast("long") if not narrow else F.shiftright(c, SHIFT)
+    ends = found.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(text_of("low") != text_of("high"))
+    start = F.col("low") % unit if narrow else F.col("low") - text_of("low").cast("decimal(20,0)") * unit
+    return ends.select("digest", text_of("low").alias("keeper"), start.cast("int").alias("keeper_start"))
+
+
+def slot_bitmap(found: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` hash slots the digests take. The bitmap is put together on the executors; bits / 8 bytes come to the driver."""
+    slot = F.pmod("digest", F.lit(bits)) + 1
+    parts = found.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out, size = np.zeros(bits, bool), 1 << 15
+    for row in parts.toLocalIterator():
+        out[(row.bucket - 1) * size : row.bucket * size] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+    return out
+
+
+def shared_runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, keeper, start, keeper_start, size, words): unbroken runs of chunks that a text shares with the first text that has them.
+
+    Texts are cut twice rather than stored as chunks; the second time only chunks in the hash slots of shared digests
+    are passed on. The slots are a bitmap of SLOTS_OF_DIGESTS bits whatever the input is.
+    """
+    size = df.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.max(F.octet_length(text))).first()
+    narrow = size[0] is not None and size[0] >= 0 and size[1] < 1 << (62 - SHIFT) and (size[2] or 0) < 1 << SHIFT
+    shared = stored(firsts(chunks(df, key, text), narrow))
+    wanted = slot_bitmap(shared, SLOTS_OF_DIGESTS)
+    met = chunks(df, key, text, wanted).join(shared, "digest").where("doc <> keeper").withColumn("shift", F.col("keeper_start") - F.col("start"))
     line = W.partitionBy("doc", "keeper", "shift").orderBy("start")
     new = F.coalesce((F.lag(F.col("start") + F.col("size")).over(line) != F.col("start")).cast("int"), F.lit(1))
-    marked = met.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    marked = met.select("doc", "keeper", "shift", "start", "size", "words").withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
     runs = marked.groupBy("doc", "keeper", "shift", "run").agg(F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"))
     return runs.select("doc", "keeper", "start", (F.col("start") + F.col("shift")).alias("keeper_start"), "size", "words")
 
@@ -130,38 +179,34 @@ def _alike(a, b):
     return F.when(at > 0, at - 1).otherwise(F.size(same).cast("long")).cast("int")
 
 
-def _head(words, n):
-    """Bytes of the first ``n`` words and the blanks between them."""
-    return F.octet_length(F.array_join(F.slice(words, 1, n), " "))
-
-
 def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``runs`` with start, keeper_start, size and words after extension to both sides by equal blank-separated words.
 
-    Each side's surroundings are cut from its text once, and compared; only texts with runs are read again.
+    A run takes its own surroundings, REACH bytes on each side, to the keeper's text; the words that agree are added.
+    Only texts with runs are read again.
     """
-    rows = runs.select(F.col("doc"), F.col("keeper"), "start", "keeper_start", "size", "words")
-    asked = rows.select("doc", "start", "size").union(rows.select("keeper", "keeper_start", "size")).distinct()
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text).cast("string"), "UTF-8").alias("b")).dropDuplicates(["doc"])
-    got = asked.join(texts, "doc")
-    first = F.greatest(F.lit(0), F.col("start") - REACH)
-    cut_out = lambda a, n: F.substring(F.col("b"), a + 1, n).cast("string")
-    around = cut(
-        got.select(
-            "doc", "start", "size",
-            F.reverse(F.split(F.regexp_replace(cut_out(first, F.col("start") - first), "[\\x00-\\x20]", " "), " ")).alias("before"),
-            F.split(F.regexp_replace(cut_out(F.col("start") + F.col("size"), F.lit(REACH)), "[\\x00-\\x20]", " "), " ").alias("after"),
-        )
-    )
-    own = rows.join(around, ["doc", "start", "size"]).withColumnRenamed("before", "b1").withColumnRenamed("after", "a1")
-    theirs = around.select(F.col("doc").alias("keeper"), F.col("start").alias("keeper_start"), "size", F.col("before").alias("b2"), F.col("after").alias("a2"))
-    both = own.join(theirs, ["keeper", "keeper_start", "size"]).withColumn("l", _alike(F.col("b1"), F.col("b2"))).withColumn("r", _alike(F.col("a1"), F.col("a2")))
-    grown = both.withColumn("lb", _head(F.col("b1"), F.col("l"))).withColumn("rb", _head(F.col("a1"), F.col("r")))
-    full = lambda side, n: F.size(F.filter(F.slice(side, 1, n), lambda w: w != ""))
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text).cast("string"), "UTF-8").alias("b"))
+
+    def joined(rows: DataFrame, doc: str) -> DataFrame:
+        ids = rows.select(F.col(doc).alias("doc")).distinct()
+        one = narrowed(texts, ids, "doc").select(F.col("doc").alias("_doc"), "b")
+        return rows.join(one, F.col(doc) == F.col("_doc")).drop("_doc")
+
+    first = lambda at: F.greatest(F.lit(0), F.col(at) - REACH)
+    before = lambda at: F.substring(F.col("b"), first(at) + 1, F.col(at) - first(at))
+    after = lambda at: F.substring(F.col("b"), F.col(at) + F.col("size") + 1, F.lit(REACH))
+    own = joined(runs, "doc").withColumns({"b1": before("start"), "a1": after("start")}).drop("b")
+    both = joined(own, "keeper").withColumns({"b2": before("keeper_start"), "a2": after("keeper_start")}).drop("b")
+    words = lambda c: F.split(F.regexp_replace(F.col(c).cast("string"), "[\\x00-\\x20]", " "), " ")
+    cut_up = both.select("doc", "keeper", "start", "keeper_start", "size", "words", *[F.reverse(words(c)).alias(c) for c in ("b1", "b2")], *[words(c).alias(c) for c in ("a1", "a2")])
+    met = cut_up.select("doc", "keeper", "start", "keeper_start", "size", "words", F.slice("b1", F.lit(1), _alike(F.col("b1"), F.col("b2"))).alias("l"), F.slice("a1", F.lit(1), _alike(F.col("a1"), F.col("a2"))).alias("r"))
+    length = lambda c: F.octet_length(F.array_join(c, " "))
+    full = lambda c: F.size(F.filter(c, lambda w: w != ""))
+    grown = met.withColumns({"lb": length("l"), "rb": length("r")})
     return grown.select(
         "doc", "keeper", (F.col("start") - F.col("lb")).alias("start"), (F.col("keeper_start") - F.col("lb")).alias("keeper_start"),
-        (F.col("size") + F.col("lb") + F.col("rb")).alias("size"), (F.col("words") + full(F.col("b1"), F.col("l")) + full(F.col("a1"), F.col("r"))).alias("words"),
-    )
+        (F.col("size") + F.col("lb") + F.col("rb")).alias("size"), (F.col("words") + full("l") + full("r")).alias("words"),
+    ).distinct()
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -170,10 +215,9 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", mi
     Each passage is reported for every text that has it; ``keeper_id`` is the first such text by id, whose copy stays,
     and the others' copies may go. Starts and sizes are in bytes of the UTF-8 text. Overlapping passages of one text
     with one keeper are joined. ``key`` must be a whole number; rows without one, null and empty texts share nothing;
-    of rows that repeat a key, one is looked at again for extension. Other columns aren't read.
+    rows that repeat a key are taken for one text. Other columns aren't read.
     """
-    found = stored(chunks(df, key, text))
-    runs = stored(shared_runs(found))
+    runs = stored(shared_runs(df, key, text))
     long = runs.where(F.col("words") >= min_words)
     short = extended(runs.where(F.col("words") < min_words), df, key, text).where(F.col("words") >= min_words)
     passages = cut(long.unionByName(short))
