@@ -99,8 +99,8 @@ def match_api_keys(spark, folder):
 
 def search(spark, folder):
     f = Facts(spark, folder)
-    return usage.search("s1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions)).unionByName(
-        usage.search("card1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions))
+    return usage.search("card1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions)).unionByName(
+        usage.search("s1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions)).where("kind = 'file'")
     )
 
 
@@ -217,7 +217,7 @@ ORACLES = {
     "index_summary": f"""WITH {lens_sql('endpoints', 'functions', 'files', 'api_calls', 'property_accesses')} SELECT * FROM (SELECT repo, count(*) AS files FROM files GROUP BY ALL) JOIN (SELECT repo, count(*) AS functions FROM functions GROUP BY ALL) USING (repo)
       JOIN (SELECT repo, count(*) AS calls, count(endpoint_pattern) AS resolved_calls FROM api_calls GROUP BY ALL) USING (repo) JOIN (SELECT repo, count(*) AS reads FROM property_accesses GROUP BY ALL) USING (repo)""",
     "match_api_keys": linked(f"{_TIER(_T1)} UNION ALL {_TIER(_T2)}", extra=_MATCH),
-    "search": linked(f"{_search('s1')} UNION ALL {_search('card1')}", "files", extra=f"{_USAGE}, {_FILE_APIS}, {_RADIUS}"),
+    "search": linked(f"SELECT * FROM ({_search('s1')}) WHERE kind = 'file' UNION ALL {_search('card1')}", "files", extra=f"{_USAGE}, {_FILE_APIS}, {_RADIUS}"),
     "dependents": f"WITH RECURSIVE {lens_sql('imports')}, c AS (SELECT repo, resolved_file AS file, file AS dependent FROM imports WHERE resolved_file IS NOT NULL AND resolved_file <> file UNION SELECT c.repo, c.file, i.file FROM c JOIN imports i ON i.repo = c.repo AND i.resolved_file = c.dependent) SELECT * FROM c WHERE file <> dependent",
     "graph_nodes": linked("SELECT * FROM gn", extra=_GRAPH),
     "graph_edges": linked("SELECT * FROM ge", extra=_GRAPH),
