@@ -60,7 +60,8 @@ def children(types: DataFrame, dtos: DataFrame, fields: DataFrame) -> DataFrame:
 
 def type_edges(roots: DataFrame, dtos: DataFrame, fields: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The edges of all types that can be reached from (repo, type) within ``depth`` steps."""
-    fresh = roots.select("repo", "type").where("type IS NOT NULL").distinct()
+    # few rows against what they come from, and read in every round
+    fresh = cut(roots.select("repo", "type").where("type IS NOT NULL").distinct())
     seen, found = fresh, []
     for _ in range(depth):
         level = cut(children(fresh, dtos, fields))
@@ -77,7 +78,7 @@ def walk_paths(asked: DataFrame, edges: DataFrame, dtos: DataFrame) -> DataFrame
 
     One join with the edges for each step of the longest path.
     """
-    todo = asked.select("repo", "type", "path").distinct()
+    todo = cut(asked.select("repo", "type", "path").distinct())
     steps = todo.agg(F.max(F.size("path"))).first()[0] or 0
     known = dtos.select("repo", F.col("id").alias("_id"), F.lit(True).alias("_known"))
     edge = edges.select("repo", F.col("type").alias("cur"), F.col("segment").alias("_key"), "next").distinct()
@@ -107,6 +108,7 @@ def walk_paths(asked: DataFrame, edges: DataFrame, dtos: DataFrame) -> DataFrame
 def expand(roots: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(repo, root, path, type): every path within each distinct (repo, type); a DTO below itself isn't entered again."""
     rows = roots.select("repo", F.col("type").alias("root"), F.array().cast("array<string>").alias("path"), "type").where("type IS NOT NULL").distinct().withColumn("seen", F.array().cast("array<string>"))
+    rows = cut(rows)
     found, step = [rows], edges.select("repo", "type", "segment", "next")
     for _ in range(depth):
         own = F.when(kind(F.col("type")) == "dto", name(F.col("type")))

@@ -156,7 +156,8 @@ ORACLES = {
         *_NEED, extra=_ISSUES,
     ),
     "contract_scope": linked(
-        "SELECT * FROM (SELECT repo, count(*) AS calls FROM linked l WHERE file LIKE '%5.tsx' OR EXISTS (FROM property_accesses a WHERE a.repo = l.repo AND a.api_call_id = l.id AND a.file LIKE '%5.tsx') GROUP BY repo) FULL JOIN (SELECT a.repo, count(*) AS reads FROM property_accesses a LEFT JOIN linked l ON l.repo = a.repo AND l.id = a.api_call_id WHERE a.file LIKE '%5.tsx' OR l.file LIKE '%5.tsx' GROUP BY a.repo) USING (repo)"
+        "SELECT * FROM (SELECT repo, count(*) AS calls FROM linked l WHERE EXISTS (FROM here h WHERE h.repo = l.repo AND h.id = l.id) OR EXISTS (FROM property_accesses a WHERE a.repo = l.repo AND a.api_call_id = l.id AND a.file LIKE '%5.tsx') GROUP BY repo) FULL JOIN (SELECT repo, count(*) AS reads FROM property_accesses a WHERE EXISTS (FROM kept k WHERE k.repo = a.repo AND k.id = a.id) GROUP BY repo) USING (repo)",
+        extra="here AS (SELECT DISTINCT repo, id FROM linked WHERE file LIKE '%5.tsx'), kept AS (SELECT DISTINCT b.repo, b.id FROM property_accesses b WHERE b.file LIKE '%5.tsx' OR EXISTS (FROM here h WHERE h.repo = b.repo AND h.id = b.api_call_id))",
     ),
     "type_walk": linked(f"SELECT repo, type, path, status, step, reason, {_described('parent')} AS parent FROM walked", *_NEED, extra=_WALK),
     "dto_field_usage": linked(
