@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from seamline.plans.lineage import cut
 
 
+ROWS_A_FILE = 250_000
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link; the component is the smallest node that can be reached.
 
@@ -19,7 +22,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     before = None
     while True:
-        edges = cut(edges)
+        # as few files as the links fill
+        edges = cut(edges if before is None else edges.coalesce(1 + before[0] // ROWS_A_FILE))
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
