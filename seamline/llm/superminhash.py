@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.llm.common import SPACED, Words, mix, narrowed, runs, sliced, texts_of
@@ -22,10 +23,18 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort((text.astype(np.uint64) << np.uint64(BITS)) | (value >> np.uint64(64 - BITS)))
     if len(keys):
         keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    starts = np.searchsorted(keys, np.arange(len(words.starts), dtype=np.uint64) << np.uint64(BITS))
+    # the last end is the number of keys: its mark may need a bit more than there is
+    marks = np.arange(len(words.starts) - 1, dtype=np.uint64) << np.uint64(BITS)
+    starts = np.append(np.searchsorted(keys, marks), len(keys))
     return keys & np.uint64((1 << BITS) - 1), starts
 
 
+def set_digests(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(2 x texts): a 128-bit digest of each text's shingle set, in two numbers."""
+    total = np.concatenate((np.zeros((2, 1), np.uint64), np.cumsum([mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D))], axis=1, dtype=np.uint64)), axis=1)
+    return (total[:, starts[1:]] - total[:, starts[:-1]]).view(np.int64)
+
+
 def signatures(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SuperMinHash signatures (texts x size). Texts without elements keep the largest value.
 
@@ -79,30 +88,30 @@ def sketch(df: DataFrame, key: str, text: str, width: int, bands: int, rows: int
                 chosen = np.zeros((len(n), bands), np.uint64)
                 for r in range(rows):
                     chosen = mix(chosen * np.uint64(0xA24BAED4963EE407) + found[:, r::rows] + np.uint64(r + 1))
-                total = np.concatenate((np.zeros((2, 1), np.uint64), np.cumsum([mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D))], axis=1, dtype=np.uint64)), axis=1)
-                digests = total[:, starts[1:]] - total[:, starts[:-1]]
+                digests = set_digests(values, starts)
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen[n > 0].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), lists], names=names)
 
     slim = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
     kind = slim.schema[key].dataType.simpleString()
     return slim.mapInArrow(run, f"`{key}` {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def shingles(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, shingles): each text's whole shingle set, as sorted numbers."""
+def shingles(df: DataFrame, text: str, width: int, node: str = "node", digest: tuple[str, str] = ("d1", "d2")) -> DataFrame:
+    """(node, shingles): the whole shingle set, as sorted numbers, of each text whose set has the digest that its row states."""
 
     def run(batches):
         for batch in batches:
             for part in sliced(batch, "_text"):
                 values, starts = shingle_sets(Words(texts_of(part, "_text"), SPACED), width)
+                found = set_digests(values, starts)
+                same = (part.column(1).to_numpy() == found[0]) & (part.column(2).to_numpy() == found[1])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "shingles"]).filter(pa.array(same))
 
-    slim = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, shingles array<long>")
+    slim = df.select(F.col(node), *digest, F.col(text).cast("string").alias("_text"))
+    return slim.mapInArrow(run, "node long, shingles array<long>")
 
 
 #: Larger buckets are compared in blocks. Texts and shingles that one block holds on average.
@@ -153,6 +162,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """(key, n_shingles, component_id, kept): groups of texts whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     1. Texts with equal sets form a class (digests are aggregated before the shuffle); one text stands for each class.
+       A class has the number of its smallest key; where rows repeat a key so that it is the smallest of several
+       classes, the first of them has it and the others a number by hash.
     2. Signatures of bands * rows values are banded. In each bucket every text is compared with the bucket's leader,
        the smallest id: as many pairs as texts. Links are confirmed on the full sets, and grouped.
     3. Buckets that still hold several groups are compared further, so that no link is lost: small ones by pairs of
@@ -166,14 +177,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """
     source = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     found = stored(sketch(source, "doc", "text", width, bands, rows))
-    classes = found.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("rep"))
-    reps = found.join(classes, ["n_shingles", "d1", "d2"]).where("doc = rep").dropDuplicates(["doc"])
-    places = reps.select("doc", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
+    firsts = found.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc").alias("rep")).where("rep IS NOT NULL")
+    again = F.row_number().over(W.partitionBy("rep").orderBy("n_shingles", "d1", "d2")) > 1
+    classes = stored(firsts.withColumn("node", F.when(again, F.xxhash64("rep", "n_shingles", "d1", "d2")).otherwise(F.col("rep"))))
+    one = found.join(classes, ["n_shingles", "d1", "d2"]).where("doc = rep").select("node", "rep", "n_shingles", "d1", "d2", "bands")
+    # rows that repeat a key and a set
+    reps = one.dropDuplicates(["node"])
+    places = reps.select("node", "rep", "n_shingles", "d1", "d2", F.posexplode("bands").alias("band", "value")).withColumnsRenamed({"node": "doc", "n_shingles": "n"})
     heads = places.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("texts"), F.sum("n").alias("mass")).where("texts > 1")
-    placed = stored(places.join(heads, ["band", "value"]).select("band", "value", "doc", "n", "leader", "texts"))
+    placed = stored(places.join(heads, ["band", "value"]).select("band", "value", "doc", "rep", "d1", "d2", "n", "leader", "texts"))
 
-    wanted = placed.select("doc").distinct()
-    sets = stored(shingles(narrowed(source, wanted, "doc").join(wanted, "doc", "left_semi"), "doc", "text", width).dropDuplicates(["doc"]))
+    # from here on doc is the number of a class
+    wanted = placed.select(F.col("doc").alias("node"), F.col("rep").alias("doc"), "d1", "d2").distinct()
+    texts_ = narrowed(source, wanted, "doc").join(wanted, "doc")
+    sets = stored(shingles(texts_, "text", width).dropDuplicates(["node"]).withColumnRenamed("node", "doc"))
     fits = lambda n, m: (F.least(n, m) * 100) >= F.greatest(n, m) * percent
     meets = linked(percent)
 
@@ -214,7 +231,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     matched = blocks.groupBy("band", "value", "i", "j").applyInArrow(compare_blocks(percent), "a long, b long")
 
     final = connected(links.unionByName(more).unionByName(matched).distinct())
-    named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    # a component has the smallest key of its texts
+    within = classes.select("node", "rep").join(final, "node")
+    least = within.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = within.join(least, "component").select("node", "least")
+    named = classes.join(labels, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("least", "rep").alias("component_id"))
     result = found.select("doc", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc")
     return result.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))

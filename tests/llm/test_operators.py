@@ -84,6 +84,25 @@ def test_near_duplicate_family_with_chains(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 85)
 
 
+def test_near_duplicates_of_many_short_texts(spark):
+    """Batches of more short texts than one step takes, some of them without words."""
+    rows = [(i, None if i % 5 == 0 else f"a{i // 10} b{i // 10} c d{i % 10 // 6}") for i in range(10_000)]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=3, percent=85, bands=20).collect()
+    first, want = {}, {}
+    for i, text in rows:
+        want[i] = (2 if text else 0, first.setdefault(text, i) if text else i)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    """One key with two texts: each of them has a near copy, and the copies' groups stay apart."""
+    a, b = words(150, 21), words(160, 22)
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (3, b + " y"), (4, words(50, 23)), (5, a + " x")]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85, bands=20).collect()
+    want = [(1, 148, 1), (1, 158, 1), (1, 158, 1), (2, 149, 1), (3, 159, 1), (4, 48, 4), (5, 149, 1)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (60, 60), (70, 40), (70, 41), (None, 3)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
