@@ -5,18 +5,32 @@ k-th block is released at floor((k - 1) * ticks / a_i) and due at ceil(k * ticks
 whose next block is released, the one with the earliest deadline runs (ties: by name). As the shares sum to ``ticks``
 every deadline is met, so at any slot t each source has run t * a_i / ticks blocks within less than one block. The
 schedule repeats after ``ticks`` slots, where all deviations are zero: one period is computed, and block k of a source
-is placed by arithmetic. So no task walks through the blocks, and a period has as many rows as ``ticks`` says.
+is placed by arithmetic. A period has as many rows as ``ticks`` says.
+
+Shares are whole, so they differ from the weights. Where no ``ticks`` is given there are as many as blocks, and a share
+is the weight's quota but for less than 1: at slot t a source is less than 1 + t / ticks blocks from its weight, so
+less than two for as long as no source has ended. Only a source whose weight would get no share takes 1 from others.
 
 Where a source ends before the others, its later slots stay empty: no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from heapq import heapify, heappop, heappush, heapreplace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.plans.lineage import cut
+
 TICKS = 1000
+#: Slots of a period for each source at least, where they follow the table's size.
+SOURCE_TICKS = 16
+#: A longer period isn't broadcast.
+BROADCAST_TICKS = 1 << 20
 BLOCK = 64
 #: Rows that one group of the ranking holds on average.
 BUCKET_ROWS = 4096
@@ -31,7 +45,8 @@ def draw(key: Column) -> Column:
 def shares(weights: DataFrame, ticks: int = TICKS) -> DataFrame:
     """(name, share): whole shares of ``ticks`` by largest remainder, at least 1 for each source of (name, weight).
 
-    ``ticks`` must be as large as the number of sources. Null or negative weights count as 0.
+    Each source has 1 and the rest follows the weights, as in ORACLE. ``ticks`` must be as large as the number of
+    sources. Null or negative weights count as 0.
     """
     w = weights.select("name", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"))
     everything = W.partitionBy(F.lit(0))
@@ -69,6 +84,63 @@ def period(plan: DataFrame, ticks: int = TICKS) -> DataFrame:
     return each.withColumn("turn", (F.row_number().over(W.partitionBy("name").orderBy("tick")) - 1).cast("long"))
 
 
+def whole_shares(weights: list[float], ticks: int) -> list[int]:
+    """Shares of ``ticks`` by largest remainder of the exact quotas; one that would be 0 takes 1 from those most above their quotas."""
+    exact = [Fraction(w) for w in weights]
+    if not any(exact):
+        exact = [Fraction(1)] * len(exact)
+    total = sum(exact)
+    quota = [w * ticks / total for w in exact]
+    share = [q.numerator // q.denominator for q in quota]
+    for i in sorted(range(len(quota)), key=lambda i: (share[i] - quota[i], i))[: ticks - sum(share)]:
+        share[i] += 1
+    givers = [(q - s, i) for i, (q, s) in enumerate(zip(quota, share, strict=True)) if s > 1]
+    heapify(givers)
+    for i, s in enumerate(share):
+        if not s:
+            share[i] = 1
+            short, giver = givers[0]
+            share[giver] -= 1
+            heapreplace(givers, (short + 1, giver)) if share[giver] > 1 else heappop(givers)
+    return share
+
+
+def earliest_deadline(share: list[int], ticks: int) -> list[int]:
+    """The source that runs in each slot of one period, by its place in ``share``."""
+    done, runs = [0] * len(share), []
+    released = [(0, i) for i in range(len(share))]
+    ready: list[tuple[int, int]] = []
+    for t in range(ticks):
+        while released and released[0][0] <= t:
+            i = heappop(released)[1]
+            heappush(ready, (-(-(done[i] + 1) * ticks // share[i]), i))
+        i = heappop(ready)[1]
+        runs.append(i)
+        done[i] += 1
+        heappush(released, (done[i] * ticks // share[i], i))
+    return runs
+
+
+def weighted_period(weights: DataFrame, ticks: int) -> DataFrame:
+    """period() of whole_shares() of (name, weight)."""
+    weight = F.greatest(F.coalesce(F.nanvl(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    row = weights.agg(F.array_sort(F.collect_list(F.struct("name", weight.alias("weight")))).alias("p")).where(F.size("p") > 0)
+
+    def run(batches):
+        for batch in batches:
+            for sources in batch.column(0).to_pylist():
+                share = whole_shares([s["weight"] for s in sources], ticks)
+                done = [0] * len(share)
+                found = []
+                for t, i in enumerate(earliest_deadline(share, ticks)):
+                    found.append((sources[i]["name"], share[i], done[i], t))
+                    done[i] += 1
+                names, shares_, turns, at = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shares_, pa.int64()), pa.array(turns, pa.int64()), pa.array(at, pa.int64())], names=["name", "share", "turn", "tick"])
+
+    return row.mapInArrow(run, "name string, share long, turn long, tick long")
+
+
 def ranked(df: DataFrame, source: str, key: str, rows: int) -> DataFrame:
     """``df`` with ``_name`` and ``_rank``: the place of each row within its source, by (draw, key), from 0.
 
@@ -93,24 +165,33 @@ def target_weights(df: DataFrame, source: str = "source", power: float = 0.5) ->
     return df.groupBy(F.col(source).cast("string").alias("name")).agg(F.round(F.pow(F.count("*").cast("double"), F.lit(power)), 6).alias("weight"))
 
 
-def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "doc_id", block: int = BLOCK, ticks: int = TICKS) -> DataFrame:
+def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "doc_id", block: int = BLOCK, ticks: int | None = None) -> DataFrame:
     """``df`` with ``block`` (of its source, from 0), ``slot`` (of the whole mixture) and ``position`` (of the row: order by it).
 
     Rows of equal key are ranked among themselves in any order. Null sources form a source of their own; sources that
     ``weights`` lacks get the least share. ``position`` is unique; gaps stand where a source has ended. Columns of
-    these names are replaced. An empty table gives an empty result.
+    these names are replaced. An empty table gives an empty result. With ``ticks``, and no more sources than that, the
+    period has this length and shares(); else it follows the numbers of blocks and sources, by whole_shares().
     """
     kept = [c for c in df.columns if c.lower() not in ("block", "slot", "position")]
-    present = df.select(F.col(source).cast("string").alias("name")).distinct()
+    sizes = df.groupBy(F.col(source).cast("string").alias("name")).count()
+    present = sizes.select("name")
+    size = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("sources")).first()
     known = weights.select(F.col("name").alias("_n"), F.col("weight"))
-    plan = shares(present.join(known, present["name"].eqNullSafe(known["_n"]), "left").select("name", "weight"), ticks)
-    slots = period(plan, ticks).select(F.col("name").alias("_n"), "share", "turn", "tick")
-    rows = ranked(df.select(*kept), source, key, df.count())
+    targets = present.join(known, present["name"].eqNullSafe(known["_n"]), "left").select("name", "weight")
+    if ticks is not None and size.sources <= ticks:
+        plan = shares(targets, ticks)
+        slots = period(plan, ticks)
+    else:
+        ticks = max(TICKS, -(-size.rows // block) + size.sources, SOURCE_TICKS * size.sources)
+        slots = cut(weighted_period(targets, ticks))
+        plan = slots.where("turn = 0").select("name", "share")
+    slots = slots.select(F.col("name").alias("_n"), "share", "turn", "tick")
+    rows = ranked(df.select(*kept), source, key, size.rows)
     rows = rows.withColumn("block", F.expr(f"_rank div {block}")).withColumn("_row", F.col("_rank") % block)
-    # the period has ``ticks`` rows whatever the input is
     shared = F.broadcast(plan.select(F.col("name").alias("_s"), F.col("share").alias("_share")))
     rows = rows.join(shared, F.col("_name").eqNullSafe(F.col("_s"))).withColumn("_turn", F.col("block") % F.col("_share"))
-    found = rows.join(F.broadcast(slots), F.col("_name").eqNullSafe(F.col("_n")) & (F.col("_turn") == F.col("turn")))
+    found = rows.join(F.broadcast(slots) if ticks <= BROADCAST_TICKS else slots, F.col("_name").eqNullSafe(F.col("_n")) & (F.col("_turn") == F.col("turn")))
     slot = F.expr(f"(block div share) * {ticks} + tick")
     return found.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("_row")).select(*kept, "block", "slot", "position")
 

@@ -54,7 +54,7 @@ def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "source")
-    return mixing.mix(documents, mixing.target_weights(documents))
+    return mixing.mix(documents, mixing.target_weights(documents), ticks=mixing.TICKS)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op9_licence_scan, op10_pfair_mixing)}

@@ -249,6 +249,23 @@ def test_mixing(odd, none, spark):
     assert mixing.mix(none, mixing.target_weights(none)).count() == 0
 
 
+@pytest.mark.parametrize("large, small, others", [(139.6, 45.2842, 19), (30.0, 1.0, 1100)])
+def test_mixing_keeps_to_the_weights(spark, large, small, others):
+    rows = [("big", 2000), *((f"s{i:04}", max(1, 4000 // others)) for i in range(others))]
+    docs = spark.createDataFrame([(k * 10_000 + i, name) for k, (name, n) in enumerate(rows) for i in range(n)], "doc_id long, source string")
+    weights = spark.createDataFrame([(name, large if name == "big" else small) for name, _ in rows], "name string, weight double")
+    got = mixing.mix(docs, weights, block=1).collect()
+    assert len(got) == docs.count() == len({r.position for r in got})
+    slots, total = defaultdict(list), large + small * others
+    for r in got:
+        slots[r.source].append(r.slot)
+    end = min(max(s) for s in slots.values())  # until then every source has blocks
+    for name, found in slots.items():
+        weight = (large if name == "big" else small) / total
+        for k, slot in enumerate(sorted(s for s in found if s <= end)):
+            assert abs(k - slot * weight) < 2 and abs(k + 1 - (slot + 1) * weight) < 2
+
+
 def test_warc_records(spark):
     pages = spark.createDataFrame([(1, "http://a/x", "<html lang='EN'><title>A &amp; B</title><script>no</script><p>Hi <b>you</b></p><a href='/l'>link</a>"), (2, None, None), (3, "u", ""), (3, "u", "")], "page_id long, url string, html string")
     got = warc.derivatives(warc.responses(pages)).collect()
