@@ -4,7 +4,7 @@ A suffix automaton of labelled text stands for each language. A text is parsed g
 occur in that text; the language that needs the fewest phrases, each weighed by the bits that point to a phrase, wins.
 
 The automata are fitted on a bounded sample: ``docs`` texts a language, drawn by hash, of which ``chars`` characters in
-all are used. Everything else covers whole texts: a text is parsed in pieces of PIECE characters, all of them.
+all are used, from places in the whole text that a hash chooses. Everything else covers whole texts: a text is parsed in pieces of PIECE characters, all of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from seamline.llm.common import sliced, texts_of
 DOCS = 96
 CHARS = 20_000
 PIECE = 512
+#: The most frequent letters have a column of their own in the automata; the others' transitions are looked up.
 LETTERS = 120
 #: Bits of advantage that halve the odds of the other languages by this many times less.
 TEMPER = 8.0
@@ -31,6 +32,9 @@ TEMPER = 8.0
 def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS, chars: int = CHARS) -> DataFrame:
     """(lang, text): at most ``docs`` rows a language and 4 * chars / docs characters a row, drawn by the key's hash.
 
+    The characters of a row begin at a place of its whole text that the hash chooses, and go on from the text's start
+    where it ends.
+
     One draw for each of ``docs`` hash buckets; minima are aggregated before the shuffle, and the text is read for the
     drawn rows only.
     """
@@ -39,11 +43,15 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     drawn = rows.where(F.length("_text") > 0).groupBy("_lang", F.pmod("_h", F.lit(docs)).alias("b")).agg(F.min("_h").alias("_m"))
     # at most ``docs`` rows for each language
     picked = rows.join(F.broadcast(drawn.select(F.col("_lang").alias("l"), "_m")), (F.col("_lang") == F.col("l")) & (F.col("_h") == F.col("_m")))
-    return picked.select(F.col("_lang").alias("lang"), F.substring("_text", 1, 4 * chars // docs).alias("text"), "_h").dropDuplicates(["lang", "_h"]).select("lang", "text")
+    size = F.length("_text")
+    place = F.pmod(F.xxhash64("_h"), size).cast("int")
+    most = 4 * chars // docs
+    turned = F.concat(F.substring("_text", place + 1, F.lit(most)), F.when(place > 0, F.concat(F.lit(" "), F.substring("_text", F.lit(1), F.least(place, F.lit(most))))).otherwise(""))
+    return picked.select(F.col("_lang").alias("lang"), F.substring(turned, 1, most).alias("text"), "_h").dropDuplicates(["lang", "_h"]).select("lang", "text")
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The transitions (states x width; 0: none) of the suffix automaton of a sequence of codes below ``width``."""
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of a sequence of codes."""
     go, link, longest = [{}], [-1], [0]
     last = 0
     for c in codes:
@@ -69,6 +77,12 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
+    return go
+
+
+def automaton(codes: list[int], width: int) -> np.ndarray:
+    """The transitions (states x width; 0: none) of the suffix automaton of a sequence of codes below ``width``."""
+    go = transitions(codes)
     out = np.zeros((len(go), width), np.int32)
     for i, row in enumerate(go):
         for c, t in row.items():
@@ -97,23 +111,45 @@ class Model:
             for c in joined[lang]:
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        self.kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+        self.kinds = np.zeros(sys.maxunicode + 1, np.int32)
         self.kinds[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = 1
-        for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:letters]):
+        for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))):
             self.kinds[ord(c)] = i + 2
-        self.width = int(self.kinds.max()) + 1
-        tables, self.roots, self.bits = [], [], []
+        self.codes = int(self.kinds.max()) + 1
+        self.width = min(self.codes, letters + 2)
+        tables, rare, self.roots, self.bits = [], [], [], []
         base = 0
         for lang in self.langs:
             codes = squeeze(self.kinds[np.frombuffer(joined[lang].encode("utf-32-le", "replace"), np.uint32)]).tolist()
-            table = automaton(codes, self.width)
-            tables.append(np.where(table > 0, table + base, 0).astype(np.int32))
+            go = transitions(codes)
+            table = np.zeros((len(go), self.width), np.int32)
+            for i, row in enumerate(go):
+                for c, t in row.items():
+                    if c < self.width:
+                        table[i, c] = t + base
+                    else:
+                        rare.append(((i + base) * self.codes + c, t + base))
+            tables.append(table)
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(codes))))
             base += len(table)
         # one row in front stands for "none", so that root 0 is never a target
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
         self.roots, self.bits = np.array(self.roots, np.int32), np.array(self.bits)
+        rare.sort()
+        self.rare_keys, self.rare_next = np.array([r[0] for r in rare], np.int64), np.array([r[1] for r in rare], np.int32)
+
+    def follow(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states (languages x texts) after the codes ``char`` of the texts; 0: none."""
+        wide = np.flatnonzero(char >= self.width)
+        if not len(wide):
+            return self.table.take(state * self.width + char)
+        # no state has a transition by 1
+        after = self.table.take(state * self.width + np.where(char < self.width, char, 1))
+        keys = np.broadcast_to(state, after.shape)[:, wide].astype(np.int64) * self.codes + char[wide]
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        after[:, wide] = np.where(self.rare_keys[at] == keys, self.rare_next[at], 0)
+        return after
 
 
 def squeeze(kinds: np.ndarray) -> np.ndarray:
@@ -135,15 +171,14 @@ def phrases(model: Model, kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     state = np.broadcast_to(roots, (len(model.langs), len(text))).copy()
     count = np.zeros(state.shape, np.int32)
     active = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")
-    width = model.width
     for t in range(PIECE):
         k = active[t]
         if not k:
             break
         char = kinds[begin[:k] + t].astype(np.int32)
-        after = model.table.take(state[:, :k] * width + char)
+        after = model.follow(state[:, :k], char)
         ends = after == 0
-        again = model.table.take(roots * width + char)
+        again = model.follow(roots, char)
         again = np.where(again == 0, roots, again)
         count[:, :k] += ends
         state[:, :k] = np.where(ends, again, after)

@@ -136,6 +136,28 @@ def test_phrases_are_greedy():
     assert n[0, 0] == greedy(kinds.tolist(), sample.tolist())
 
 
+def test_every_letter_of_the_sample_has_its_own_code():
+    rng = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(2000)]
+    samples = {"a": "".join(rng.choice(signs) for _ in range(3000)), "b": "".join(rng.choice(signs) for _ in range(3000))}
+    model = crossparse.Model({lang: [t] for lang, t in samples.items()})
+    assert len({int(model.kinds[ord(c)]) for t in samples.values() for c in t}) == len({c for t in samples.values() for c in t})
+    text = samples["a"][700:1000] + samples["b"][40:43] + "x"
+    kinds = model.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    got = crossparse.phrases(model, kinds, np.array([0, len(kinds)]))[0]
+
+    def greedy(known):
+        count, phrase = 0, ""
+        for c in text:
+            if phrase + c in known:
+                phrase += c
+            else:
+                count, phrase = count + 1, c if c in known else ""
+        return count + bool(phrase)
+
+    assert got.tolist() == [greedy(samples["a"]), greedy(samples["b"])]
+
+
 def test_chunks_survive_an_insertion():
     rng = random.Random(1)
     body = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(2000))

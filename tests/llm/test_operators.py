@@ -195,6 +195,16 @@ def test_language_of_odd_rows(odd, none, spark):
     assert {r.lang_pred for r in crossparse.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_is_learned_beyond_shared_heads(spark):
+    head, rows = words(400, 1), []
+    for i in range(40):
+        rows.append((i, head + " " + " ".join(("zorro", "zumba", "yoyo", "quux")[(i * j * j + j) % 4] if i % 2 else ("mimi", "lolo", "nono", "susu")[(i * j * j + j) % 4] for j in range(900)), "zz" if i % 2 else "mm"))
+    model = crossparse.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    probe = spark.createDataFrame([(1, "zumba quux zorro yoyo " * 9), (2, "lolo susu mimi nono " * 9)], "doc_id long, text string")
+    got = crossparse.identify(probe, model).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "zz"), (2, "mm")} and min(r.score for r in got) > 0.9
+
+
 def test_toxic_segments(odd, none, spark):
     rows, marks = [], []
     for i in range(160):
