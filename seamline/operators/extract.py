@@ -335,14 +335,14 @@ def resolve_constants(constants: DataFrame, steps: int = 16) -> DataFrame:
     return done.unionByName(todo.select("repo", "name", F.lit("<expr>").alias("value")))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, symbol, call_id, kind, path, flow): what API result each symbol holds; the first value of a symbol wins.
 
     ``seeds`` have these columns, kind one of body, envelope and fetchResponse; ``edges``: repo, src, dst, op, segment
     with op one of same, field, element, derived. Runs to the fixpoint.
     """
     known = fresh = cut(seeds.select("repo", "symbol", "call_id", "kind", "path", "flow"))
-    for _ in range(rounds):
+    while True:
         met = fresh.join(edges.withColumnRenamed("src", "symbol"), ["repo", "symbol"])
         field, body = F.col("op") == "field", F.col("kind") == "body"
         opens = ((F.col("kind") == "envelope") & (F.col("segment") == "data")) | ((F.col("kind") == "fetchResponse") & (F.col("segment") == "json"))
@@ -358,7 +358,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame
     return known
 
 
-def infer_wrappers(calls: DataFrame, returns: DataFrame, sites: DataFrame, rounds: int = 16) -> DataFrame:
+def infer_wrappers(calls: DataFrame, returns: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls of functions that return an API call's result, as API calls: resolution wrapper, the inner endpoint, keys unknown.
 
     ``returns``: repo, function_id, call_id; ``sites``: repo, id, function_id, file, line, argument (a URL text where the
@@ -366,7 +366,7 @@ def infer_wrappers(calls: DataFrame, returns: DataFrame, sites: DataFrame, round
     """
     known = cut(calls.select("repo", "id", "endpoint_pattern", "method"))
     found = None
-    for _ in range(rounds):
+    while True:
         inner = returns.join(known.withColumnRenamed("id", "call_id"), ["repo", "call_id"])
         met = sites.join(inner, ["repo", "function_id"]).join(known.select("repo", "id"), ["repo", "id"], "left_anti")
         pattern = F.coalesce("endpoint_pattern", resolve_endpoint(F.col("argument")))

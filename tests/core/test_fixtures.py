@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.operators import contract, diff, extract, graph, impact, index, link, review, types
 from seamline.operators.usage import field_reads
+from seamline.plans import closure
 
 S = lambda n: json.dumps({"kind": "scalar", "name": n}, separators=(",", ":"))
 D = lambda n, *a: '{"kind":"dto","dtoId":"%s","typeArguments":[%s]}' % (n, ",".join(a))
@@ -136,6 +137,33 @@ def test_closure_survives_cycles(spark):
     assert got == {(a, b) for a in ("api", "Page", "App") for b in ("api", "Page", "App") if a != b}
 
 
+@pytest.fixture
+def brief(spark, monkeypatch):
+    """For many small rounds: one partition, and no checkpoint files."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("1", "false"), strict=True):
+        spark.conf.set(k, v)
+    for module in (closure, extract):
+        monkeypatch.setattr(module, "cut", lambda df: df.localCheckpoint(eager=True), raising=False)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_wrappers_of_many_levels(spark, brief):
+    calls = table(spark, [call("w0", "GET", "/users")], CALL).coalesce(1)
+    returns = spark.createDataFrame([("r", f"g{i}", f"w{i}") for i in range(18)], "repo string, function_id string, call_id string").coalesce(1)
+    sites = spark.createDataFrame([("r", f"w{i + 1}", f"g{i}", "a", i, None) for i in range(18)], "repo string, id string, function_id string, file string, line int, argument string").coalesce(1)
+    assert {r.id for r in extract.infer_wrappers(calls, returns, sites).collect()} == {f"w{i}" for i in range(1, 19)}
+
+
+def test_closure_of_a_long_chain(spark, brief):
+    n = 70
+    imports = spark.createDataFrame([("r", f"f{i + 1}", f"f{i}") for i in range(n)], "repo string, file string, resolved_file string").coalesce(1)
+    start = spark.createDataFrame([("r", "f0")], "repo string, path string")
+    assert {r.dependent for r in graph.dependents(imports, start).collect()} == {f"f{i}" for i in range(1, n + 1)}
+
+
 def test_evidence(spark):
     shown = spark.createDataFrame([("r", "e", "a.ts", 10, ["const a = user.age;", "return a  +  1;"])], "repo string, endpoint_id string, file string, first int, lines array<string>")
     cases = [("a.ts", 11, "a + 1", True), ("a.ts", 10, "a + 1", True), ("a.ts", 30, "a + 1", False), ("b.ts", 10, "user.age", False), ("a.ts", 10, "user.name", False), ("a.ts", 10, " ", False)]
