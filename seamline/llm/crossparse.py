@@ -245,5 +245,10 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def held_out(key: str = "doc_id"):
-    """Rows that no model is fitted on: crc32(key as text) mod 3 is 1."""
-    return F.crc32(F.col(key).cast("string")) % 3 == 1
+    """Rows that no model is fitted on: crc32(key as text) mod 3 is 1. A null key is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
+
+
+def learnable(key: str = "doc_id"):
+    """Rows that a model may be fitted on: those with a key that aren't held out."""
+    return F.col(key).isNotNull() & ~held_out(key)

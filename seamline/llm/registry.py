@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seamline.llm import chunking, crossparse, decontamination, licenses, matroska, mixing, segments, sharding, superminhash, warc
-from seamline.llm.crossparse import held_out
+from seamline.llm.crossparse import held_out, learnable
 from seamline.sources.tables import table
 
 
@@ -15,7 +15,7 @@ def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").where(~held_out())
+    labels = table(spark, folder, "labels").where(learnable())
     model = segments.fit(documents, labels)
     scored = segments.score(documents, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_segments", "top_score")
@@ -35,7 +35,7 @@ def op5_superminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    model = crossparse.fit(documents.where(~held_out()))
+    model = crossparse.fit(documents.where(learnable()))
     return crossparse.identify(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

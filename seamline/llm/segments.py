@@ -6,7 +6,7 @@ extreme-value law of such scores in clean text: E = K * n * exp(-lambda * S) seg
 
 The classifier is fitted on a bounded sample of labelled rows (SAMPLE, drawn by hash). Words are 64-bit hashes; a first
 count over 2**18 hash slots finds the slots that differ, a second one the words in them, so that no count over all words
-of the corpus is shuffled, and the model holds at most TERMS words.
+of the corpus is shuffled. The model holds every word that differs in the sample; the sample is its only bound.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from seamline.llm.common import ALNUM, SLOTS, Words, sliced, texts_of
 from seamline.plans.lineage import stored
 
 SAMPLE = 60_000
-TERMS = 1 << 16
 PRIOR = 0.5
 LEAST_Z = 3.0
 #: Score of a word that tells nothing; keeps the expected score of clean text below 0.
@@ -33,12 +32,14 @@ ALPHA = 0.01
 
 
 def maximal_segments(place: list[int], score: list[float], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last + 1, score) in one left-to-right scan.
+    """All maximal scoring segments (first, last + 1, score) in one left-to-right scan of linear time.
 
     ``place`` and ``score`` list the words of other than the usual score, which is ``gap`` (negative) for all others.
-    A candidate is kept with the total before it and after it; a new one takes in those it improves on.
+    A candidate is kept with the total before it and after it, and with the nearest earlier candidate whose total before
+    it is lower; a new candidate follows these links, so that one it has passed is never looked at again, and takes in
+    those it improves on.
     """
-    found: list[tuple[int, int, float, float]] = []
+    first, end, low, high, lower = [], [], [], [], []
     total, at = 0.0, 0
     for p, s in zip(place, score):
         total += gap * (p - at)
@@ -46,17 +47,22 @@ def maximal_segments(place: list[int], score: list[float], gap: float) -> list[t
         before, total = total, total + s
         if s <= 0:
             continue
-        first, low = p, before
+        start = p
+        j = len(first) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
+            while j >= 0 and low[j] >= before:
+                j = lower[j]
+            if j < 0 or high[j] >= total:
                 break
-            first, low = found[j][0], found[j][2]
-            del found[j:]
-        found.append((first, p + 1, low, total))
-    return [(a, b, high - low) for a, b, low, high in found]
+            start, before, nearest = first[j], low[j], lower[j]
+            del first[j:], end[j:], low[j:], high[j:], lower[j:]
+            j = nearest
+        first.append(start)
+        end.append(p + 1)
+        low.append(before)
+        high.append(total)
+        lower.append(j)
+    return [(a, b, t - f) for a, b, f, t in zip(first, end, low, high)]
 
 
 def log_odds(toxic, clean, n_toxic: float, n_clean: float, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +123,7 @@ def training(df: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Fit on the labelled rows of ``df``. What comes to the driver is bounded by SLOTS, TERMS and BINS."""
+    """Fit on the labelled rows of ``df``. What comes to the driver is bounded by SLOTS, BINS and the words of the sample that differ."""
     rows = training(df, labels, key, text, label, bound)
 
     def slots(batches):
@@ -165,7 +171,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     a, b = F.col("toxic") + PRIOR, F.col("clean") + PRIOR
     # the same z as log_odds(), where documents with the word are few; the exact one follows
     rough = F.abs(F.log(a / n_toxic) - F.log(b / n_clean)) / F.sqrt(1 / a + 1 / b)
-    top = counted.where(F.col("toxic") + F.col("clean") >= 3).withColumn("z", rough).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).toPandas()
+    top = counted.where(F.col("toxic") + F.col("clean") >= 3).withColumn("z", rough).where(F.col("z") >= LEAST_Z).drop("z").orderBy("term").toPandas()
     delta, z = log_odds(top["toxic"], top["clean"], n_toxic, n_clean)
     keep = np.abs(z) >= LEAST_Z
     model = Model(top["term"].to_numpy(np.int64)[keep].view(np.uint64), np.clip(delta[keep], -8, 12) - DRIFT)

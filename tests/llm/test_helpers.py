@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,39 @@ def test_segments_are_the_maximal_ones(scores):
         assert s == pytest.approx(sum(scores[a:b]))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_segments_of_a_longer_text(seed):
+    r = random.Random(seed)
+    scores = [r.uniform(-1.5, 1.2) for _ in range(70)]
+    found = segments.maximal_segments(list(range(70)), scores, -1.0)
+    assert [(a, b) for a, b, _ in found] == all_maximal(scores)
+
+
+def steps_of(call):
+    """Lines that ``call`` runs inside maximal_segments: a measure of its work that doesn't depend on the machine."""
+    lines = 0
+
+    def inside(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return inside
+
+    sys.settrace(lambda frame, event, arg: inside if frame.f_code is segments.maximal_segments.__code__ else None)
+    try:
+        call()
+    finally:
+        sys.settrace(None)
+    return lines
+
+
+@pytest.mark.parametrize("kind", ["down", "up", "mixed"])
+def test_segments_take_linear_steps(kind):
+    r = random.Random(5)
+    n = 100_000
+    scores = {"down": [0.5, -0.7] * (n // 2), "up": [0.7, -0.5] * (n // 2), "mixed": [r.uniform(-1.3, 1.0) for _ in range(n)]}[kind]
+    assert steps_of(lambda: segments.maximal_segments(list(range(n)), scores, -0.1)) < 40 * n
+
+
 def test_automaton_knows_exactly_the_substrings():
     rng = random.Random(3)
     codes = [rng.randrange(3) for _ in range(60)]
