@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.paths import resolve_endpoint, resolve_specifier, spring_join, truncate_code, url_query_keys
 from seamline.plans.closure import closure
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import Pile, stored
 
 FLOW_SAME = ("filter", "slice", "sort", "reverse")
 FLOW_ELEMENT = ("map", "forEach", "find", "findLast", "at", "some", "every", "flatMap", "filter-item", "for-of")
@@ -326,11 +326,11 @@ def resolve_constants(constants: DataFrame, steps: int = 16) -> DataFrame:
         each = todo.select("repo", "name", F.posexplode("parts").alias("i", "p")).select("repo", "name", "i", "p.*")
         met = each.join(done.select("repo", F.col("name").alias("ref"), F.col("value").alias("_v")), ["repo", "ref"], "left")
         put = met.withColumn("p", F.struct(F.coalesce("literal", "_v").alias("literal"), F.when(F.col("_v").isNull(), F.col("ref")).alias("ref")))
-        grown = cut(put.groupBy("repo", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("parts")))
+        grown = stored(put.groupBy("repo", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("parts")))
         ready = grown.where(~open_("parts"))
         if ready.isEmpty():
             break
-        done = cut(done.unionByName(ready.select("repo", "name", value.alias("value"))))
+        done = stored(done.unionByName(ready.select("repo", "name", value.alias("value"))))
         todo = grown.where(open_("parts"))
     return done.unionByName(todo.select("repo", "name", F.lit("<expr>").alias("value")))
 
@@ -341,8 +341,9 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ``seeds`` have these columns, kind one of body, envelope and fetchResponse; ``edges``: repo, src, dst, op, segment
     with op one of same, field, element, derived. Runs to the fixpoint.
     """
-    known = fresh = cut(seeds.select("repo", "symbol", "call_id", "kind", "path", "flow"))
-    while True:
+    known, edges = Pile(seeds.sparkSession), stored(edges)
+    fresh = known.add(seeds.select("repo", "symbol", "call_id", "kind", "path", "flow"))
+    while not fresh.isEmpty():
         met = fresh.join(edges.withColumnRenamed("src", "symbol"), ["repo", "symbol"])
         field, body = F.col("op") == "field", F.col("kind") == "body"
         opens = ((F.col("kind") == "envelope") & (F.col("segment") == "data")) | ((F.col("kind") == "fetchResponse") & (F.col("segment") == "json"))
@@ -351,32 +352,30 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         flow = F.when(F.col("op") == "derived", "derived").otherwise(F.col("flow"))
         grown = met.where(~field | body | opens).select("repo", F.col("dst").alias("symbol"), "call_id", kind.alias("kind"), path.alias("path"), flow.alias("flow"))
         n = F.row_number().over(W.partitionBy("repo", "symbol").orderBy("call_id", "path"))
-        fresh = cut(grown.withColumn("_n", n).where("_n = 1").drop("_n").join(known.select("repo", "symbol"), ["repo", "symbol"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known = cut(known.unionByName(fresh))
-    return known
+        fresh = known.add(grown.withColumn("_n", n).where("_n = 1").drop("_n").join(known.rows().select("repo", "symbol"), ["repo", "symbol"], "left_anti"))
+    return known.rows()
 
 
 def infer_wrappers(calls: DataFrame, returns: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls of functions that return an API call's result, as API calls: resolution wrapper, the inner endpoint, keys unknown.
 
     ``returns``: repo, function_id, call_id; ``sites``: repo, id, function_id, file, line, argument (a URL text where the
-    inner URL is a parameter). Wrappers of wrappers are found round by round.
+    inner URL is a parameter). Wrappers of wrappers are found round by round. Of a function with several such results the
+    one of least call id counts.
     """
-    known = cut(calls.select("repo", "id", "endpoint_pattern", "method"))
-    found = None
+    known, found = Pile(calls.sparkSession), Pile(calls.sparkSession)
+    fresh = known.add(calls.select("repo", "id", "endpoint_pattern", "method"))
     while True:
-        inner = returns.join(known.withColumnRenamed("id", "call_id"), ["repo", "call_id"])
-        met = sites.join(inner, ["repo", "function_id"]).join(known.select("repo", "id"), ["repo", "id"], "left_anti")
+        inner = returns.join(fresh.withColumnRenamed("id", "call_id"), ["repo", "call_id"])
+        met = sites.join(inner, ["repo", "function_id"]).join(known.rows().select("repo", "id"), ["repo", "id"], "left_anti")
         pattern = F.coalesce("endpoint_pattern", resolve_endpoint(F.col("argument")))
-        fresh = cut(met.groupBy("repo", "id").agg(*[F.first(c).alias(c) for c in ("function_id", "file", "line", "method")], F.first(pattern).alias("endpoint_pattern")))
-        if fresh.isEmpty():
+        least = met.groupBy("repo", "id").agg(F.min_by(F.struct("function_id", "file", "line", "method", pattern.alias("endpoint_pattern")), F.struct("call_id", "function_id", "file", "line")).alias("s"))
+        round_ = found.add(least.select("repo", "id", "s.*"))
+        if round_.isEmpty():
             break
-        rows = fresh.select("repo", "id", "endpoint_pattern", "method", F.col("function_id").alias("wrapper_function_id"), "file", "line", F.lit("wrapper").alias("resolution"), F.lit(None).cast("array<string>").alias("query_keys"), F.lit(None).cast("array<string>").alias("body_keys"))
-        found = rows if found is None else found.unionByName(rows)
-        known = cut(known.unionByName(fresh.select("repo", "id", "endpoint_pattern", "method")))
-    return found if found is not None else calls.limit(0).select("repo", "id", "endpoint_pattern", "method", F.lit("").alias("wrapper_function_id"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("").alias("resolution"), "query_keys", "body_keys")
+        fresh = known.add(round_.select("repo", "id", "endpoint_pattern", "method"))
+    unknown = F.lit(None).cast("array<string>")
+    return found.rows().select("repo", "id", "endpoint_pattern", "method", F.col("function_id").alias("wrapper_function_id"), "file", "line", F.lit("wrapper").alias("resolution"), unknown.alias("query_keys"), unknown.alias("body_keys"))
 
 
 def run_extractor(sources: DataFrame, extract: Callable[[str, str], list[dict]], schema: str) -> DataFrame:

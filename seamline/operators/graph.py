@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from seamline.functions.paths import format_access_path
 from seamline.operators.usage import field_reads, unused_endpoints
 from seamline.plans.closure import closure
+from seamline.plans.lineage import stored
 
 
 def dependents(imports: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(repo, file, dependent): all files that import a file directly or through others; itself left out."""
+    """(repo, file, dependent): all files that import a file directly or through others, however far; itself left out."""
     edges = imports.select("repo", F.col("resolved_file").alias("src"), F.col("file").alias("dst"))
     wanted = None if files is None else files.select("repo", F.col("path").alias("node"))
     found = closure(edges, wanted)
@@ -88,12 +89,34 @@ def merge_graphs(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataF
 def reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, id, kind, impact): files downstream of endpoints and fields; endpoints upstream of everything else.
 
-    The graph has at most four layers, so one closure from its upper layers, read in both directions, serves all nodes.
+    Layer by layer, as distinct pairs of ends: a field's functions and files belong to its endpoint, a function's files
+    to those that call it. Only edges between functions can form chains or cycles, so only these are closed by a loop.
     """
-    pairs = closure(edges.select("repo", "src", "dst"))
-    kinds = nodes.select("repo", "id", "kind")
-    both = pairs.join(kinds.select("repo", F.col("id").alias("start"), F.col("kind").alias("k1")), ["repo", "start"]).join(kinds.select("repo", F.col("id").alias("node"), F.col("kind").alias("k2")), ["repo", "node"])
-    down = both.where("k1 IN ('endpoint', 'field') AND k2 = 'file'").select("repo", F.col("start").alias("id"))
-    up = both.where("k2 NOT IN ('endpoint', 'field') AND k1 = 'endpoint'").select("repo", F.col("node").alias("id"))
-    counts = down.union(up).groupBy("repo", "id").agg(F.count("*").alias("impact"))
+    kinds = stored(nodes.select("repo", "id", "kind").distinct())
+    layer = F.when(F.col("kind") == "endpoint", "api").when(F.col("kind") == "field", "field").when(F.col("kind") == "file", "file").otherwise("fn")
+    side = lambda c: kinds.select("repo", F.col("id").alias(c), layer.alias(f"{c}_layer"))
+    known = stored(edges.select("repo", "src", "dst").distinct().join(side("src"), ["repo", "src"]).join(side("dst"), ["repo", "dst"]))
+    between = lambda a, b: known.where((F.col("src_layer") == a) & (F.col("dst_layer") == b)).select("repo", "src", "dst")
+
+    chains = closure(between("fn", "fn")).select("repo", F.col("start").alias("fn"), F.col("node").alias("dst"))
+    functions = kinds.where(layer == "fn").select("repo", F.col("id").alias("fn"))
+    further = chains.union(functions.select("repo", "fn", "fn"))
+    homes = between("fn", "file").select("repo", F.col("src").alias("dst"), F.col("dst").alias("file"))
+    files_of = stored(further.join(homes, ["repo", "dst"]).select("repo", "fn", "file").distinct())
+
+    # fields pass on to their endpoint what they lead to
+    owners = between("api", "field").select("repo", F.col("dst").alias("src"), F.col("src").alias("api"))
+    starts = between("api", "fn").unionByName(between("field", "fn"))
+    to_fn = starts.unionByName(between("field", "fn").join(owners, ["repo", "src"]).select("repo", F.col("api").alias("src"), "dst")).distinct()
+    ends = between("api", "file").unionByName(between("field", "file"))
+    to_file = ends.unionByName(between("field", "file").join(owners, ["repo", "src"]).select("repo", F.col("api").alias("src"), "dst"))
+    through = to_fn.withColumnRenamed("dst", "fn").join(files_of, ["repo", "fn"]).select("repo", "src", F.col("file").alias("dst"))
+    reached = stored(to_file.unionByName(through).distinct())
+    down = reached.groupBy("repo", F.col("src").alias("id")).agg(F.count("*").alias("impact"))
+
+    apis = kinds.where("kind = 'endpoint'").select("repo", F.col("id").alias("src"))
+    up_file = reached.join(apis, ["repo", "src"], "left_semi").groupBy("repo", F.col("dst").alias("id")).agg(F.count("*").alias("impact"))
+    by_api = to_fn.join(apis, ["repo", "src"], "left_semi").withColumnRenamed("dst", "fn")
+    up_fn = by_api.join(further, ["repo", "fn"]).select("repo", "src", "dst").distinct().groupBy("repo", F.col("dst").alias("id")).agg(F.count("*").alias("impact"))
+    counts = down.unionByName(up_file).unionByName(up_fn)
     return kinds.join(counts, ["repo", "id"], "left").select("repo", "id", "kind", F.coalesce("impact", F.lit(0)).alias("impact"))

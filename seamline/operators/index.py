@@ -16,11 +16,12 @@ def with_payload(rows: DataFrame, keys: list[str]) -> DataFrame:
 def sync(stored: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(repo, id, action, old_file, new_file): insert, update or delete by (repo, id); equal rows are left out.
 
-    Both sides have ``file`` and ``json``. Repeated ids count once; a full snapshot deletes what it lacks.
+    Both sides have ``file`` and ``json``. Of rows that repeat an id the first by (json, file) counts; a full snapshot
+    deletes what it lacks.
     """
     on = keys or ["repo", "id"]
-    old = stored.dropDuplicates(on).select(*on, F.col("file").alias("old_file"), F.col("json").alias("old_json"))
-    now = new.dropDuplicates(on).select(*on, F.col("file").alias("new_file"), F.col("json").alias("new_json"))
+    first = lambda rows, p: rows.groupBy(*on).agg(F.min(F.struct("json", "file")).alias("r")).select(*on, F.col("r.file").alias(f"{p}_file"), F.col("r.json").alias(f"{p}_json"))
+    old, now = first(stored, "old"), first(new, "new")
     both = old.join(now, on, "full_outer")
     action = F.when(F.col("old_json").isNull(), "insert").when(F.col("new_json").isNull(), "delete").when(F.col("old_json") != F.col("new_json"), "update")
     return both.withColumn("action", action).where("action IS NOT NULL").select(*on, "action", "old_file", "new_file")

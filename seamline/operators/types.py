@@ -6,16 +6,13 @@ types, by joins with the field table; recursive types end by the depth.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions.paths import STRING_LIKE
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import Pile, stored
 
 DEPTH = 16
-NESTING = 6
 # How one level of a type's JSON is written for people; names are the last parts of ids.
 DESCRIPTION = (
     (r'\{"kind":"(?:scalar|unknown|typeParameter)","name":"([^"]*)"\}', "$1"),
@@ -28,11 +25,17 @@ DESCRIPTION = (
 
 
 def describe(t: Column) -> Column:
-    """``Page<User[]>`` for a type's JSON."""
-    for _ in range(NESTING):
+    """``Page<User[]>`` for a type's JSON, however deep: each round writes the innermost levels, and a text has as many
+    levels as braces at most. For distinct types rather than for every row."""
+
+    def written(acc: Column) -> Column:
         for pattern, text in DESCRIPTION:
-            t = F.regexp_replace(t, pattern, text)
-    return F.regexp_replace(t, ",([^ ])", ", $1")
+            acc = F.regexp_replace(acc, pattern, text)
+        return acc
+
+    braces = F.length(t) - F.length(F.replace(t, F.lit("{")))
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(braces, F.lit(1))))
+    return F.regexp_replace(F.aggregate(levels, t, lambda acc, _: F.when(F.contains(acc, F.lit("{")), written(acc)).otherwise(acc)), ",([^ ])", ", $1")
 
 
 def kind(t: Column) -> Column:
@@ -61,16 +64,14 @@ def children(types: DataFrame, dtos: DataFrame, fields: DataFrame) -> DataFrame:
 def type_edges(roots: DataFrame, dtos: DataFrame, fields: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The edges of all types that can be reached from (repo, type) within ``depth`` steps."""
     # few rows against what they come from, and read in every round
-    fresh = cut(roots.select("repo", "type").where("type IS NOT NULL").distinct())
-    seen, found = fresh, []
+    seen, found = Pile(roots.sparkSession), Pile(roots.sparkSession)
+    fresh = seen.add(roots.select("repo", "type").where("type IS NOT NULL").distinct())
     for _ in range(depth):
-        level = cut(children(fresh, dtos, fields))
-        found.append(level)
-        fresh = cut(level.select("repo", F.col("next").alias("type")).distinct().join(seen, ["repo", "type"], "left_anti"))
+        level = found.add(children(fresh, dtos, fields))
+        fresh = seen.add(level.select("repo", F.col("next").alias("type")).distinct().join(seen.rows(), ["repo", "type"], "left_anti"))
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
-    return reduce(DataFrame.unionByName, found)
+    return found.rows()
 
 
 def walk_paths(asked: DataFrame, edges: DataFrame, dtos: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def walk_paths(asked: DataFrame, edges: DataFrame, dtos: DataFrame) -> DataFrame
 
     One join with the edges for each step of the longest path.
     """
-    todo = cut(asked.select("repo", "type", "path").distinct())
+    todo = stored(asked.select("repo", "type", "path").distinct())
     steps = todo.agg(F.max(F.size("path"))).first()[0] or 0
     known = dtos.select("repo", F.col("id").alias("_id"), F.lit(True).alias("_known"))
     edge = edges.select("repo", F.col("type").alias("cur"), F.col("segment").alias("_key"), "next").distinct()
@@ -108,16 +109,15 @@ def walk_paths(asked: DataFrame, edges: DataFrame, dtos: DataFrame) -> DataFrame
 def expand(roots: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(repo, root, path, type): every path within each distinct (repo, type); a DTO below itself isn't entered again."""
     rows = roots.select("repo", F.col("type").alias("root"), F.array().cast("array<string>").alias("path"), "type").where("type IS NOT NULL").distinct().withColumn("seen", F.array().cast("array<string>"))
-    rows = cut(rows)
-    found, step = [rows], edges.select("repo", "type", "segment", "next")
+    found, step = Pile(roots.sparkSession), edges.select("repo", "type", "segment", "next")
+    rows = found.add(rows)
     for _ in range(depth):
         own = F.when(kind(F.col("type")) == "dto", name(F.col("type")))
         open_ = rows.where(own.isNull() | ~F.array_contains("seen", F.coalesce(own, F.lit(""))))
-        rows = cut(open_.join(step, ["repo", "type"]).select("repo", "root", F.concat("path", F.array("segment")).alias("path"), F.col("next").alias("type"), F.when(own.isNotNull(), F.concat("seen", F.array(own))).otherwise(F.col("seen")).alias("seen")))
+        rows = found.add(open_.join(step, ["repo", "type"]).select("repo", "root", F.concat("path", F.array("segment")).alias("path"), F.col("next").alias("type"), F.when(own.isNotNull(), F.concat("seen", F.array(own))).otherwise(F.col("seen")).alias("seen")))
         if rows.isEmpty():
             break
-        found.append(rows)
-    return reduce(DataFrame.unionByName, found).select("repo", "root", "path", "type")
+    return found.rows().select("repo", "root", "path", "type")
 
 
 def paths_to_dtos(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def dto_usage(endpoints: DataFrame, edges: DataFrame, reads: DataFrame) -> DataF
     """(repo, dto_id, endpoints, files): endpoints whose request or response holds a DTO, and files that read below it."""
     types = lambda c: endpoints.select("repo", F.col("id").alias("endpoint_id"), F.col(c).alias("root")).where("root IS NOT NULL")
     roots = types("response_type_json").union(types("body_type_json")).select("repo", F.col("root").alias("type")).distinct()
-    places = cut(paths_to_dtos(roots, edges))
+    places = stored(paths_to_dtos(roots, edges))
     sent = types("response_type_json").join(places, ["repo", "root"])
     every = sent.select("repo", "endpoint_id", "dto_id").union(types("body_type_json").join(places, ["repo", "root"]).select("repo", "endpoint_id", "dto_id")).distinct()
     counts = every.groupBy("repo", "dto_id").agg(F.count("*").alias("endpoints"))

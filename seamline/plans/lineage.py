@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder under /tmp only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder that its context has.
+
+    Without one, a session with a local master gets a folder of its own (tests); on a cluster this is an error, as
+    executors elsewhere couldn't read a folder of the driver's machine.
+    """
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not where:
         current = context._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        where = current.get() if current.isDefined() else None
+    if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(where)
     return where
@@ -31,9 +39,31 @@ def stored(df: DataFrame) -> DataFrame:
 
     For larger tables than ``cut``: columnar, compressed, and later reads take only the columns they need.
     """
-    spark = df.sparkSession
-    where = f"{shared_folder(spark).rstrip('/')}/seamline-{uuid.uuid4().hex}"
+    where = _fresh_folder(df.sparkSession)
     df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def _fresh_folder(spark: SparkSession) -> str:
+    where = f"{shared_folder(spark).rstrip('/')}/seamline-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    return where
+
+
+class Pile:
+    """Rows that a loop adds round by round, stored like ``stored`` does. No round is written again, and all of them are read
+    as one scan, so the plan stays as small as in the first round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.rounds, self.schema = spark, _fresh_folder(spark), [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` and return it as a table."""
+        self.schema = self.schema or df.schema
+        self.rounds.append(f"{self.root}/{len(self.rounds)}")
+        df.write.parquet(self.rounds[-1])
+        return self.spark.read.schema(self.schema).parquet(self.rounds[-1])
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.rounds)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seamline.functions import paths as P
 from seamline.operators import diff, extract, impact, index, review
 from seamline.operators.contract import check_contract, contract_result
-from seamline.plans.lineage import cut
+from seamline.plans.lineage import stored
 from seamline.queries.duck import norm, shown
 from seamline.queries.usage import Facts
 from seamline.sources.lens import lens, lens_sql
@@ -36,13 +36,13 @@ def diff_contracts(spark, folder):
 
 def diff_counts(spark, folder):
     pairs, changes = diff.diff_contracts(*sides(spark, folder))
-    return diff.diff_counts(pairs, cut(changes))
+    return diff.diff_counts(pairs, stored(changes))
 
 
 def _impact(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     pairs, changes, sites = impact.change_impact(f.linked, f.reads, f.functions, *sides(spark, folder))
-    return f, pairs, cut(changes), cut(sites)
+    return f, pairs, stored(changes), stored(sites)
 
 
 def change_sites(spark, folder):
@@ -65,13 +65,13 @@ def ci_gate(spark, folder):
 def review_merge(spark, folder):
     """Candidates, snippets from documents as source files, a reviewer that reads its request, and the merged verdicts."""
     f, pairs, changes, sites = _impact(spark, folder)
-    chosen = cut(review.candidates(sites))
+    chosen = stored(review.candidates(sites))
     docs = table(spark, folder, "documents").select(F.concat(F.lit("src/s"), F.col("doc_id"), F.lit(".tsx")).alias("file"), "text")
     files = f.files.select("repo", F.col("path").alias("file")).join(docs, "file")
     spread = chosen.withColumn("line", F.col("line") % 20 + 1)
-    shown_ = cut(review.snippets(review.merge_ranges(review.ranges(spread, f.calls)), review.source_lines(files)))
+    shown_ = stored(review.snippets(review.merge_ranges(review.ranges(spread, f.calls)), review.source_lines(files)))
     asked = review.requests(changes, spread, shown_)
-    verdicts = cut(review.run_reviewer(asked, _reviewer))
+    verdicts = stored(review.run_reviewer(asked, _reviewer))
     return review.apply_verdicts(spread, verdicts, shown_)
 
 
@@ -98,7 +98,7 @@ def index_sync(spark, folder):
 
 
 def touched_apis(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     old = index.with_payload(f.reads, ["repo", "id", "file"])
     new = index.with_payload(f.reads.withColumn("line", F.when(F.col("id").endswith("9:1"), F.col("line") + 1).otherwise(F.col("line"))), ["repo", "id", "file"])
     return index.touched_apis(index.sync(old, new), f.linked, f.reads)

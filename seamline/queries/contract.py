@@ -16,7 +16,7 @@ def _tables(spark, folder):
 
 
 def _issues(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     params, dtos, fields = _tables(spark, folder)
     return f, contract.check_contract(f.linked, f.reads, f.endpoints, params, dtos, fields)
 
@@ -40,7 +40,7 @@ def checked_apis(spark, folder):
 
 
 def contract_scope(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     files = f.files.where("path LIKE '%5.tsx'").select("repo", F.col("path").alias("file"))
     calls, reads = contract.scope_calls(f.linked, f.reads, files)
     a = calls.groupBy("repo").agg(F.count("*").alias("calls"))
@@ -48,7 +48,7 @@ def contract_scope(spark, folder):
 
 
 def type_walk(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     _, dtos, fields = _tables(spark, folder)
     typed = field_reads(f.reads, f.linked).join(f.endpoints.select("repo", F.col("id").alias("endpoint_id"), F.col("response_type_json").alias("type")), ["repo", "endpoint_id"]).where("type IS NOT NULL")
     edges = types.type_edges(typed.select("repo", "type"), dtos, fields)
@@ -57,14 +57,14 @@ def type_walk(spark, folder):
 
 
 def dto_field_usage(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     _, dtos, fields = _tables(spark, folder)
     edges = types.type_edges(f.endpoints.select("repo", F.col("response_type_json").alias("type")), dtos, fields)
     return types.field_usage(f.endpoints, edges, fields, field_reads(f.reads, f.linked))
 
 
 def dto_usage(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     _, dtos, fields = _tables(spark, folder)
     roots = f.endpoints.select("repo", F.col("response_type_json").alias("type")).union(f.endpoints.select("repo", "body_type_json"))
     return types.dto_usage(f.endpoints, types.type_edges(roots, dtos, fields), field_reads(f.reads, f.linked))

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.operators import graph, link, usage
+from seamline.plans.lineage import stored
 from seamline.queries.duck import linked, norm, shown
 from seamline.sources.lens import lens, lens_sql
 
 
 class Facts:
-    """The lens tables of one folder, linked."""
+    """The lens tables of one folder, linked, each derived when first asked for. ``keep`` stores endpoints and linked
+    calls, for queries that read them several times."""
+
+    def __init__(self, spark: SparkSession, folder: str, keep: bool = False):
+        self.spark, self.folder, self.keep = spark, folder, keep
+
+    def _lens(self, name: str) -> DataFrame:
+        return lens(self.spark, self.folder, name)
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return stored(self._lens("endpoints")) if self.keep else self._lens("endpoints")
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        return self._lens("functions")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self._lens("files")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        get = lambda name: lens(spark, folder, name)
-        self.spark, self.folder = spark, folder
-        self.endpoints, self.functions, self.files = get("endpoints"), get("functions"), get("files")
-        self.calls, self.reads = get("api_calls"), get("property_accesses")
-        self.linked = link.link_calls(self.calls, self.endpoints)
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self._lens("api_calls")
+
+    @cached_property
+    def reads(self) -> DataFrame:
+        return self._lens("property_accesses")
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        found = link.link_calls(self.calls, self.endpoints)
+        return stored(found) if self.keep else found
 
     def usage(self) -> DataFrame:
         return usage.api_usage(self.linked, self.reads, self.functions, self.endpoints)
@@ -48,7 +76,7 @@ def field_reads(spark, folder):
 
 
 def rank_apis(spark, folder):
-    return usage.rank_apis(Facts(spark, folder).usage())
+    return usage.rank_apis(Facts(spark, folder, keep=True).usage())
 
 
 def api_usage_no_backend(spark, folder):
@@ -83,7 +111,7 @@ def client_functions(spark, folder):
 
 
 def blast_radius(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     return usage.blast_radius(f.linked, f.reads, f.functions)
 
 
@@ -93,12 +121,12 @@ def index_summary(spark, folder):
 
 
 def match_api_keys(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     return usage.match_api_keys(usage.api_keys(f.linked, f.endpoints), f.endpoints, "get /b1/economy/small/bolt/:id").unionByName(usage.match_api_keys(usage.api_keys(f.linked, f.endpoints), f.endpoints, "c1#H"))
 
 
 def search(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     return usage.search("card1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions)).unionByName(
         usage.search("s1", f.usage(), f.linked, f.reads, f.functions, f.files, usage.blast_radius(f.linked, f.reads, f.functions)).where("kind = 'file'")
     )
@@ -109,23 +137,23 @@ def dependents(spark, folder):
 
 
 def graph_nodes(spark, folder):
-    return Facts(spark, folder).graph()[0]
+    return Facts(spark, folder, keep=True).graph()[0]
 
 
 def graph_edges(spark, folder):
-    return Facts(spark, folder).graph()[1]
+    return Facts(spark, folder, keep=True).graph()[1]
 
 
 def graph_reach(spark, folder):
-    return graph.reach(*Facts(spark, folder).graph())
+    return graph.reach(*Facts(spark, folder, keep=True).graph())
 
 
 def merged_graphs(spark, folder):
-    f = Facts(spark, folder)
+    f = Facts(spark, folder, keep=True)
     one = graph.build_graph(f.linked.where("col <= 3"), f.reads, f.functions, f.endpoints, unused=False)
     two = graph.build_graph(f.linked.where("col >= 3"), f.reads, f.functions, f.endpoints, unused=False)
-    nodes, _ = graph.merge_graphs(one, two)
-    return nodes.groupBy("repo", "kind").agg(F.count("*").alias("nodes"))
+    nodes, edges = graph.merge_graphs(one, two)
+    return nodes.select("repo", "id", "kind", "label", F.lit(None).cast("string").alias("dst")).unionByName(edges.select("repo", F.col("src").alias("id"), "kind", F.lit(None).cast("string").alias("label"), "dst"))
 
 
 _ONLY = "SELECT repo, id, api_key, file, call_file, status FROM reads"
@@ -161,8 +189,9 @@ def _search(text: str) -> str:
 
 _MATCH = "keys AS (SELECT repo, api_key FROM linked UNION SELECT repo, id FROM endpoints), n AS (SELECT k.*, handler FROM keys k LEFT JOIN endpoints e ON e.repo = k.repo AND e.id = k.api_key)"
 _TIER = lambda tier: f"SELECT repo, api_key, tier FROM (SELECT repo, api_key, {tier} AS tier FROM n WHERE {tier} IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY repo))"
-_T1 = f"CASE WHEN api_key = 'get /b1/economy/small/bolt/:id' THEN 1 WHEN split_part(api_key, ' ', 1) = 'GET' AND split_part(api_key, ' ', 2) <> '' AND {norm(chr(115) + 'plit_part(api_key, chr(32), 2)')} = '/b1/economy/small/bolt/{{param}}' THEN 2 WHEN contains(lower(handler), 'get /b1/economy/small/bolt/:id') THEN 3 END"
-_T2 = f"CASE WHEN api_key = 'c1#H' THEN 1 WHEN split_part(api_key, ' ', 2) <> '' AND {norm(chr(115) + 'plit_part(api_key, chr(32), 2)')} = '/c1#H' THEN 2 WHEN contains(lower(handler), 'c1#h') THEN 3 END"
+_SECOND = "split_part(api_key, ' ', 2)"
+_T1 = f"CASE WHEN api_key = 'get /b1/economy/small/bolt/:id' THEN 1 WHEN split_part(api_key, ' ', 1) = 'GET' AND split_part(api_key, ' ', 2) <> '' AND {norm(_SECOND)} = '/b1/economy/small/bolt/{{param}}' THEN 2 WHEN contains(lower(handler), 'get /b1/economy/small/bolt/:id') THEN 3 END"
+_T2 = f"CASE WHEN api_key = 'c1#H' THEN 1 WHEN split_part(api_key, ' ', 2) <> '' AND {norm(_SECOND)} = '/c1#H' THEN 2 WHEN contains(lower(handler), 'c1#h') THEN 3 END"
 _GRAPH = f"""
 s1 AS (SELECT l.repo, 'api:' || api_key AS api, CASE WHEN f.id IS NOT NULL THEN caller_function_id ELSE 'file:' || l.file END AS target, w.id AS client, l.file, f.id IS NOT NULL AS has_caller FROM linked l
   LEFT JOIN functions f ON f.repo = l.repo AND f.id = l.caller_function_id LEFT JOIN functions w ON w.repo = l.repo AND w.id = l.wrapper_function_id),
