@@ -2,39 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamline.functions.paths import api_key, frontend_path, join_path, normalize_path, path_score, path_similarity, segments
+from seamline.functions.paths import PARAM, api_key, frontend_path, join_path, normalize_path, path_score, path_similarity, segments
+from seamline.plans.lineage import stored
 
 SIMILAR = 3
+#: Literal segments of a set that is looked up first, and segments of a path whose sets are made at most.
+MANY, WIDE = 4, 12
+
+
+def shape(parts: Column) -> Column:
+    """One sign for each segment: ``*`` for a parameter, ``-`` for a literal."""
+    return F.array_join(F.transform(parts, lambda s: F.when(s == PARAM, "*").otherwise("-")), "")
+
+
+def literals(parts: Column, other: Column) -> Column:
+    """The segments that are literal here and in the ``other`` shape, at their places."""
+    return F.array_join(F.transform(parts, lambda s, i: F.when((s != PARAM) & (F.substring(other, i + 1, F.lit(1)) == "-"), s).otherwise("")), "/")
+
+
+def subsets(rows: DataFrame, parts: str, least: int, most: int) -> DataFrame:
+    """``rows`` with ``_key`` for each set of ``least`` to ``most`` literal segments (with their places) of the first WIDE ones."""
+    literal = F.filter(F.transform(F.slice(parts, 1, WIDE), lambda s, i: F.when(s != PARAM, F.concat_ws(":", i.cast("string"), s))), lambda s: s.isNotNull())
+    sets = F.filter(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("_literal")) - 1).cast("int")), lambda m: (F.bit_count(m) >= least) & (F.bit_count(m) <= most))
+    each = rows.withColumn("_literal", literal).withColumn("_set", F.explode(sets))
+    return each.withColumn("_key", F.xxhash64(F.filter("_literal", lambda s, i: F.bit_get(F.col("_set"), i) == 1))).drop("_literal", "_set")
+
+
+def similar_endpoints(far: DataFrame, known: DataFrame, most: int = SIMILAR) -> DataFrame:
+    """(repo, endpoint_pattern, similar): of each pattern (repo, endpoint_pattern, fe) the ``most`` endpoints that share most literal segments, then by id.
+
+    An endpoint among a pattern's best shares some set of segments with it, and of the endpoints that have the whole set
+    it is among the first ``most`` by id: the others before it would be better ones. So endpoints are kept as short lists
+    by such sets, and a pattern looks up its own sets: work grows with the paths, however many share a segment. Sets of
+    MANY segments or more come first; smaller ones only for patterns that don't have enough. Patterns of more than WIDE
+    segments are met segment by segment instead.
+    """
+    pair = ["repo", "endpoint_pattern", "fe"]
+
+    def looked_up(patterns: DataFrame, least: int, upto: int) -> DataFrame:
+        lists = subsets(known.select("repo", "e_id", "be"), "be", least, upto).groupBy("repo", "_key").agg(F.slice(F.array_sort(F.collect_set(F.struct("e_id", "be"))), 1, most).alias("_es"))
+        met = subsets(patterns, "fe", least, upto).join(lists, ["repo", "_key"])
+        return met.select(*pair, F.explode("_es").alias("e")).select(*pair, "e.*").distinct()
+
+    long = far.where(F.size("fe") > WIDE)
+    parts = long.select(*pair, F.posexplode("fe").alias("place", "part")).where(F.col("part") != PARAM)
+    direct = parts.join(known.select("repo", "e_id", "be", F.posexplode("be").alias("place", "part")), ["repo", "place", "part"]).select(*pair, "e_id", "be").distinct()
+    short = far.where(F.size("fe") <= WIDE)
+    first = stored(looked_up(short, MANY, WIDE))
+    enough = first.groupBy(*pair).count().where(F.col("count") >= most)
+    more = looked_up(short.join(enough, pair, "left_anti"), 1, MANY - 1)
+    scored = first.unionByName(more).unionByName(direct).distinct().withColumn("same", path_similarity(F.col("fe"), F.col("be"))).where("same > 0")
+    near = scored.withColumn("rank", F.row_number().over(W.partitionBy("repo", "endpoint_pattern").orderBy(F.desc("same"), "e_id"))).where(F.col("rank") <= most)
+    return near.groupBy("repo", "endpoint_pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "e_id"))), lambda x: x["e_id"]).alias("similar"))
 
 
 def link_patterns(patterns: DataFrame, endpoints: DataFrame, frontend_base: str = "", backend_base: str = "") -> DataFrame:
     """(repo, method, endpoint_pattern, status, endpoint_id, candidates) for distinct pairs of method and pattern.
 
-    Compatible endpoints are met by an equi-join on the number of segments; the score decides among them. Only patterns
-    without any go on to the search for similar ones, an equi-join on (place, segment).
+    Compatible endpoints are met by an equi-join on the segments that are literal on both sides, once for each pair of
+    shapes (which segments are parameters) that occur: only pairs that fit are ever made. The score decides among them.
+    Only patterns without any go on to the search for similar ones.
     """
     asked = patterns.select("repo", "method", "endpoint_pattern").where("method IS NOT NULL AND endpoint_pattern IS NOT NULL").distinct()
-    asked = asked.withColumn("fe", segments(frontend_path(F.col("endpoint_pattern"), F.lit(frontend_base)))).withColumn("n", F.size("fe"))
-    known = endpoints.select("repo", F.col("id").alias("e_id"), F.col("method").alias("e_method"), "pos", segments(join_path(F.lit(backend_base), normalize_path(F.col("path")))).alias("be")).withColumn("n", F.size("be"))
+    asked = asked.withColumn("fe", segments(frontend_path(F.col("endpoint_pattern"), F.lit(frontend_base)))).withColumn("fs", shape(F.col("fe")))
+    asked = stored(asked)  # distinct patterns, few against calls, and read several times
+    known = endpoints.select("repo", F.col("id").alias("e_id"), F.col("method").alias("e_method"), "pos", segments(join_path(F.lit(backend_base), normalize_path(F.col("path")))).alias("be")).withColumn("bs", shape(F.col("be")))
     key = ["repo", "method", "endpoint_pattern"]
-    scored = asked.join(known, ["repo", "n"]).withColumn("score", path_score(F.col("fe"), F.col("be"))).where("score >= 0")
+    shapes = asked.select("repo", "fs").distinct().join(known.select("repo", "bs").distinct(), "repo").where(F.length("fs") == F.length("bs"))
+    left = asked.join(shapes, ["repo", "fs"]).withColumn("literals", literals(F.col("fe"), F.col("bs")))
+    right = known.join(shapes, ["repo", "bs"]).withColumn("literals", literals(F.col("be"), F.col("fs")))
+    scored = left.join(right, ["repo", "fs", "bs", "literals"]).withColumn("score", path_score(F.col("fe"), F.col("be"))).where("score >= 0")
     # a matching method goes before any score
     ranked = scored.withColumn("own", F.col("e_method") == F.col("method"))
     best = W.partitionBy(*key).orderBy(F.col("own").desc(), F.col("score").desc())
     top = ranked.withColumn("rank", F.rank().over(best)).where("rank = 1")
     met = top.groupBy(*key).agg(F.first("own").alias("own"), F.min_by("e_id", "pos").alias("first_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "e_id"))), lambda x: x["e_id"]).alias("ids"))
-    far = asked.join(met, key, "left_anti")
-    parts = far.select(*key, F.posexplode("fe").alias("place", "part")).where("part <> '{param}'")
-    theirs = known.select("repo", "e_id", F.posexplode("be").alias("place", "part"))
-    alike = parts.join(theirs, ["repo", "place", "part"]).groupBy(*key, "e_id").agg(F.count("*").alias("same"))
-    near = alike.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("same"), "e_id"))).where(F.col("rank") <= SIMILAR)
-    similar = near.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "e_id"))), lambda x: x["e_id"]).alias("similar"))
+    # what is similar doesn't depend on methods
+    far = asked.join(met, key, "left_anti").select("repo", "endpoint_pattern", "fe").distinct()
     none = F.array().cast("array<string>")
-    found = asked.join(met, key, "left").join(similar, key, "left")
+    found = asked.join(met, key, "left").join(similar_endpoints(far, known), ["repo", "endpoint_pattern"], "left")
     return found.select(
         *key,
         F.when(F.col("own"), "matched").when(F.col("own").isNotNull(), "method-mismatch").otherwise("not-found").alias("status"),
