@@ -11,7 +11,7 @@ PARAM = "{param}"
 def normalize_path(p: Column) -> Column:
     """``/users/{id}?x`` and ``users//:id/`` alike become ``/users/{param}``: no query, no doubled or final slash."""
     p = F.split_part(p, F.lit("?"), F.lit(1))
-    p = F.regexp_replace(F.regexp_replace(p, r"\{[^}]*\}", PARAM), r":[A-Za-z_][A-Za-z0-9_]*", PARAM)
+    p = F.regexp_replace(F.regexp_replace(p, r"\{[^}/]*\}", PARAM), r":[A-Za-z_][A-Za-z0-9_]*", PARAM)
     p = F.regexp_replace(F.concat(F.lit("/"), p), "/+", "/")
     return F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
 

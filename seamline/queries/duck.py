@@ -6,7 +6,7 @@ from seamline.sources.lens import lens_sql
 
 
 def norm(x: str) -> str:
-    p = f"regexp_replace(regexp_replace(split_part({x}, '?', 1), '\\{{[^}}]*\\}}', '{{param}}', 'g'), ':[A-Za-z_][A-Za-z0-9_]*', '{{param}}', 'g')"
+    p = f"regexp_replace(regexp_replace(split_part({x}, '?', 1), '\\{{[^}}/]*\\}}', '{{param}}', 'g'), ':[A-Za-z_][A-Za-z0-9_]*', '{{param}}', 'g')"
     p = f"regexp_replace('/' || {p}, '/+', '/', 'g')"
     return f"CASE WHEN length({p}) > 1 THEN regexp_replace({p}, '/$', '') ELSE {p} END"
 
