@@ -69,8 +69,9 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for each response: ``metadata`` (warc-fields: title, language, outlinks) and ``conversion`` (plain text).
 
-    Both point to their response (``refers_to``, with its target and date), keep its HTTP header block and payload
-    digest, and carry ids, type, length and digest of their own block, and the record's ``headers`` as WARC lines.
+    Both point to their response (``refers_to``, with its target and date) and to each other (WARC-Concurrent-To), keep its
+    HTTP header block (a WARC-Source-Header line for each of its lines) and payload digest, and carry ids, type, length
+    and digest of their own block; ``headers`` has all this as WARC lines.
     An empty payload gives an empty conversion; repeated responses give repeated records. Other columns aren't read.
     """
     title = F.regexp_replace(squeezed(decoded(F.regexp_extract("payload", TITLE, 1))), r"\n", " ")
@@ -91,14 +92,17 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
         F.inline(kinds),
     )
     own = both.withColumn("record_id", urn(F.col("record_type"), F.col("refers_to"))).withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
+    twin = urn(F.when(F.col("record_type") == "metadata", "conversion").otherwise("metadata"), F.col("refers_to"))
+    own = own.withColumn("_twin", twin)
+    source = F.transform(F.filter(F.split("source_headers", "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("WARC-Source-Header: "), x, F.lit("\r\n")))
     lines = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "refers_to_date"), ("WARC-Target-URI", "refers_to_target_uri"),
         ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_target_uri"), ("WARC-Refers-To-Date", "refers_to_date"),
-        ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+        ("WARC-Refers-To-Payload-Digest", "source_payload_digest"), ("WARC-Concurrent-To", "_twin"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
-    quoted = lambda name, col: F.concat(F.lit("<"), F.col(col), F.lit(">")) if name in ("WARC-Record-ID", "WARC-Refers-To") else F.col(col).cast("string")
-    head = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{n}: "), quoted(n, c), F.lit("\r\n")) for n, c in lines], F.lit("\r\n"))
-    return own.withColumn("headers", head)
+    quoted = lambda name, col: F.concat(F.lit("<"), F.col(col), F.lit(">")) if name in ("WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To") else F.col(col).cast("string")
+    head = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{n}: "), quoted(n, c), F.lit("\r\n")) for n, c in lines], F.array_join(source, ""), F.lit("\r\n"))
+    return own.withColumn("headers", head).drop("_twin")
 
 
 def serialised(records: DataFrame, key: str = "page_id") -> DataFrame:
@@ -144,10 +148,11 @@ m AS (
          'title: ' || {_TITLE} || {_NL} || 'language: ' || lower(regexp_extract(payload, {_q(LANGUAGE)}, 1)) || {_NL} || {_LINKS} AS block FROM r
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8', {_PLAIN} FROM r),
-d AS (SELECT *, {_duck_urn('record_type', 'refers_to')} AS record_id, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length FROM m)
+d AS (SELECT *, {_duck_urn('record_type', 'refers_to')} AS record_id, {_duck_urn("CASE record_type WHEN 'metadata' THEN 'conversion' ELSE 'metadata' END", 'refers_to')} AS twin, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length FROM m)
 SELECT page_id, record_type, record_id, refers_to, target_uri AS refers_to_target_uri, source_headers, source_payload_digest, content_type, content_length, block_digest,
   'WARC/1.1' || {_NL} || 'WARC-Type: ' || record_type || {_NL} || 'WARC-Record-ID: <' || record_id || '>' || {_NL} || 'WARC-Date: {DATE}' || {_NL} || 'WARC-Target-URI: ' || target_uri || {_NL}
   || 'WARC-Refers-To: <' || refers_to || '>' || {_NL} || 'WARC-Refers-To-Target-URI: ' || target_uri || {_NL} || 'WARC-Refers-To-Date: {DATE}' || {_NL}
-  || 'WARC-Block-Digest: ' || block_digest || {_NL} || 'Content-Type: ' || content_type || {_NL} || 'Content-Length: ' || content_length || {_NL} || {_NL} AS headers, block
+  || 'WARC-Refers-To-Payload-Digest: ' || source_payload_digest || {_NL} || 'WARC-Concurrent-To: <' || twin || '>' || {_NL}
+  || 'WARC-Block-Digest: ' || block_digest || {_NL} || 'Content-Type: ' || content_type || {_NL} || 'Content-Length: ' || content_length || {_NL} || array_to_string(list_transform(list_filter(string_split(source_headers, {_NL}), lambda x: x <> ''), lambda x: 'WARC-Source-Header: ' || x || {_NL}), '') || {_NL} AS headers, block
 FROM d
 """
