@@ -16,14 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.llm.common import _WINDOW, _hashed, mix, narrowed, raw, sliced, texts_of
-from seamline.plans.lineage import cut, stored
+from seamline.plans.lineage import Pile, stored
 
 SPAN = 16
 RADIUS = 24
 MOST = 256
 #: Passages of over 50 words.
 MIN_WORDS = 51
-#: Bytes beyond a run in which its extension is sought: 50 words and what a cut may be away.
+#: Bytes beyond a run in which its extension is sought first: 50 usual words and what a cut may be away. Where all of them
+#: agree and the run is still short, four times as many follow.
 REACH = 512
 #: A place in one long number: so many bits for the byte in its text.
 SHIFT = 26
@@ -179,11 +180,22 @@ def _alike(a, b):
     return F.when(at > 0, at - 1).otherwise(F.size(same).cast("long")).cast("int")
 
 
-def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def lengthened(runs: DataFrame, df: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``runs`` extended until they have ``least`` words or the texts differ, however long the words are: those that have."""
+    found, reach = Pile(df.sparkSession), REACH
+    while True:
+        step = stored(extended(runs, df, key, text, reach))
+        found.add(step.where(F.col("words") >= least).drop("open"))
+        runs, reach = step.where(F.col("open") & (F.col("words") < least)).drop("open"), reach * 4
+        if runs.isEmpty():
+            return found.rows()
+
+
+def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """``runs`` with start, keeper_start, size and words after extension to both sides by equal blank-separated words.
 
-    A run takes its own surroundings, REACH bytes on each side, to the keeper's text; the words that agree are added.
-    Only texts with runs are read again.
+    A run takes its own surroundings, ``reach`` bytes on each side, to the keeper's text; the words that agree are added.
+    Only texts with runs are read again. ``open`` says that all bytes on a side agreed and that there are more.
     """
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text).cast("string"), "UTF-8").alias("b"))
 
@@ -192,9 +204,9 @@ def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "t
         one = narrowed(texts, ids, "doc").select(F.col("doc").alias("_doc"), "b")
         return rows.join(one, F.col(doc) == F.col("_doc")).drop("_doc")
 
-    first = lambda at: F.greatest(F.lit(0), F.col(at) - REACH)
+    first = lambda at: F.greatest(F.lit(0), F.col(at) - reach)
     before = lambda at: F.substring(F.col("b"), first(at) + 1, F.col(at) - first(at))
-    after = lambda at: F.substring(F.col("b"), F.col(at) + F.col("size") + 1, F.lit(REACH))
+    after = lambda at: F.substring(F.col("b"), F.col(at) + F.col("size") + 1, F.lit(reach))
     own = joined(runs, "doc").withColumns({"b1": before("start"), "a1": after("start")}).drop("b")
     both = joined(own, "keeper").withColumns({"b2": before("keeper_start"), "a2": after("keeper_start")}).drop("b")
     words = lambda c: F.split(F.regexp_replace(F.col(c).cast("string"), "[\\x00-\\x20]", " "), " ")
@@ -203,8 +215,9 @@ def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "t
     length = lambda c: F.octet_length(F.array_join(c, " "))
     full = lambda c: F.size(F.filter(c, lambda w: w != ""))
     grown = met.withColumns({"lb": length("l"), "rb": length("r")})
+    more = (F.col("lb") >= reach) | (F.col("rb") >= reach)
     return grown.select(
-        "doc", "keeper", (F.col("start") - F.col("lb")).alias("start"), (F.col("keeper_start") - F.col("lb")).alias("keeper_start"),
+        more.alias("open"), "doc", "keeper", (F.col("start") - F.col("lb")).alias("start"), (F.col("keeper_start") - F.col("lb")).alias("keeper_start"),
         (F.col("size") + F.col("lb") + F.col("rb")).alias("size"), (F.col("words") + full("l") + full("r")).alias("words"),
     ).distinct()
 
@@ -219,8 +232,8 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", mi
     """
     runs = stored(shared_runs(df, key, text))
     long = runs.where(F.col("words") >= min_words)
-    short = extended(runs.where(F.col("words") < min_words), df, key, text).where(F.col("words") >= min_words)
-    passages = cut(long.unionByName(short))
+    short = lengthened(runs.where(F.col("words") < min_words), df, min_words, key, text)
+    passages = stored(long.unionByName(short))
     copies = passages.select("doc", "start", "size", "words", "keeper", F.lit(False).alias("is_keeper"))
     kept = passages.select(F.col("keeper").alias("doc"), F.col("keeper_start").alias("start"), "size", "words", "keeper", F.lit(True).alias("is_keeper")).distinct()
     line = W.partitionBy("doc", "keeper").orderBy("start", "size")
