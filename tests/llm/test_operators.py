@@ -124,6 +124,42 @@ def test_repeated_passages(odd, none, spark):
     assert {r.doc_id - (1 << 50) for r in chunking.repeated_passages(wide).collect()} == {9, 10}
 
 
+def shared_windows(rows, width):
+    """Texts that have a window of ``width`` words which another text has too."""
+    owners = defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - width + 1):
+            owners[tuple(w[i : i + width])].add(d)
+    return {d for o in owners.values() if len(o) > 1 for d in o}
+
+
+def test_repeated_passages_recall(spark):
+    r = random.Random(23)
+    stock = [words(r.randrange(8, 20), 7000 + i) for i in range(12)]
+    passages = [words(r.randrange(51, 80), 8000 + i) for i in range(25)]
+    rows = []
+    for d in range(240):
+        parts = [words(r.randrange(5, 60), 9000 + d), r.choice(stock), words(r.randrange(5, 60), 9500 + d)]
+        if d % 3 == 0:
+            parts.insert(r.randrange(4), r.choice(passages))
+        rows.append((d, "\n".join(parts)))
+    want = shared_windows(rows, 51)
+    got = {x.doc_id for x in chunking.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.98 * len(want) and not got - want
+
+
+def test_short_runs_grow_as_far_as_texts_agree(spark):
+    shared = [w * 8 for w in words(60, 31).split()]
+    one, two = "a b " + " ".join(shared) + " x", "some other " + " ".join(shared) + " end"
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    size = len(shared[30])
+    runs = spark.createDataFrame([(2, 1, two.index(shared[30]), one.index(shared[30]), size, 1)], "doc long, keeper long, start int, keeper_start int, size int, words int")
+    assert len(" ".join(shared)) > 4 * chunking.REACH
+    (got,) = chunking.lengthened(runs, docs, 51).collect()
+    assert got.words >= 51 and " ".join(shared[10:50]) in two[got.start : got.start + got.size]
+
+
 def test_matroska_columns(odd, none):
     stored = matroska.store(odd)
     got = {(r.doc_id, r.payload_sha256): r for r in matroska.read_back(stored).collect()}
@@ -286,6 +322,13 @@ def test_warc_records(spark):
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
+        own = one[r.record_type] if r.page_id == 1 else None
+        if own:
+            lines = head.decode().split("\r\n")
+            assert fields["WARC-Refers-To-Payload-Digest"] == own.source_payload_digest
+            assert [x.removeprefix("WARC-Source-Header: ") for x in lines if x.startswith("WARC-Source-Header: ")] == own.source_headers.split("\r\n")[:-2]
+            other = one["conversion" if r.record_type == "metadata" else "metadata"]
+            assert fields["WARC-Concurrent-To"] == f"<{other.record_id}>"
         assert rest[len(block) :] == b"\r\n\r\n" and fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest() and fields["WARC-Refers-To"].startswith("<urn:uuid:")
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
