@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamline.plans.lineage import stored
+
 # Notices by which licences are declared, in natural order.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -90,7 +92,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     new = ("own_licence", "own_score", "licence", "inherited_from", "_path", "_directory")
     kept = [c for c in files.columns if c != text and c.lower() not in new]
     named = files.withColumn("_path", F.coalesce(F.col(path).cast("string"), F.lit("")))
-    own = own_licences(named.select("_path", F.col(text).cast("string").alias("_text")), "_path", "_text", least, templates)
+    # few rows: only files with a notice; they give the votes and are joined back
+    own = stored(own_licences(named.select("_path", F.col(text).cast("string").alias("_text")), "_path", "_text", least, templates))
     declared = directory_licences(own, licence_file)
     rows = named.select(*kept, "_path").withColumn("_directory", directory(F.col("_path")))
     places = rows.select(F.col("_directory").alias("place")).distinct()
