@@ -184,7 +184,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # rows that repeat a key and a set
     reps = one.dropDuplicates(["node"])
     places = reps.select("node", "rep", "n_shingles", "d1", "d2", F.posexplode("bands").alias("band", "value")).withColumnsRenamed({"node": "doc", "n_shingles": "n"})
-    heads = places.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("texts"), F.sum("n").alias("mass")).where("texts > 1")
+    # stored, so that the join has a shuffle of its own in which a bucket that very many texts share can be split
+    heads = stored(places.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("texts")).where("texts > 1"))
     placed = stored(places.join(heads, ["band", "value"]).select("band", "value", "doc", "rep", "d1", "d2", "n", "leader", "texts"))
 
     # from here on doc is the number of a class
