@@ -210,8 +210,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         return rows_.join(known, F.col(doc) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", doc)).drop("_node", "_component")
 
     marked = cut(grouped(placed.where("texts > 2"), "doc", "group"))
-    mixed = marked.groupBy("band", "value").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.when(F.col("doc") == F.col("leader"), F.col("group"))).alias("main")).where("low <> high")
-    open_ = marked.join(mixed.select("band", "value", "main"), ["band", "value"])
+    # by group first, then by bucket: what the blocks need to know, in one row for each bucket
+    each = marked.groupBy("band", "value", "group").agg(F.count("*").alias("texts"), F.sum("n").alias("mass"), F.max(F.col("doc") == F.col("leader")).alias("leads"))
+    main = lambda c: F.sum(F.when(F.col("leads"), F.col(c)).otherwise(0))
+    blocks_of = lambda texts, mass: F.greatest(F.ceil(mass / BLOCK_SHINGLES), F.ceil(texts / BLOCK_TEXTS), F.lit(1))
+    mixed = each.groupBy("band", "value").agg(
+        F.count("*").alias("groups"), F.min(F.when(F.col("leads"), F.col("group"))).alias("main"), blocks_of(F.sum("texts") - main("texts"), F.sum("mass") - main("mass")).alias("ln"), blocks_of(F.sum("texts"), F.sum("mass")).alias("rn")
+    )
+    # stored for the same reason as the leaders
+    mixed = stored(mixed.where("groups > 1").drop("groups"))
+    open_ = marked.join(mixed, ["band", "value"])
 
     small = open_.where(f"texts <= {SMALL_BUCKET} AND doc <> leader")
     left = small.select("band", "value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
@@ -219,11 +227,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     pairs = left.join(right, ["band", "value"]).where("a < b AND ga <> gb").where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     more = confirmed(pairs)
 
-    large = open_.where(f"texts > {SMALL_BUCKET}")
-    sums = large.groupBy("band", "value").agg(
-        *[F.greatest(F.ceil(F.sum(F.when(on, F.col("n")).otherwise(0)) / BLOCK_SHINGLES), F.ceil(F.count_if(on) / BLOCK_TEXTS), F.lit(1)).alias(name) for name, on in (("ln", F.col("group") != F.col("main")), ("rn", F.lit(True)))]
-    )
-    spread = large.join(sums, ["band", "value"])
+    spread = open_.where(f"texts > {SMALL_BUCKET}")
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     lefts = spread.where("group <> main").select("band", "value", "doc", "group", F.lit(True).alias("left"), own("ln").alias("i"), every("rn").alias("j"))
