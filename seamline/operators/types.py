@@ -131,16 +131,66 @@ def field_usage(endpoints: DataFrame, edges: DataFrame, fields: DataFrame, reads
 
     ``reads`` are field reads with their endpoint. Endpoints whose response holds the DTO have a row without reads too.
     """
-    from seamline.functions.paths import format_access_path, path_starts_with
+    own = fields.select("repo", "dto_id", F.col("name").alias("field"), F.array("name").alias("tail"))
+    return _counted(places_with_reads(endpoints, edges, own, reads))
+
+
+def match_fields(query: str, dtos: DataFrame, fields: DataFrame) -> DataFrame:
+    """(repo, dto_id, field, tail): DTO fields that ``Type.field.path`` names; ``tail`` is the path.
+
+    The longest type name counts for which a repository has a DTO, by its id, the end of its id or its simple name, that
+    owns the first field. A query without a dot names nothing.
+    """
+    parts = query.split(".")
+    splits = [(i, ".".join(parts[: len(parts) - 1 - i]), parts[len(parts) - 1 - i :]) for i in range(len(parts) - 1)]
+    if not splits:
+        return dtos.limit(0).select("repo", F.col("id").alias("dto_id"), F.col("name").alias("field"), F.array("name").alias("tail"))
+    cases = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(t).alias("type_name"), F.array(*map(F.lit, path)).alias("tail")) for i, t, path in splits])
+    each = dtos.select("repo", F.col("id").alias("dto_id"), F.col("name").alias("simple"), F.inline(cases))
+    named = each.where((F.col("dto_id") == F.col("type_name")) | (F.col("simple") == F.col("type_name")) | F.endswith("dto_id", F.concat(F.lit("."), "type_name")))
+    owned = named.withColumn("head", F.get("tail", F.lit(0))).join(fields.select("repo", "dto_id", F.col("name").alias("head")), ["repo", "dto_id", "head"], "left_semi")
+    least = owned.groupBy("repo").agg(F.min("turn").alias("turn"))
+    return owned.join(least, ["repo", "turn"]).select("repo", "dto_id", F.array_join("tail", ".").alias("field"), "tail")
+
+
+def impact_of_field(query: str, endpoints: DataFrame, edges: DataFrame, dtos: DataFrame, fields: DataFrame, reads: DataFrame) -> DataFrame:
+    """field_usage() of the fields that ``Type.field.path`` names: every place where they are sent, with reads at it or below."""
+    return _counted(places_with_reads(endpoints, edges, match_fields(query, dtos, fields), reads))
+
+
+def type_hits(text: str, endpoints: DataFrame, edges: DataFrame, dtos: DataFrame, fields: DataFrame, reads: DataFrame) -> DataFrame:
+    """(repo, kind, label, detail, apis, files): DTOs whose id, and fields whose name, holds ``text``, in any case.
+
+    ``apis`` of a field counts the places where it is sent.
+    """
+    has = lambda c: F.contains(F.lower(c), F.lit(text.lower()))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    names = dtos.select("repo", F.col("id").alias("dto_id"), F.col("name").alias("simple"))
+    by_dto = names.where(has("dto_id")).join(dto_usage(endpoints, edges, reads), ["repo", "dto_id"], "left").select("repo", F.lit("dto").alias("kind"), F.col("simple").alias("label"), F.col("dto_id").alias("detail"), zero("endpoints").alias("apis"), zero("files"))
+    wanted = fields.where(has("name")).select("repo", "dto_id", F.col("name").alias("field"), F.array("name").alias("tail"))
+    met = places_with_reads(endpoints, edges, wanted, reads)
+    counts = met.groupBy("repo", "dto_id", "field").agg(F.count_distinct("endpoint_id", "target").alias("apis"), F.count_distinct("file").alias("files"))
+    found = wanted.select("repo", "dto_id", "field").join(names, ["repo", "dto_id"]).join(counts, ["repo", "dto_id", "field"], "left")
+    return by_dto.unionByName(found.select("repo", F.lit("field").alias("kind"), F.concat_ws(".", "simple", "field").alias("label"), F.col("dto_id").alias("detail"), zero("apis"), zero("files")))
+
+
+def places_with_reads(endpoints: DataFrame, edges: DataFrame, wanted: DataFrame, reads: DataFrame) -> DataFrame:
+    """(repo, dto_id, field, endpoint_id, target, id, file, ...): each place where a wanted field (repo, dto_id, field, tail) is sent, with the reads at it or below, or one row without."""
+    from seamline.functions.paths import path_starts_with
 
     roots = endpoints.select("repo", F.col("response_type_json").alias("type"))
     places = paths_to_dtos(roots, edges).withColumnRenamed("root", "response_type_json")
-    named = places.join(fields.select("repo", "dto_id", F.col("name").alias("field")), ["repo", "dto_id"]).withColumn("target", F.concat("path", F.array("field"))).drop("path")
+    named = places.join(wanted.select("repo", "dto_id", "field", "tail"), ["repo", "dto_id"]).withColumn("target", F.concat("path", "tail")).drop("path", "tail")
     sent = endpoints.select("repo", F.col("id").alias("endpoint_id"), "response_type_json").join(named, ["repo", "response_type_json"])
     seen = reads.select("repo", "endpoint_id", "id", "path", "file", "containing_component").where("endpoint_id IS NOT NULL")
     # a read is met by its own prefixes, so that an endpoint with many reads and many fields isn't multiplied out
     prefixes = seen.withColumn("target", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))))
-    met = sent.join(prefixes, ["repo", "endpoint_id", "target"], "left").where(F.col("path").isNull() | path_starts_with(F.col("path"), F.col("target")))
+    return sent.join(prefixes, ["repo", "endpoint_id", "target"], "left").where(F.col("path").isNull() | path_starts_with(F.col("path"), F.col("target")))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    from seamline.functions.paths import format_access_path
+
     return met.groupBy("repo", "dto_id", "field", "endpoint_id", format_access_path(F.col("target")).alias("response_path")).agg(
         F.count("id").alias("reads"), F.count_distinct("file").alias("files"), F.count_distinct("containing_component").alias("components")
     )

@@ -149,6 +149,26 @@ def match_api_keys(keys: DataFrame, endpoints: DataFrame, query: str) -> DataFra
     return found.withColumn("least", F.min("tier").over(W.partitionBy("repo"))).where("tier = least").select("repo", "api_key", "tier")
 
 
+def impact_of_api(keys: DataFrame, usage: DataFrame, counts: DataFrame) -> DataFrame:
+    """``usage`` of the matched ``keys`` (repo, api_key, tier), with ``fields``: the reads of each response path (field_counts), by path."""
+    wanted = keys.select("repo", "api_key", "tier")
+    read = counts.join(wanted, ["repo", "api_key"], "left_semi").groupBy("repo", "api_key").agg(F.array_sort(F.collect_list(F.struct("path", "reads"))).alias("fields"))
+    return wanted.join(usage, ["repo", "api_key"]).join(read, ["repo", "api_key"], "left")
+
+
+def impact_of_files(linked: DataFrame, reads: DataFrame, functions: DataFrame, dependents: DataFrame) -> DataFrame:
+    """(repo, file, own_apis, clients, dependents, apis, files, components) of every file that uses an API: its own APIs, client
+    functions that other files call, files that import it (repo, file, dependent), and what a change of it may affect."""
+    at = ["repo", "file"]
+    own = file_apis(linked, reads).groupBy(*at).agg(F.count("*").alias("own_apis"))
+    clients = client_functions(linked, functions).groupBy(*at).agg(F.count("*").alias("clients"))
+    above = dependents.groupBy(*at).agg(F.count("*").alias("dependents"))
+    found = blast_radius(linked, reads, functions)
+    for part in (own, clients, above):
+        found = found.join(part, at, "left")
+    return found.na.fill(0, ["own_apis", "clients", "dependents"])
+
+
 def _has(c: str, text: str) -> Column:
     return F.contains(F.lower(c), F.lit(text.lower()))
 

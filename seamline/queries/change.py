@@ -8,7 +8,7 @@ from seamline.functions import paths as P
 from seamline.operators import diff, extract, impact, index, review
 from seamline.operators.contract import check_contract, contract_result
 from seamline.plans.lineage import stored
-from seamline.queries.duck import norm, shown
+from seamline.queries.duck import linked, norm, shown
 from seamline.queries.usage import Facts
 from seamline.sources.lens import lens, lens_sql
 from seamline.sources.tables import table
@@ -199,5 +199,8 @@ ORACLES = {
     "page_imports": "SELECT 'src/p' || page_id || '.ts' AS file, './p' || (page_id + 1) AS source, ['a', 'b'] AS specifiers, CASE WHEN page_id + 1 IN (SELECT page_id FROM pages) THEN 'src/p' || (page_id + 1) || '.ts' END AS resolved_file FROM pages UNION ALL SELECT 'src/p' || page_id || '.ts', 'lib' || (page_id % 7), ['D'], NULL FROM pages",
     "spring_mappings": """WITH r AS (SELECT 'C#h' || p_partkey AS handler, p_partkey AS pos, '/' || lower(p_type) || '/' || unnest([replace(p_name, ' ', '/'), '{id}']) AS path, CASE WHEN p_size % 3 = 0 THEN ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'] ELSE ['GET'] END AS m FROM part)
       SELECT id, handler, pos FROM (SELECT *, unnest(m) || ' ' || path AS id FROM r) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1""",
+    "touched_apis": linked(
+        "SELECT DISTINCT repo, api_key FROM (SELECT repo, file, api_key FROM linked UNION ALL SELECT repo, file, api_key FROM reads) u SEMI JOIN (SELECT repo, file FROM property_accesses WHERE id LIKE '%9:1') t USING (repo, file)"
+    ),
     "callees": f"WITH {lens_sql('api_calls')} SELECT repo, caller_function_id AS function_id, list_sort(list_distinct(list(callee))) AS callees FROM api_calls GROUP BY ALL",
 }

@@ -70,6 +70,23 @@ def dto_usage(spark, folder):
     return types.dto_usage(f.endpoints, types.type_edges(roots, dtos, fields), field_reads(f.reads, f.linked))
 
 
+def field_impact(spark, folder):
+    f = Facts(spark, folder, keep=True)
+    _, dtos, fields = _tables(spark, folder)
+    edges = types.type_edges(f.endpoints.select("repo", F.col("response_type_json").alias("type")), dtos, fields)
+    reads = field_reads(f.reads, f.linked)
+    one = types.impact_of_field("D3.parent.name", f.endpoints, edges, dtos, fields, reads)
+    return one.unionByName(types.impact_of_field("pkg.Page.total", f.endpoints, edges, dtos, fields, reads))
+
+
+def search_types(spark, folder):
+    f = Facts(spark, folder, keep=True)
+    _, dtos, fields = _tables(spark, folder)
+    roots = f.endpoints.select("repo", F.col("response_type_json").alias("type")).union(f.endpoints.select("repo", "body_type_json"))
+    edges, reads = types.type_edges(roots, dtos, fields), field_reads(f.reads, f.linked)
+    return types.type_hits("Pa", f.endpoints, edges, dtos, fields, reads)
+
+
 def _json(x: str, key: str) -> str:
     return f"json_extract_string({x}, '$.{key}')"
 
@@ -143,8 +160,24 @@ p AS (
   FROM p LEFT JOIN dto_fields f ON {_K} = 'dto' AND f.repo = p.repo AND f.dto_id = {_json('cur', 'dtoId')} WHERE {_K} = 'array' OR (f.name IS NOT NULL AND NOT list_contains(seen, {_json('cur', 'dtoId')}))),
 pl AS (SELECT repo, root, path, {_json('cur', 'dtoId')} AS dto_id FROM p WHERE {_K} = 'dto')"""
 
-QUERIES = {f.__name__: f for f in (contract_issues, contract_messages, contract_result, checked_apis, contract_scope, type_walk, dto_field_usage, dto_usage)}
+#: Rows of wanted fields ``q`` (repo, dto_id, field, tail) at each place, with their reads.
+_SENT = """(SELECT e.repo, e.id AS endpoint_id, pl.dto_id, q.field, list_concat(pl.path, q.tail) AS target FROM endpoints e JOIN pl ON pl.repo = e.repo AND pl.root = e.response_type_json JOIN q ON q.repo = e.repo AND q.dto_id = pl.dto_id) s
+  LEFT JOIN reads r ON r.repo = s.repo AND r.endpoint_id = s.endpoint_id AND r.path[1:len(s.target)] = s.target"""
+_DTO_USAGE = """SELECT a.repo, a.dto_id, a.n AS endpoints, coalesce(b.n, 0) AS files FROM (SELECT e.repo, pl.dto_id, count(DISTINCT e.id) AS n FROM endpoints e JOIN pl ON pl.repo = e.repo AND (pl.root = e.response_type_json OR pl.root = e.body_type_json) GROUP BY ALL) a
+  LEFT JOIN (SELECT e.repo, pl.dto_id, count(DISTINCT r.file) AS n FROM endpoints e JOIN pl ON pl.repo = e.repo AND pl.root = e.response_type_json JOIN reads r ON r.repo = e.repo AND r.endpoint_id = e.id AND len(r.path) > len(pl.path) AND r.path[1:len(pl.path)] = pl.path GROUP BY ALL) b USING (repo, dto_id)"""
+
+QUERIES = {f.__name__: f for f in (contract_issues, contract_messages, contract_result, checked_apis, contract_scope, type_walk, dto_field_usage, dto_usage, field_impact, search_types)}
 ORACLES = {
+    "field_impact": linked(
+        f"SELECT s.repo, s.dto_id, s.field, s.endpoint_id, {shown('s.target')} AS response_path, count(r.id) AS reads, count(DISTINCT r.file) AS files, count(DISTINCT r.containing_component) AS components FROM {_SENT} GROUP BY ALL",
+        *_NEED, extra=f"{_PLACES}, q AS (SELECT d.repo, d.id AS dto_id, 'parent.name' AS field, ['parent', 'name'] AS tail FROM dtos d SEMI JOIN dto_fields f ON f.repo = d.repo AND f.dto_id = d.id AND f.name = 'parent' WHERE d.name = 'D3' UNION ALL SELECT repo, id, 'total', ['total'] FROM dtos WHERE id = 'pkg.Page')",
+    ),
+    "search_types": linked(
+        f"""SELECT d.repo, 'dto' AS kind, d.name AS label, d.id AS detail, coalesce(u.endpoints, 0) AS apis, coalesce(u.files, 0) AS files FROM dtos d LEFT JOIN ({_DTO_USAGE}) u ON u.repo = d.repo AND u.dto_id = d.id WHERE contains(lower(d.id), 'pa')
+        UNION ALL SELECT q.repo, 'field', d.name || '.' || q.field, q.dto_id, coalesce(n.apis, 0), coalesce(n.files, 0) FROM q JOIN dtos d ON d.repo = q.repo AND d.id = q.dto_id
+        LEFT JOIN (SELECT s.repo, s.dto_id, s.field, count(DISTINCT (s.endpoint_id, s.target)) AS apis, count(DISTINCT r.file) AS files FROM {_SENT} GROUP BY ALL) n ON n.repo = q.repo AND n.dto_id = q.dto_id AND n.field = q.field""",
+        *_NEED, extra=f"{_PLACES}, q AS (SELECT repo, dto_id, name AS field, [name] AS tail FROM dto_fields WHERE contains(lower(name), 'pa'))",
+    ),
     "contract_issues": linked("SELECT repo, severity, code, file, line, col, api_call_id, access_id FROM iss", *_NEED, extra=_ISSUES),
     "contract_messages": linked("SELECT repo, severity, code, message, suggestion, count(*) AS issues FROM iss GROUP BY ALL", *_NEED, extra=_ISSUES),
     "contract_result": linked(
@@ -165,7 +198,6 @@ ORACLES = {
         *_NEED, extra=_PLACES,
     ),
     "dto_usage": linked(
-        "SELECT a.repo, a.dto_id, a.n AS endpoints, coalesce(b.n, 0) AS files FROM (SELECT e.repo, pl.dto_id, count(DISTINCT e.id) AS n FROM endpoints e JOIN pl ON pl.repo = e.repo AND (pl.root = e.response_type_json OR pl.root = e.body_type_json) GROUP BY ALL) a LEFT JOIN (SELECT e.repo, pl.dto_id, count(DISTINCT r.file) AS n FROM endpoints e JOIN pl ON pl.repo = e.repo AND pl.root = e.response_type_json JOIN reads r ON r.repo = e.repo AND r.endpoint_id = e.id AND len(r.path) > len(pl.path) AND r.path[1:len(pl.path)] = pl.path GROUP BY ALL) b USING (repo, dto_id)",
-        *_NEED, extra=_PLACES,
+        _DTO_USAGE, *_NEED, extra=_PLACES,
     ),
 }

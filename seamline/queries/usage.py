@@ -156,6 +156,18 @@ def merged_graphs(spark, folder):
     return nodes.select("repo", "id", "kind", "label", F.lit(None).cast("string").alias("dst")).unionByName(edges.select("repo", F.col("src").alias("id"), "kind", F.lit(None).cast("string").alias("label"), "dst"))
 
 
+def api_impact(spark, folder):
+    f = Facts(spark, folder, keep=True)
+    keys = usage.match_api_keys(usage.api_keys(f.linked, f.endpoints), f.endpoints, "c11#h")
+    found = usage.impact_of_api(keys, f.usage(), usage.field_counts(f.reads, f.linked))
+    return found.withColumn("fields", F.transform("fields", lambda x: F.concat_ws("=", x["path"], x["reads"].cast("string"))))
+
+
+def file_impact(spark, folder):
+    f = Facts(spark, folder, keep=True)
+    return usage.impact_of_files(f.linked, f.reads, f.functions, graph.dependents(lens(spark, folder, "imports")))
+
+
 _ONLY = "SELECT repo, id, api_key, file, call_file, status FROM reads"
 _USAGE = """
 keys AS (SELECT repo, api_key FROM linked UNION SELECT repo, id FROM endpoints),
@@ -218,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_calls, configured_clients, call_sites, field_reads, rank_apis, api_usage_no_backend, field_counts, unused_endpoints, file_apis, rank_files, client_functions, blast_radius,
-        index_summary, match_api_keys, search, dependents, graph_nodes, graph_edges, graph_reach, merged_graphs,
+        index_summary, match_api_keys, search, dependents, graph_nodes, graph_edges, graph_reach, merged_graphs, api_impact, file_impact,
     )
 }
 ORACLES = {
@@ -248,6 +260,21 @@ ORACLES = {
     "match_api_keys": linked(f"{_TIER(_T1)} UNION ALL {_TIER(_T2)}", extra=_MATCH),
     "search": linked(f"SELECT * FROM ({_search('s1')}) WHERE kind = 'file' UNION ALL {_search('card1')}", "files", extra=f"{_USAGE}, {_FILE_APIS}, {_RADIUS}"),
     "dependents": f"WITH RECURSIVE {lens_sql('imports')}, c AS (SELECT repo, resolved_file AS file, file AS dependent FROM imports WHERE resolved_file IS NOT NULL AND resolved_file <> file UNION SELECT c.repo, c.file, i.file FROM c JOIN imports i ON i.repo = c.repo AND i.resolved_file = c.dependent) SELECT * FROM c WHERE file <> dependent",
+    # the two halves' union is the graph of all calls
+    "merged_graphs": linked("SELECT repo, id, kind, label, NULL AS dst FROM gn WHERE status IS DISTINCT FROM 'unused' UNION ALL SELECT repo, src, kind, NULL, dst FROM ge", extra=_GRAPH),
+    "api_impact": linked(
+        f"""SELECT k.repo, k.api_key, 3 AS tier, u.status, u.handler, u.call_sites, u.field_reads, u.files, u.components, fc.fields FROM (SELECT repo, id AS api_key FROM endpoints WHERE contains(lower(handler), 'c11#h')) k JOIN u USING (repo, api_key)
+        LEFT JOIN (SELECT repo, api_key, list(p || '=' || n ORDER BY p) AS fields FROM (SELECT repo, api_key, {shown('path')} AS p, count(*) AS n FROM reads GROUP BY ALL) GROUP BY ALL) fc USING (repo, api_key)""",
+        extra=_USAGE,
+    ),
+    "file_impact": linked(
+        """SELECT br.repo, br.file, coalesce(o.n, 0) AS own_apis, coalesce(c.n, 0) AS clients, coalesce(d.n, 0) AS dependents, br.apis, br.files, br.components FROM br
+        LEFT JOIN (SELECT repo, file, count(*) AS n FROM fa GROUP BY ALL) o USING (repo, file)
+        LEFT JOIN (SELECT repo, file, count(*) AS n FROM (SELECT DISTINCT l.repo, f.file, f.name FROM linked l JOIN functions f ON f.repo = l.repo AND f.id = l.wrapper_function_id WHERE f.file <> l.file) GROUP BY ALL) c USING (repo, file)
+        LEFT JOIN (SELECT repo, file, count(*) AS n FROM dep WHERE file <> dependent GROUP BY ALL) d USING (repo, file)""",
+        "imports",
+        extra=f"{_FILE_APIS}, {_RADIUS}, dep AS (SELECT repo, resolved_file AS file, file AS dependent FROM imports WHERE resolved_file IS NOT NULL AND resolved_file <> file UNION SELECT dep.repo, dep.file, i.file FROM dep JOIN imports i ON i.repo = dep.repo AND i.resolved_file = dep.dependent)",
+    ),
     "graph_nodes": linked("SELECT * FROM gn", extra=_GRAPH),
     "graph_edges": linked("SELECT * FROM ge", extra=_GRAPH),
     "graph_reach": linked("SELECT gn.repo, gn.id, gn.kind, coalesce(n, 0) AS impact FROM gn LEFT JOIN (SELECT repo, id, count(*) AS n FROM im GROUP BY ALL) USING (repo, id)", extra=f"{_GRAPH}, {_REACH}"),
