@@ -1,13 +1,17 @@
-"""Licence scans: TF-IDF cosine of header lines to templates, then inheritance from the nearest directory.
+"""Licence scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
-Only DataFrame functions. Lines with a cue word are turned into sparse TF-IDF vectors and compared with the templates;
-a file's own licence is that of its most similar line. A file without one takes the licence that the licence files of its
-nearest ancestor directory declare. Directories are resolved once each, by joins of path prefixes.
+Only DataFrame functions. Wherever a cue word stands in a text, each template that has such a word is laid over the text
+so that the two words meet; the words below it, as many as the template has and whatever lines they are on, are turned
+into a sparse TF-IDF vector and compared with the template. A file's own licence is that of its most similar window. A
+file without one takes the licence that the licence files of its nearest ancestor directory declare. Directories are
+resolved once each, by joins of path prefixes.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +29,25 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 )
-#: A line without any of these words isn't compared; every template has one.
-CUES = r"(?i)licen[cs]|rights reserved|permission|permitted|redistribut"
+#: Templates are laid over texts at words with one of these; every template has one.
+CUES = r"licen[cs]|reserved|permission|permitted|redistribut"
 TERM = r"[a-z0-9]+"
 LEAST = 0.6
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -42,30 +57,58 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def cue(word: Column) -> Column:
+    """What a cue word and a template's cue word must have in common: five letters; '' for other words."""
+    return F.substring(F.regexp_extract(word, CUES, 0), 1, 5)
+
+
 def template_vectors(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, DataFrame, float]:
-    """(template, licence, term, weight / norm), (term, idf) and the idf of terms that no template has. All are as small as ``templates``."""
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, text string")
-    tf = rows.select("template", "licence", F.explode(words(F.col("text"))).alias("term")).groupBy("template", "licence", "term").count()
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1.0 + len(templates)) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(idf, "term").withColumn("weight", F.col("count") * F.col("idf"))
-    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, "template").select("template", "licence", "term", (F.col("weight") / F.col("norm")).alias("unit")), idf, math.log(1.0 + len(templates)) + 1
+    """(cue, template, licence, place, size, weights) per cue word of a template, (cue, idf), and the idf of terms that no template has.
+
+    ``weights`` maps a term to its idf times its share of the template's unit vector, ``idf`` the terms of all templates
+    to theirs. Both tables are as small as ``templates``.
+    """
+    lists = [re.findall(TERM, text.lower()) for _, text in templates]
+    found = Counter(term for terms in lists for term in set(terms))
+    idf = {term: math.log((1.0 + len(templates)) / (1.0 + n)) + 1 for term, n in found.items()}
+    places, cues = [], set()
+    for i, ((licence, _), terms) in enumerate(zip(templates, lists)):
+        weight = {term: n * idf[term] for term, n in Counter(terms).items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        weights = {term: idf[term] * w / norm for term, w in weight.items()}
+        for place, term in enumerate(terms):
+            if hit := re.search(CUES, term):
+                cues.add(hit[0][:5])
+                places.append((hit[0][:5], i, licence, place, len(terms), weights))
+    laid = spark.createDataFrame(places, "cue string, template int, licence string, place int, size int, weights map<string,double>")
+    return laid, spark.createDataFrame([(c, idf) for c in sorted(cues)], "cue string, idf map<string,double>"), math.log(1.0 + len(templates)) + 1
 
 
 def own_licences(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
-    """(path, own_licence, own_score) of files with a line whose cosine to a template is ``least`` or more.
+    """(path, own_licence, own_score) of files with words whose cosine to a template is ``least`` or more.
 
-    The most similar line counts; ties go to the first template. Whole texts are scanned; only lines with a cue word
-    are split into terms. Rows that repeat a path are judged as one file.
+    The most similar window counts; ties go to the first template. Whole texts are scanned, line ends are as blanks;
+    only texts with a cue are split into terms, and only the terms round a cue are looked at again. Nothing but one row
+    per file is shuffled. Rows that repeat a path are judged as one file.
     """
-    units, idf, unseen = template_vectors(files.sparkSession, templates)
-    lines = files.where(F.col(text).rlike(CUES)).select(F.col(path).alias("path"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "text")).where(F.col("text").rlike(CUES))
-    tf = lines.select("path", "line", F.explode(words(F.col("text"))).alias("term")).groupBy("path", "line", "term").count()
-    # the templates are a fixed list, so their terms may be broadcast
-    weighed = tf.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(F.broadcast(units), "term").groupBy("path", "line", "template", "licence").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    laid, idf, unseen = template_vectors(files.sparkSession, templates)
+    reach = max(len(re.findall(TERM, t)) for _, t in templates)
+    split = files.where(F.col(text).rlike("(?i)" + CUES)).select(F.col(path).alias("path"), words(F.col(text)).alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CUES), i)), lambda i: i.isNotNull())
+    near = lambda i: F.struct(cue(F.get("words", i)).alias("cue"), F.least(i, F.lit(reach)).alias("before"), F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("terms"))
+    around = split.select("path", F.explode(F.transform(hits, near)).alias("c")).select("path", "c.*")
+    # the templates are a fixed list, so tables made of them may be broadcast
+    known = around.join(F.broadcast(idf), "cue").withColumn("idfs", F.transform("terms", lambda w: F.coalesce(F.try_element_at("idf", w), F.lit(unseen)))).drop("idf")
+    over = known.join(F.broadcast(laid), "cue").withColumn("start", F.col("before") - F.col("place"))
+    first, last = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("start") + F.col("size"), F.size("terms"))
+    window = over.select("path", "template", "licence", "weights", F.slice("terms", first + 1, last - first).alias("terms"), F.slice("idfs", first + 1, last - first).alias("idfs"))
+    dot = F.aggregate("terms", F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at("weights", w), F.lit(0.0)))
+    # the norm when no term repeats; repeats only lengthen it, so what is below ``least`` here stays there
+    shortest = F.sqrt(F.aggregate("idfs", F.lit(0.0), lambda a, x: a + x * x))
+    likely = window.withColumn("dot", dot).where(F.col("dot") >= F.lit(least) * shortest - 1e-6)
+    squares = F.transform("idfs", lambda x, i: x * x * F.size(F.filter("terms", lambda w: w == F.get("terms", i))))
+    norm = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+    scored = likely.select("path", "template", "licence", F.round(F.col("dot") / norm, 6).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("path").agg(F.max(F.struct("score", (-F.col("template")).alias("rank"), "licence")).alias("best"))
     return best.select("path", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("own_score"))
 
@@ -134,11 +177,19 @@ f AS (
     WHEN doc_id % 64 = 0 THEN '/a' || (doc_id // 1024) || '/LICENSE.' || doc_id
     WHEN doc_id % 8 = 0 THEN '/a' || (doc_id // 1024) || '/b' || (doc_id // 64) || '/LICENSE.' || doc_id
     ELSE '/a' || (doc_id // 1024) || '/b' || (doc_id // 64) || '/c' || (doc_id // 8) || '/' || doc_id || '.txt' END AS path FROM documents),
-l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f WHERE regexp_matches(text, '{CUES}')),
-lt AS (SELECT path, line, term, count(*) AS n FROM (SELECT path, line, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM l WHERE regexp_matches(text, '{CUES}')) GROUP BY ALL),
-lw AS (SELECT path, line, term, n * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS weight FROM lt LEFT JOIN idf USING (term)),
-ln AS (SELECT path, line, sqrt(sum(weight * weight)) AS norm FROM lw GROUP BY ALL),
-sc AS (SELECT path, template, licence, round(sum(weight * unit) / any_value(norm), 6) AS score FROM lw JOIN u USING (term) JOIN ln USING (path, line) GROUP BY path, line, template, licence),
+tp AS (
+  SELECT template, licence, size, unnest(range(size)) AS place, unnest(ws) AS term
+  FROM (SELECT template, licence, regexp_extract_all(lower(text), '{TERM}') AS ws, len(regexp_extract_all(lower(text), '{TERM}')) AS size FROM t)),
+laid AS (SELECT template, licence, size, place, regexp_extract(term, '{CUES}')[1:5] AS cue FROM tp WHERE regexp_matches(term, '{CUES}')),
+fw AS (SELECT row_number() OVER () AS r, path, regexp_extract_all(lower(text), '{TERM}') AS ws FROM f WHERE regexp_matches(text, '(?i){CUES}')),
+hit AS (
+  SELECT r, path, ws, pos, regexp_extract(term, '{CUES}')[1:5] AS cue
+  FROM (SELECT r, path, ws, unnest(range(len(ws))) AS pos, unnest(ws) AS term FROM fw) WHERE regexp_matches(term, '{CUES}')),
+win AS (SELECT DISTINCT r, path, template, licence, pos - place AS start, ws[greatest(pos - place, 0) + 1 : least(pos - place + size, len(ws))] AS ws FROM hit JOIN laid USING (cue)),
+lt AS (SELECT r, path, template, licence, start, term, count(*) AS n FROM (SELECT r, path, template, licence, start, unnest(ws) AS term FROM win) GROUP BY ALL),
+lw AS (SELECT lt.*, n * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS weight FROM lt LEFT JOIN idf USING (term)),
+sc AS (SELECT path, template, licence, round(sum(weight * coalesce(unit, 0)) / sqrt(sum(weight * weight)), 6) AS score
+       FROM lw LEFT JOIN u USING (template, licence, term) GROUP BY r, path, template, licence, start),
 own AS (SELECT path, licence AS own_licence, score AS own_score FROM sc WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, template) = 1),
 dl AS (
   SELECT directory, own_licence AS declared FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS directory, own_licence, count(*) AS n FROM own WHERE regexp_matches(path, '{LICENCE_FILE}') GROUP BY ALL)

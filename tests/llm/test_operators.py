@@ -344,6 +344,19 @@ def test_licences(spark):
     assert licenses.scan(files).count() == 8 and licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licences_over_lines_and_inside_long_texts(spark):
+    filler = words(20_000, 7)
+    texts = {
+        "wrapped": "/*\n * Permission is hereby granted, free\n * of charge, to any person obtaining a\n * copy of this software and associated\n * documentation files\n */\ncode",
+        "inside": filler + " Copyright 2024 Acme Corp. All rights reserved. Some more " + filler,
+        "start": "reserved. " + filler, "other": "a licence to speak, if permission is given, of reserved seats", "share": "x Licensed under CC BY-SA 4.0. y",
+        "lesser": "under the terms of the GNU Lesser General Public\nLicense, version 3.", "repeats": "license " * 500,
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = {r.path: r.own_licence for r in licenses.own_licences(files).collect()}
+    assert got == {"wrapped": "MIT", "inside": "proprietary", "share": "CC-BY-SA-4.0", "lesser": "LGPL-3.0"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_registered_query_equals_its_sql(spark, name):
     con = duckdb.connect()
