@@ -2,7 +2,7 @@
 
 Postings (term, document, positions) of the training tokens are stored as a table. A phrase is found from its rarest
 terms: their lists, moved by the terms' places in the phrase, are intersected, and what is left is checked word for
-word. Terms are 64-bit hashes of words.
+word. A proximity match is found from the lists of an item's two rarest terms. Terms are 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from seamline.plans.lineage import cut, stored
 WINDOW = 10
 #: So many of a window's rarest terms have their lists intersected before the words are checked.
 RAREST = 2
+#: Places at most between the two rarest terms of an item in a proximity match.
+SLOP = 8
 
 
 def _slots(terms: DataFrame | None) -> np.ndarray | None:
@@ -178,43 +180,63 @@ def verify(df: DataFrame, found: DataFrame, items: DataFrame, size: int = WINDOW
     return chosen.mapInArrow(run, f"doc {kind}, text_hash long, n_hit long, hits array<struct<item:string,start:int,item_start:int,words:int>>").where("n_hit > 0")
 
 
-def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The headers (doc, text_hash, n_words) of all texts and the verified matches (doc, text_hash, n_hit, hits)."""
+def _indexed(df: DataFrame, benchmark: DataFrame, size: int, key: str, text: str, item: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The items, the counts of their terms in ``df``, their windows, and the stored index of the windows' rarest terms."""
     items = cut(item_terms(benchmark, item, item_text))
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
-    sought = cut(windows(items, term_counts(df, vocabulary, text), size))
-    index = stored(build_index(df, window_terms(sought), key, text))
-    found = cut(alignments(index, sought))
-    return index.where("term IS NULL").select("doc", "text_hash", "n_words"), verify(df, found, items, size, key, text)
+    counts = stored(term_counts(df, vocabulary, text).join(vocabulary, "term", "left_semi"))
+    sought = cut(windows(items, counts, size))
+    return items, counts, sought, stored(build_index(df, window_terms(sought), key, text))
 
 
-def proximity_matches(index: DataFrame, benchmark: DataFrame, counts: DataFrame, slop: int = 8, rarest: int = RAREST, item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, text_hash, item, start, spread): places where an item's rarest terms all stand, in any order, within ``slop`` words.
+def _phrases(df: DataFrame, items: DataFrame, sought: DataFrame, index: DataFrame, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    return index.where("term IS NULL").select("doc", "text_hash", "n_words"), verify(df, cut(alignments(index, sought)), items, size, key, text)
 
-    The match starts at an occurrence of the item's rarest term; for each other term the nearest occurrence counts.
-    """
-    flat = item_terms(benchmark, item, item_text).select("item", "text_hash", F.explode("terms").alias("term")).distinct().withColumnRenamed("text_hash", "item_hash")
-    rank = F.row_number().over(W.partitionBy("item", "item_hash").orderBy("n", "term"))
-    chosen = flat.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", rank).where(F.col("rank") <= rarest)
-    parts = chosen.withColumn("parts", F.count("*").over(W.partitionBy("item", "item_hash")))
-    lists = index.where("term IS NOT NULL").join(parts, "term")
-    anchors = lists.where("rank = 1").select("doc", "text_hash", "item", "item_hash", "parts", F.explode("positions").alias("start"))
-    others = lists.where("rank > 1").select("doc", "text_hash", "item", "item_hash", "term", "positions")
-    near = anchors.join(others, ["doc", "text_hash", "item", "item_hash"], "left").withColumn("gap", F.array_min(F.transform("positions", lambda p: F.abs(p - F.col("start")))))
-    met = near.groupBy("doc", "text_hash", "item", "item_hash", "start", "parts").agg(F.count("gap").alias("n"), F.max(F.coalesce("gap", F.lit(0))).alias("spread"))
-    return met.where(F.col("n") == F.col("parts") - 1).where(F.col("spread") <= slop).select("doc", "text_hash", "item", "start", "spread").distinct()
+
+def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The headers (doc, text_hash, n_words) of all texts and the verified matches (doc, text_hash, n_hit, hits)."""
+    items, _, sought, index = _indexed(df, benchmark, size, key, text, item, item_text)
+    return _phrases(df, items, sought, index, size, key, text)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row per row of ``df``.
+def proximity_matches(index: DataFrame, items: DataFrame, counts: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc, text_hash, item, start, spread): places where an item's two rarest terms stand, in any order, ``slop`` places apart at most.
+
+    Ties go to the term that the item has first; an item of one term matches wherever it stands. The nearest two places
+    of different terms are neighbours among the places of both, so a text's places are sorted once and only neighbours
+    compared. The rarest two terms of an item are also the rarest of a window, so that an index of windows has them.
+    Rows without a key match nothing.
+    """
+    flat = items.select("item", F.col("text_hash").alias("item_hash"), F.posexplode("terms").alias("place", "term")).groupBy("item", "item_hash", "term").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(W.partitionBy("item", "item_hash").orderBy("n", "place"))
+    chosen = flat.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", rank).where("rank <= 2")
+    of_item = W.partitionBy("item", "item_hash")
+    # a term that no text has rules its item out, before any list is read
+    parts = chosen.withColumn("parts", F.count("*").over(of_item)).withColumn("least", F.min("n").over(of_item)).where("least > 0").select("item", "item_hash", "term", "rank", "parts")
+    lists = index.where("term IS NOT NULL AND doc IS NOT NULL").select("doc", "text_hash", "term", "positions").join(parts, "term")
+    alone = lists.where("parts = 1").select("doc", "text_hash", "item", F.explode("positions").alias("start"), F.lit(0).alias("spread"))
+    in_text = W.partitionBy("doc", "text_hash", "item", "item_hash")
+    both = lists.where("parts = 2").withColumn("ranks", F.size(F.collect_set("rank").over(in_text))).where("ranks = 2")
+    places = both.select("doc", "text_hash", "item", "item_hash", "rank", F.explode("positions").alias("start")).distinct()
+    before = lambda c: F.lag(c).over(in_text.orderBy("start"))
+    near = places.select("*", before("start").alias("last"), before("rank").alias("other")).where((F.col("rank") != F.col("other")) & (F.col("start") - F.col("last") <= slop))
+    return near.select("doc", "text_hash", "item", F.col("last").alias("start"), (F.col("start") - F.col("last")).alias("spread")).union(alone).distinct()
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row per row of ``df``; with ``slop`` also n_near, the items with a proximity match.
 
     A word inside any occurrence of a window of ``size`` consecutive item words (or of a whole shorter item) is hit. Null
     texts and items have no words; items of equal id count once. Rows that repeat a text give repeated rows. Other
-    columns aren't read. Empty tables give no row, or no hit.
+    columns aren't read. Empty tables give no row, or no hit. Rows without a key have no hits.
     """
-    headers, matches = phrase_matches(df, benchmark, size, key, text, item, item_text)
+    items, counts, sought, index = _indexed(df, benchmark, size, key, text, item, item_text)
+    headers, matches = _phrases(df, items, sought, index, size, key, text)
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
     hit = matches.select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), "n_hit", ids.alias("ids"))
+    if slop is not None:
+        near = proximity_matches(index, items, counts, slop).groupBy(F.col("doc").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count_distinct("item").alias("n_near"))
+        hit = hit.join(near, ["_d", "_h"], "full")
     joined = headers.join(hit, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
@@ -224,6 +246,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, key:
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")] if slop is not None else []),
     )
 
 
@@ -237,7 +260,14 @@ grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, n, i FROM grams JOIN win USING (n, g)),
 per AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+ip AS (SELECT item_id, w, t, min(pos) AS place FROM (SELECT item_id, w, unnest(w) AS t, unnest(range(len(w))) AS pos FROM (SELECT DISTINCT item_id, w FROM iw WHERE item_id IS NOT NULL)) GROUP BY ALL),
+dt AS (SELECT doc_id, w, unnest(w) AS t, unnest(range(len(w))) AS pos FROM dw),
+tn AS (SELECT t, count(*) AS n FROM dt GROUP BY t),
+rk AS (SELECT item_id, w, t, row_number() OVER (PARTITION BY item_id, w ORDER BY coalesce(n, 0), place) AS rank FROM ip LEFT JOIN tn USING (t) QUALIFY rank <= 2),
+pair AS (SELECT item_id, max(t) FILTER (rank = 1) AS a, max(t) FILTER (rank = 2) AS b FROM rk GROUP BY item_id, w),
+at1 AS (SELECT DISTINCT item_id, b, doc_id, w, pos FROM pair JOIN dt ON a = t),
+near AS (SELECT doc_id, w, count(DISTINCT item_id) AS n_near FROM at1 WHERE b IS NULL OR list_contains(w[greatest(pos - {SLOP}, 0) + 1 : pos + {SLOP} + 1], b) GROUP BY doc_id, w),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id, w)
 """

@@ -40,7 +40,7 @@ def op6_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_positional_index(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), slop=decontamination.SLOP)
 
 
 def op8_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:

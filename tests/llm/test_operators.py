@@ -213,9 +213,37 @@ def test_phrases_and_proximity(odd, spark):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     _, found = decontamination.phrase_matches(odd, items)
     assert {(r.doc, r.hits[0].start, r.hits[0].words) for r in found.collect()} == {(9, 40, 60), (10, 10, 60)}
-    index, counts = decontamination.build_index(odd), decontamination.term_counts(odd)
-    near = decontamination.proximity_matches(index, items, counts, slop=60)
-    assert {r.doc for r in near.collect()} >= {9, 10}
+
+
+def brute_proximity(rows, items, slop):
+    """(doc, item) of texts where the two least frequent words of an item stand ``slop`` places apart at most."""
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    counts, found = defaultdict(int), set()
+    for _, t in rows:
+        for w in tokens(t):
+            counts[w] += 1
+    for item, t in items:
+        rare = sorted(dict.fromkeys(tokens(t)), key=lambda w: counts[w])[:2]  # a stable sort: ties by first place
+        for doc, text in rows:
+            own = tokens(text)
+            at = [[i for i, w in enumerate(own) if w == x] for x in rare]
+            if doc is not None and rare and (at[0] if len(rare) == 1 else any(abs(i - j) <= slop for i in at[0] for j in at[1])):
+                found.add((doc, str(item)))
+    return found
+
+
+@pytest.mark.parametrize("slop", [1, 8, 60])
+def test_proximity_equals_brute_force(odd, none, spark, slop):
+    items = [*ITEMS, (11, "two one"), (12, "here no"), (13, words(10, 6)), (14, "one absentword")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    own, counts = decontamination.item_terms(table), decontamination.term_counts(odd)
+    found = decontamination.proximity_matches(decontamination.build_index(odd), own, counts, slop).collect()
+    want = brute_proximity(ODD, items, slop)
+    assert {(r.doc, r.item) for r in found} == want and all(0 <= r.spread <= slop for r in found)
+    per = {(r.doc_id, r.n_near) for r in decontamination.decontaminate(odd, table, slop=slop).collect()}
+    assert per == {(d, len({i for doc, i in want if doc == d})) for d, _ in ODD}
+    assert decontamination.decontaminate(none, table, slop=slop).count() == 0
+    assert {r.n_near for r in decontamination.decontaminate(odd, table.limit(0), slop=slop).collect()} == {0}
 
 
 def test_language_of_odd_rows(odd, none, spark):
