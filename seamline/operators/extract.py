@@ -216,26 +216,61 @@ def scan_spring(sources: DataFrame) -> DataFrame:
     return sources.select("repo", "file", "text").mapInPandas(run, "repo string, file string, prefixes array<string>, paths array<string>, methods array<string>, handler string, returns string, parameters array<string>, pos long")
 
 
-def bind_parameters(mappings: DataFrame) -> DataFrame:
-    """(repo, handler, name, source, required, java_type, pos): bound parameters; framework types are dropped, Pageable gives page, size and sort."""
+# Java types by how they are written as JSON, in natural order.
+PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "short")
+SCALARS = (
+    "String", "CharSequence", "Character", "Boolean", "Byte", "Short", "Integer", "Long", "Float", "Double", "BigDecimal", "BigInteger", "Number", "UUID",
+    "Date", "LocalDate", "LocalDateTime", "LocalTime", "OffsetDateTime", "OffsetTime", "ZonedDateTime", "Instant", "Duration", "Period",
+    "YearMonth", "Year", "MonthDay", "URI", "URL", "Currency", "Locale", "ZoneId",
+)
+LISTS = ("List", "ArrayList", "LinkedList", "Set", "HashSet", "LinkedHashSet", "TreeSet", "SortedSet", "Collection", "Iterable", "Stream", "Queue", "Deque", "Flux")
+MAPS = ("Map", "HashMap", "LinkedHashMap", "TreeMap", "SortedMap", "ConcurrentHashMap", "MultiValueMap")
+#: Seen through in responses, and in any type.
+WRAPPERS = ("ResponseEntity", "HttpEntity", "CompletableFuture", "CompletionStage", "Future", "ListenableFuture", "Callable", "DeferredResult", "WebAsyncTask", "Mono")
+TRANSPARENT = ("Optional", "AtomicReference", "JsonNullable")
+#: Handler parameters that the framework puts in.
+FRAMEWORK = (
+    "HttpServletRequest", "HttpServletResponse", "ServletRequest", "ServletResponse", "HttpSession", "Principal", "Authentication", "Model", "ModelMap",
+    "BindingResult", "Errors", "Locale", "TimeZone", "ZoneId", "WebRequest", "NativeWebRequest", "ServerWebExchange", "ServerHttpRequest", "ServerHttpResponse",
+    "UriComponentsBuilder", "RedirectAttributes", "SessionStatus", "HttpMethod", "HttpHeaders", "InputStream", "OutputStream", "Reader", "Writer",
+)
+#: Annotations that leave open how a parameter is bound.
+PASSIVE = (
+    "Valid", "Validated", "NotNull", "NotBlank", "NotEmpty", "Nullable", "NonNull", "Min", "Max", "Size", "Pattern", "Positive", "PositiveOrZero", "Negative",
+    "Email", "Parameter", "Schema", "ApiParam", "ModelAttribute", "ParameterObject", "Final",
+)
+
+
+def bind_parameters(mappings: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """(repo, handler, name, source, required, java_type, pos): bound parameters.
+
+    Without a binding annotation, simple types, enums and lists are optional query parameters, Pageable gives page, size
+    and sort, and an object gives one for each of its fields, as ``objects`` (repo, java_type, name, type; name null for
+    an enum) tells. Framework types, whole maps, other annotations and types that nobody knows are left out.
+    """
     each = mappings.select("repo", "handler", F.posexplode("parameters").alias("pos", "p"))
-    mark = F.regexp_extract("p", r"@(PathVariable|RequestParam|RequestHeader|RequestBody)", 1)
-    bare = F.trim(F.regexp_replace("p", r"@\w+(\([^)]*\))?|\bfinal\b", ""))
+    mark = F.regexp_extract("p", r"@(PathVariable|RequestParam|RequestHeader|RequestBody)\b", 1)
+    marks = F.regexp_extract_all("p", F.lit(r"@(?:\w+\.)*(\w+)"), F.lit(1))
+    bare = F.trim(F.regexp_replace("p", r"@[\w.]+(\([^)]*\))?|\bfinal\b", ""))
     own, kind = F.regexp_extract(bare, r"(\w+)$", 1), F.trim(F.regexp_replace(bare, r"\w+$", ""))
     named = F.regexp_extract("p", r'@\w+\([^)]*?(?:(?:value|name)\s*=\s*)?"([^"]+)"', 1)
     source = F.when(mark == "PathVariable", "path").when(mark == "RequestParam", "query").when(mark == "RequestHeader", "header").when(mark == "RequestBody", "body")
     optional = F.col("p").rlike(r"required\s*=\s*false|defaultValue") | F.startswith(kind, F.lit("Optional<"))
-    rows = each.select("repo", "handler", "pos", F.when(named != "", named).otherwise(own).alias("name"), source.alias("source"), optional.alias("optional"), kind.alias("java_type"))
-    paged = F.when(F.col("java_type") == "Pageable", F.array(*map(F.lit, ("page", "size", "sort")))).when(F.col("java_type") == "Sort", F.array(F.lit("sort"))).otherwise(F.array("name"))
-    simple = F.col("java_type").rlike(r"^(String|int|long|boolean|double|float|Integer|Long|Boolean|Double|Float|UUID|LocalDate|LocalDateTime|BigDecimal|Pageable|Sort)$")
-    rows = rows.where("java_type NOT RLIKE '^(HttpServletRequest|HttpServletResponse|Principal|Authentication|Model|BindingResult|Locale|HttpSession)$'").where(F.col("source").isNotNull() | simple)
-    return rows.select("repo", "handler", F.explode(paged).alias("name"), F.coalesce("source", F.lit("query")).alias("source"), (F.col("source").isNotNull() & ~F.col("optional")).alias("required"), "java_type", "pos")
-
-
-_SCALARS = ("String", "CharSequence", "char", "Character", "boolean", "Boolean", "int", "long", "short", "byte", "float", "double", "Integer", "Long", "Short", "Byte", "Float", "Double", "BigDecimal", "BigInteger", "UUID", "Date", "Instant", "LocalDate", "LocalDateTime", "OffsetDateTime", "ZonedDateTime", "Object")
-_WRAPPERS = ("ResponseEntity", "HttpEntity", "Mono", "CompletableFuture", "Callable", "DeferredResult", "Optional")
-_LISTS = ("List", "Set", "Collection", "Iterable", "Stream", "Flux", "ArrayList", "LinkedList", "HashSet", "TreeSet", "Queue")
-_MAPS = ("Map", "HashMap", "LinkedHashMap", "TreeMap", "SortedMap")
+    odd = F.size(F.array_except(marks, F.array(*map(F.lit, PASSIVE)))) > 0
+    rows = each.select("repo", "handler", "pos", F.when(named != "", named).otherwise(own).alias("name"), source.alias("source"), optional.alias("optional"), kind.alias("java_type"), (named != "").alias("named"), odd.alias("odd"))
+    raw = F.regexp_extract("java_type", r"^(?:\w+\.)*(\w+)", 1)
+    bound = rows.where(F.col("source").isNotNull() & ((F.col("source") == "body") | F.col("named") | ~raw.isin(*MAPS)))
+    free = rows.where(F.col("source").isNull() & ~F.col("odd") & ~raw.isin(*FRAMEWORK))
+    simple = raw.isin(*PRIMITIVES, *SCALARS, *LISTS) | F.endswith("java_type", F.lit("[]"))
+    paged = F.when(raw == "Pageable", F.array(*map(F.lit, ("page", "size", "sort")))).when(raw == "Sort", F.array(F.lit("sort"))).when(simple, F.array("name"))
+    out = ["repo", "handler", "name", "source", "required", "java_type", "pos"]
+    query, no = F.lit("query").alias("source"), F.lit(False).alias("required")
+    found = bound.withColumn("required", ~F.col("optional")).select(*out).union(free.where(paged.isNotNull()).select("repo", "handler", F.explode(paged).alias("name"), query, no, "java_type", "pos"))
+    if objects is None:
+        return found
+    fields = objects.select("repo", "java_type", F.col("name").alias("_field"), F.col("type").alias("_type"))
+    met = free.where(paged.isNull()).join(fields, ["repo", "java_type"])
+    return found.union(met.select("repo", "handler", F.coalesce("_field", "name").alias("name"), query, no, F.coalesce("_type", "java_type").alias("java_type"), "pos"))
 
 
 def type_json(text: str, ids: dict[str, str], enums: set[str], parameters: tuple[str, ...] = ()) -> str | None:
@@ -262,13 +297,13 @@ def type_json(text: str, ids: dict[str, str], enums: set[str], parameters: tuple
             start = i + 1
     if base in parameters:
         return f'{{"kind":"typeParameter","name":"{base}"}}'
-    if base in _WRAPPERS:
+    if base in WRAPPERS or base in TRANSPARENT:
         return type_json(args[0], ids, enums, parameters) if args and args[0].strip() != "?" else unknown(base)
-    if base in _LISTS:
+    if base in LISTS:
         return f'{{"kind":"array","element":{type_json(args[0], ids, enums, parameters) if args else unknown("?")}}}'
-    if base in _MAPS:
+    if base in MAPS:
         return f'{{"kind":"map","value":{type_json(args[1], ids, enums, parameters) if len(args) > 1 else unknown("?")}}}'
-    if base in _SCALARS:
+    if base in SCALARS or base in PRIMITIVES:
         return f'{{"kind":"scalar","name":"{base}"}}'
     if base in enums:
         return f'{{"kind":"enum","enumId":"{ids.get(base, base)}"}}'

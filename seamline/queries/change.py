@@ -8,6 +8,8 @@ from seamline.functions import paths as P
 from seamline.operators import diff, extract, impact, index, review
 from seamline.operators.contract import check_contract, contract_result
 from seamline.plans.lineage import stored
+from seamline.queries import change_sql as sql
+from seamline.queries.contract import ISSUES
 from seamline.queries.duck import linked, norm, shown
 from seamline.queries.usage import Facts
 from seamline.sources.lens import lens, lens_sql
@@ -145,28 +147,33 @@ def spring_mappings(spark, folder):
     return extract.expand_mappings(rows).select("id", "handler", "pos")
 
 
+def bound_parameters(spark, folder):
+    """Handler parameters of parts, objects among them with the fields of their DTOs."""
+    k = F.col("p_partkey") % 40
+    given = ('@PathVariable("id") Long key', "Pageable page", "HttpServletRequest request", "LocalTime at", "@RequestParam Map<String, String> all", "@CookieValue String c", "List<Long> ids", "E1 state")
+    own = (F.concat(F.lit('@RequestParam(value = "q'), "p_size", F.lit('", required = false) String q')), F.concat(F.lit("@Valid D"), k, F.lit(" filter")), F.concat(F.lit("@RequestHeader Optional<String> h"), "p_size"))
+    mappings = table(spark, folder, "part").select(F.lit("repo0").alias("repo"), F.concat(F.lit("C#h"), F.col("p_partkey")).alias("handler"), F.array(*map(F.lit, given), *own).alias("parameters"))
+    last = lambda c: F.regexp_extract(c, r"(\w+)$", 1).alias("java_type")
+    fields = lens(spark, folder, "dto_fields").select("repo", last("dto_id"), "name", F.get_json_object("type_json", "$.name").alias("type"))
+    enums = lens(spark, folder, "enum_values").select("repo", last("enum_id"), F.lit(None).cast("string"), F.lit(None).cast("string")).distinct()
+    return extract.bind_parameters(mappings, fields.union(enums))
+
+
+def java_types(spark, folder):
+    """Java types named after parts, as the JSON of types."""
+    d, e = F.concat(F.lit("D"), F.col("p_partkey") % 40), F.concat(F.lit("E"), F.col("p_size") % 6)
+    shapes = (("ResponseEntity<List<", d, ">>"), ("Map<String, ", d, "[]>"), ("WebAsyncTask<Optional<", e, ">>"), ("Deque<ConcurrentHashMap<Long, ", e, ">>"), ("CompletionStage<Page<", d, ">>"), ("AtomicReference<", d, ">"))
+    text = F.array(*[F.concat(F.lit(a), x, F.lit(b)) for a, x, b in shapes], F.lit("Future<Duration>"), F.lit("ResponseEntity<?>"))
+    texts = table(spark, folder, "part").select(F.lit("repo0").alias("repo"), F.explode(text).alias("java_type"))
+    known = lens(spark, folder, "dtos").select("repo", "name", "id", F.lit(False).alias("is_enum"))
+    enums = lens(spark, folder, "enum_values").select("repo", F.regexp_extract("enum_id", r"(\w+)$", 1), "enum_id", F.lit(True)).distinct()
+    return extract.parse_types(texts, known.union(enums))
+
+
 def callees(spark, folder):
     return extract.distinct_callees(lens(spark, folder, "api_calls"))
 
 
-_PAIRS = """
-gone AS (SELECT b.* FROM endpoints b ANTI JOIN endpoints_after a USING (repo, id)), new AS (SELECT a.* FROM endpoints_after a ANTI JOIN endpoints b USING (repo, id)),
-tgt AS (SELECT repo, method, handler, max_by(id, pos) AS new_id FROM new GROUP BY ALL),
-pr AS (
-  SELECT g.repo, g.id AS endpoint_id, CASE WHEN t.new_id IS NULL THEN 'removed' ELSE 'moved' END AS status, t.new_id, g.handler FROM gone g LEFT JOIN tgt t USING (repo, method, handler)
-  UNION ALL SELECT n.repo, n.id, 'added', NULL, n.handler FROM new n WHERE NOT EXISTS (FROM gone g JOIN tgt t USING (repo, method, handler) WHERE g.repo = n.repo AND t.new_id = n.id)
-  UNION ALL SELECT b.repo, b.id, 'common', b.id, b.handler FROM endpoints b SEMI JOIN endpoints_after a USING (repo, id))"""
-_CATEGORY = lambda c: f"CASE WHEN {c} IN ('int', 'long', 'Integer', 'Long') THEN 'number' ELSE 'string' END"
-_PARAMS = f"""
-kp AS (SELECT * FROM pr WHERE status IN ('common', 'moved')),
-pb AS (SELECT k.repo, k.endpoint_id, source, name, json_extract_string(type_json, '$.name') AS d, required FROM params p JOIN kp k ON k.repo = p.repo AND k.endpoint_id = p.endpoint_id),
-pa AS (SELECT k.repo, k.endpoint_id, source, name, json_extract_string(type_json, '$.name') AS d, required FROM params_after p JOIN kp k ON k.repo = p.repo AND k.new_id = p.endpoint_id),
-pp AS (SELECT repo, endpoint_id, source, name, b.d AS bd, a.d AS ad, b.required AS br, a.required AS ar, source || ' parameter `' || name || '`' AS label FROM pb b FULL JOIN pa a USING (repo, endpoint_id, source, name)),
-pc AS (
-  SELECT repo, endpoint_id, 'param-removed' AS kind, [name] AS path, bd AS before, NULL AS after, FALSE AS breaking, label || ' was removed' AS message FROM pp WHERE ad IS NULL
-  UNION ALL SELECT repo, endpoint_id, 'param-type-changed', [name], bd, ad, {_CATEGORY('bd')} <> {_CATEGORY('ad')}, label || ' type changed: ' || bd || ' → ' || ad FROM pp WHERE bd <> ad
-  UNION ALL SELECT repo, endpoint_id, 'param-required-changed', [name], 'optional', 'required', TRUE, label || ' is now required' FROM pp WHERE NOT br AND ar
-  UNION ALL SELECT repo, endpoint_id, 'param-added', [name], NULL, ad, ar, CASE WHEN ar THEN 'Required ' ELSE 'Optional ' END || label || ' was added' FROM pp WHERE bd IS NULL)"""
 _BOTH = ("endpoints", "endpoints_after", "params", "params_after")
 _EVENTS = lambda where: f"SELECT 'default' AS repo, user_id || ':' || event_type AS id, 'f' || (max(user_id) % 10) AS file, max_by(props, (ts, event_id)) AS json FROM events WHERE {where} GROUP BY user_id, event_type"
 _CAMEL = "split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) || 'ID'"
@@ -178,12 +185,25 @@ QUERIES = {
     f.__name__: f
     for f in (
         diff_endpoints, diff_params, diff_contracts, diff_counts, change_sites, change_report, ci_gate, review_merge, merged_ranges, index_sync, touched_apis,
-        url_functions, name_functions, text_functions, path_functions, page_imports, scanned_calls, spring_mappings, callees,
+        url_functions, name_functions, text_functions, path_functions, page_imports, scanned_calls, spring_mappings, bound_parameters, java_types, callees,
     )
 }
 ORACLES = {
-    "diff_endpoints": f"WITH {lens_sql(*_BOTH)}, {_PAIRS} SELECT * FROM pr",
-    "diff_params": f"WITH {lens_sql(*_BOTH)}, {_PAIRS}, {_PARAMS} SELECT * FROM pc",
+    "diff_endpoints": f"WITH {lens_sql(*_BOTH)}, {sql.PAIRS} SELECT * FROM pr",
+    "diff_params": f"WITH {lens_sql(*_BOTH)}, {sql.PAIRS}, {sql.PARAMS} SELECT * EXCLUDE (ord) FROM pc",
+    "diff_contracts": linked("SELECT * FROM ch", *sql.SIDES, extra=sql.CHANGES),
+    "diff_counts": linked(sql.COUNTS, *sql.SIDES, extra=sql.CHANGES),
+    "change_sites": linked("SELECT * FROM st", *sql.SIDES, extra=sql.SITES),
+    "change_report": linked("SELECT * FROM rep", *sql.SIDES, extra=sql.REPORT),
+    "ci_gate": linked(
+        """SELECT repo, CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) > 0 THEN 1 ELSE 0 END AS exit_code, concat_ws(',', CASE WHEN a.n > 0 THEN 'changes' END, CASE WHEN b.n > 0 THEN 'contract' END) AS reasons
+        FROM (SELECT repo, sum(definite + likely) AS n FROM rep GROUP BY repo) a FULL JOIN (SELECT repo, count(*) FILTER (severity IN ('error', 'warning')) AS n FROM iss GROUP BY repo) b USING (repo)""",
+        *sql.SIDES, extra=f"{sql.REPORT}, {ISSUES}",
+    ),
+    "scanned_calls": """WITH p AS (SELECT 'src/p' || p_partkey || '.ts' AS file, lower(p_type) AS t, p_size, substr(p_brand, 7, 4) AS b FROM part)
+      SELECT 'default' AS repo, 'call:' || file || ':1:17' AS id, '/api/' || t || '/{param}' AS endpoint_pattern, 'GET' AS method, 'axios.get' AS callee, 'direct' AS resolution, file, 1 AS line, 17 AS col, ['size', 'q', 'page'] AS query_keys, []::VARCHAR[] AS body_keys,
+        'axios.get(`/api/' || t || '/${id}?size=' || p_size || '&q=${q}`, { params: { page: 1 } })' AS code FROM p
+      UNION ALL SELECT 'default', 'call:' || file || ':2:1', '/b' || b || '/{param}', 'POST', 'fetch', 'direct', file, 2, 1, [], [], 'fetch(''/b' || b || '/'' + name, { method: ''POST'' })' AS code FROM p""",
     "merged_ranges": """WITH r AS (SELECT DISTINCT 'default' AS repo, l_orderkey::VARCHAR AS endpoint_id, l_linestatus AS file, CAST(trunc(l_quantity * 3) AS INT) - 6 AS first, CAST(trunc(l_quantity * 3) AS INT) + 6 AS last FROM lineitem),
       m AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY endpoint_id, file ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r),
       i AS (SELECT *, sum(new) OVER (PARTITION BY endpoint_id, file ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m)
@@ -202,5 +222,18 @@ ORACLES = {
     "touched_apis": linked(
         "SELECT DISTINCT repo, api_key FROM (SELECT repo, file, api_key FROM linked UNION ALL SELECT repo, file, api_key FROM reads) u SEMI JOIN (SELECT repo, file FROM property_accesses WHERE id LIKE '%9:1') t USING (repo, file)"
     ),
+    "bound_parameters": f"""WITH {lens_sql('dto_fields', 'enum_values')}, p AS (SELECT 'C#h' || p_partkey AS handler, p_partkey % 40 AS k, p_size FROM part),
+      o AS (SELECT handler, unnest([('id', 'path', TRUE, 'Long', 0), ('page', 'query', FALSE, 'Pageable', 1), ('size', 'query', FALSE, 'Pageable', 1), ('sort', 'query', FALSE, 'Pageable', 1), ('at', 'query', FALSE, 'LocalTime', 3), ('ids', 'query', FALSE, 'List<Long>', 6),
+        ('q' || p_size, 'query', FALSE, 'String', 8), ('h' || p_size, 'header', FALSE, 'Optional<String>', 10)]) AS r FROM p)
+      SELECT 'repo0' AS repo, handler, r[1] AS name, r[2] AS source, r[3] AS required, r[4] AS java_type, r[5] AS pos FROM o
+      UNION ALL SELECT 'repo0', handler, f.name, 'query', FALSE, coalesce(json_extract_string(f.type_json, '$.name'), 'D' || k), 9 FROM p JOIN dto_fields f ON f.repo = 'repo0' AND f.dto_id = 'pkg.D' || k
+      UNION ALL SELECT 'repo0', handler, 'state', 'query', FALSE, 'E1', 7 FROM p WHERE EXISTS (FROM enum_values WHERE repo = 'repo0' AND enum_id = 'pkg.E1')""",
+    "java_types": f"""WITH {lens_sql('dtos', 'enum_values')}, p AS (SELECT 'D' || (p_partkey % 40) AS d, 'E' || (p_size % 6) AS e FROM part),
+      n AS (SELECT *, CASE WHEN EXISTS (FROM dtos x WHERE x.repo = 'repo0' AND x.name = d) THEN '{{"kind":"dto","dtoId":"pkg.' || d || '","typeArguments":[]}}' ELSE '{{"kind":"unknown","name":"' || d || '"}}' END AS dj,
+        CASE WHEN EXISTS (FROM enum_values x WHERE x.repo = 'repo0' AND x.enum_id = 'pkg.' || e) THEN '{{"kind":"enum","enumId":"pkg.' || e || '"}}' ELSE '{{"kind":"unknown","name":"' || e || '"}}' END AS ej FROM p),
+      r AS (SELECT unnest([('ResponseEntity<List<' || d || '>>', '{{"kind":"array","element":' || dj || '}}'), ('Map<String, ' || d || '[]>', '{{"kind":"map","value":{{"kind":"array","element":' || dj || '}}}}'), ('WebAsyncTask<Optional<' || e || '>>', ej),
+        ('Deque<ConcurrentHashMap<Long, ' || e || '>>', '{{"kind":"array","element":{{"kind":"map","value":' || ej || '}}}}'), ('CompletionStage<Page<' || d || '>>', '{{"kind":"dto","dtoId":"pkg.Page","typeArguments":[' || dj || ']}}'), ('AtomicReference<' || d || '>', dj),
+        ('Future<Duration>', '{{"kind":"scalar","name":"Duration"}}'), ('ResponseEntity<?>', '{{"kind":"unknown","name":"ResponseEntity"}}')]) AS r FROM n)
+      SELECT DISTINCT 'repo0' AS repo, r[1] AS java_type, r[2] AS type_json FROM r""",
     "callees": f"WITH {lens_sql('api_calls')} SELECT repo, caller_function_id AS function_id, list_sort(list_distinct(list(callee))) AS callees FROM api_calls GROUP BY ALL",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seamline.operators import contract, types
 from seamline.operators.usage import field_reads
+from seamline.queries.change_sql import described, json_text
 from seamline.queries.duck import linked, shown
 from seamline.queries.usage import Facts
 from seamline.sources.lens import lens, lens_sql
@@ -87,19 +88,8 @@ def search_types(spark, folder):
     return types.type_hits("Pa", f.endpoints, edges, dtos, fields, reads)
 
 
-def _json(x: str, key: str) -> str:
-    return f"json_extract_string({x}, '$.{key}')"
-
-
-def _described(x: str) -> str:
-    for _ in range(3):
-        for pattern, text in types.DESCRIPTION:
-            x = f"regexp_replace({x}, '{pattern}', '{text.replace('$', chr(92))}', 'g')"
-    return x
-
-
-_NAME = "coalesce({0}, {1}, {2})".format(_json("cur", "dtoId"), _json("cur", "enumId"), _json("cur", "name"))
-_K = _json("cur", "kind")
+_NAME = "coalesce({0}, {1}, {2})".format(json_text("cur", "dtoId"), json_text("cur", "enumId"), json_text("cur", "name"))
+_K = json_text("cur", "kind")
 _SEG = "path[i + 1]"
 _ARG = "coalesce(json_extract(cur, '$.typeArguments[0]')::VARCHAR, '')"
 _PUT = f"""CASE WHEN {_ARG} <> '' THEN replace(type_json, '{{"kind":"typeParameter","name":"T"}}', {_ARG}) ELSE type_json END"""
@@ -114,16 +104,16 @@ w AS (
       WHEN seg = 'length' AND (k = 'array' OR k = 'enum' OR (k = 'scalar' AND {_NAME} IN ('String', 'CharSequence', 'char', 'Character'))) THEN 'ok' WHEN nxt IS NULL THEN 'missing' END AS st FROM (
       SELECT w.*, {_SEG} AS seg, {_K} AS k, d.id AS did,
         CASE {_K} WHEN 'array' THEN CASE WHEN {_SEG} = '[]' THEN json_extract(cur, '$.element')::VARCHAR END WHEN 'map' THEN CASE WHEN {_SEG} <> '[]' THEN json_extract(cur, '$.value')::VARCHAR END WHEN 'dto' THEN {_PUT} END AS nxt
-      FROM w LEFT JOIN dtos d ON d.repo = w.repo AND d.id = {_json('cur', 'dtoId')} LEFT JOIN dto_fields f ON f.repo = w.repo AND f.dto_id = {_json('cur', 'dtoId')} AND f.name = {_SEG}
+      FROM w LEFT JOIN dtos d ON d.repo = w.repo AND d.id = {json_text('cur', 'dtoId')} LEFT JOIN dto_fields f ON f.repo = w.repo AND f.dto_id = {json_text('cur', 'dtoId')} AND f.name = {_SEG}
       WHERE w.status IS NULL AND i < len(path)) a) b),
 walked AS (
   SELECT repo, type, path, coalesce(status, 'ok') AS status, CASE WHEN status IN ('missing', 'unverifiable') THEN CAST(i - 1 AS INT) END AS step, reason, CASE WHEN status IN ('missing', 'unverifiable') THEN cur END AS parent FROM w
   WHERE status IS NOT NULL OR i = len(path))"""
 _CLOSE = lambda wrong, table, on: f"(SELECT arg_min(o.name, levenshtein(lower({wrong}), lower(o.name)) * 1000 + o.pos) FROM {table} o WHERE {on} AND levenshtein(lower({wrong}), lower(o.name)) <= greatest(2, length({wrong}) // 3))"
-_ISSUES = f"""{_WALK},
+ISSUES = f"""{_WALK},
 m AS (SELECT * FROM linked WHERE status = 'matched'),
 q AS (SELECT * FROM params WHERE source = 'query'),
-b AS (SELECT m.*, e.body_type_json AS bt, coalesce(e.body_required, FALSE) AS needed, {_json('e.body_type_json', 'dtoId')} AS dto_id FROM m JOIN endpoints e ON e.repo = m.repo AND e.id = m.endpoint_id WHERE body_keys IS NOT NULL),
+b AS (SELECT m.*, e.body_type_json AS bt, coalesce(e.body_required, FALSE) AS needed, {json_text('e.body_type_json', 'dtoId')} AS dto_id FROM m JOIN endpoints e ON e.repo = m.repo AND e.id = m.endpoint_id WHERE body_keys IS NOT NULL),
 uq AS (SELECT * FROM (SELECT m.*, unnest(query_keys) AS wrong FROM m) x WHERE NOT EXISTS (FROM q WHERE q.repo = x.repo AND q.endpoint_id = x.endpoint_id AND q.name = wrong)),
 ub AS (SELECT x.*, d.name AS dto_name FROM (SELECT b.*, unnest(body_keys) AS wrong FROM b WHERE dto_id IS NOT NULL) x JOIN dtos d ON d.repo = x.repo AND d.id = x.dto_id WHERE NOT EXISTS (FROM dto_fields f WHERE f.repo = x.repo AND f.dto_id = x.dto_id AND f.name = wrong)),
 uqc AS (SELECT repo, endpoint_id, wrong, {_CLOSE('wrong', 'q', 'o.repo = x.repo AND o.endpoint_id = x.endpoint_id')} AS close FROM (SELECT DISTINCT repo, endpoint_id, wrong FROM uq) x),
@@ -148,7 +138,7 @@ iss AS (
       WHEN reason = 'no-such-field' THEN pd || ' has no field `' || wrong || '` (reading `' || sh || '` from ' || endpoint_id || ')' || via WHEN reason = 'not-an-array' THEN 'Treats ' || pd || ' as an array (reading `' || sh || '` from ' || endpoint_id || ')' || via
       ELSE 'Reads `' || wrong || '` on ' || pd || ', which has no properties (reading `' || sh || '`)' || via END,
     CASE WHEN reason = 'no-such-field' THEN 'Did you mean `' || close || '`?' WHEN reason = 'not-an-array' THEN 'Response type is ' || td END, file, line, col, api_key, api_call_id, id
-  FROM (SELECT *, {shown('path')} AS sh, CASE WHEN flow = 'derived' THEN ' (value passed through a function that could not be followed)' ELSE '' END AS via, {_described('parent')} AS pd, {_described('type')} AS td, {_NAME.replace('cur', 'parent')} AS pn FROM acc) x)"""
+  FROM (SELECT *, {shown('path')} AS sh, CASE WHEN flow = 'derived' THEN ' (value passed through a function that could not be followed)' ELSE '' END AS via, {described('parent')} AS pd, {described('type')} AS td, {_NAME.replace('cur', 'parent')} AS pn FROM acc) x)"""
 _NEED = ("params", "dtos", "dto_fields")
 #: Where each DTO occurs in a type: not through maps, a DTO below itself not entered again.
 _PLACES = f"""
@@ -156,9 +146,9 @@ roots AS (SELECT DISTINCT repo, response_type_json AS root FROM endpoints WHERE
 p AS (
   SELECT repo, root, []::VARCHAR[] AS path, root AS cur, []::VARCHAR[] AS seen FROM roots
   UNION ALL
-  SELECT p.repo, root, list_append(path, CASE {_K} WHEN 'array' THEN '[]' ELSE f.name END), CASE {_K} WHEN 'array' THEN json_extract(cur, '$.element')::VARCHAR ELSE {_PUT} END, CASE {_K} WHEN 'dto' THEN list_append(seen, {_json('cur', 'dtoId')}) ELSE seen END
-  FROM p LEFT JOIN dto_fields f ON {_K} = 'dto' AND f.repo = p.repo AND f.dto_id = {_json('cur', 'dtoId')} WHERE {_K} = 'array' OR (f.name IS NOT NULL AND NOT list_contains(seen, {_json('cur', 'dtoId')}))),
-pl AS (SELECT repo, root, path, {_json('cur', 'dtoId')} AS dto_id FROM p WHERE {_K} = 'dto')"""
+  SELECT p.repo, root, list_append(path, CASE {_K} WHEN 'array' THEN '[]' ELSE f.name END), CASE {_K} WHEN 'array' THEN json_extract(cur, '$.element')::VARCHAR ELSE {_PUT} END, CASE {_K} WHEN 'dto' THEN list_append(seen, {json_text('cur', 'dtoId')}) ELSE seen END
+  FROM p LEFT JOIN dto_fields f ON {_K} = 'dto' AND f.repo = p.repo AND f.dto_id = {json_text('cur', 'dtoId')} WHERE {_K} = 'array' OR (f.name IS NOT NULL AND NOT list_contains(seen, {json_text('cur', 'dtoId')}))),
+pl AS (SELECT repo, root, path, {json_text('cur', 'dtoId')} AS dto_id FROM p WHERE {_K} = 'dto')"""
 
 #: Rows of wanted fields ``q`` (repo, dto_id, field, tail) at each place, with their reads.
 _SENT = """(SELECT e.repo, e.id AS endpoint_id, pl.dto_id, q.field, list_concat(pl.path, q.tail) AS target FROM endpoints e JOIN pl ON pl.repo = e.repo AND pl.root = e.response_type_json JOIN q ON q.repo = e.repo AND q.dto_id = pl.dto_id) s
@@ -178,21 +168,21 @@ ORACLES = {
         LEFT JOIN (SELECT s.repo, s.dto_id, s.field, count(DISTINCT (s.endpoint_id, s.target)) AS apis, count(DISTINCT r.file) AS files FROM {_SENT} GROUP BY ALL) n ON n.repo = q.repo AND n.dto_id = q.dto_id AND n.field = q.field""",
         *_NEED, extra=f"{_PLACES}, q AS (SELECT repo, dto_id, name AS field, [name] AS tail FROM dto_fields WHERE contains(lower(name), 'pa'))",
     ),
-    "contract_issues": linked("SELECT repo, severity, code, file, line, col, api_call_id, access_id FROM iss", *_NEED, extra=_ISSUES),
-    "contract_messages": linked("SELECT repo, severity, code, message, suggestion, count(*) AS issues FROM iss GROUP BY ALL", *_NEED, extra=_ISSUES),
+    "contract_issues": linked("SELECT repo, severity, code, file, line, col, api_call_id, access_id FROM iss", *_NEED, extra=ISSUES),
+    "contract_messages": linked("SELECT repo, severity, code, message, suggestion, count(*) AS issues FROM iss GROUP BY ALL", *_NEED, extra=ISSUES),
     "contract_result": linked(
         "SELECT repo, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM iss GROUP BY repo",
-        *_NEED, extra=_ISSUES,
+        *_NEED, extra=ISSUES,
     ),
     "checked_apis": linked(
         "SELECT a.repo, a.api_key, a.status, a.n AS call_sites, coalesce(r.n, 0) AS field_reads, coalesce(i.n, 0) AS issues FROM (SELECT repo, api_key, min_by(status, id) AS status, count(*) AS n FROM linked GROUP BY ALL) a LEFT JOIN (SELECT repo, api_key, count(*) AS n FROM reads GROUP BY ALL) r USING (repo, api_key) LEFT JOIN (SELECT repo, api_key, count(*) AS n FROM iss GROUP BY ALL) i USING (repo, api_key)",
-        *_NEED, extra=_ISSUES,
+        *_NEED, extra=ISSUES,
     ),
     "contract_scope": linked(
         "SELECT * FROM (SELECT repo, count(*) AS calls FROM linked l WHERE EXISTS (FROM here h WHERE h.repo = l.repo AND h.id = l.id) OR EXISTS (FROM property_accesses a WHERE a.repo = l.repo AND a.api_call_id = l.id AND a.file LIKE '%5.tsx') GROUP BY repo) FULL JOIN (SELECT repo, count(*) AS reads FROM property_accesses a WHERE EXISTS (FROM kept k WHERE k.repo = a.repo AND k.id = a.id) GROUP BY repo) USING (repo)",
         extra="here AS (SELECT DISTINCT repo, id FROM linked WHERE file LIKE '%5.tsx'), kept AS (SELECT DISTINCT b.repo, b.id FROM property_accesses b WHERE b.file LIKE '%5.tsx' OR EXISTS (FROM here h WHERE h.repo = b.repo AND h.id = b.api_call_id))",
     ),
-    "type_walk": linked(f"SELECT repo, type, path, status, step, reason, {_described('parent')} AS parent FROM walked", *_NEED, extra=_WALK),
+    "type_walk": linked(f"SELECT repo, type, path, status, step, reason, {described('parent')} AS parent FROM walked", *_NEED, extra=_WALK),
     "dto_field_usage": linked(
         f"SELECT s.repo, s.dto_id, s.field, s.endpoint_id, {shown('s.target')} AS response_path, count(r.id) AS reads, count(DISTINCT r.file) AS files, count(DISTINCT r.containing_component) AS components FROM (SELECT e.repo, e.id AS endpoint_id, pl.dto_id, f.name AS field, list_append(pl.path, f.name) AS target FROM endpoints e JOIN pl ON pl.repo = e.repo AND pl.root = e.response_type_json JOIN dto_fields f ON f.repo = e.repo AND f.dto_id = pl.dto_id) s LEFT JOIN reads r ON r.repo = s.repo AND r.endpoint_id = s.endpoint_id AND r.path[1:len(s.target)] = s.target GROUP BY ALL",
         *_NEED, extra=_PLACES,

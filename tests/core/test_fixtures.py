@@ -206,6 +206,9 @@ def test_scanners(spark):
     maps = extract.scan_spring(spark.createDataFrame([("r", "U.java", java)], "repo string, file string, text string"))
     assert [r.id for r in extract.expand_mappings(maps).collect()] == ["GET /api/users/{id}"]
     assert {(r.name, r.source, r.required) for r in extract.bind_parameters(maps).collect()} == {("id", "path", True), ("q", "query", False), ("page", "query", False), ("size", "query", False), ("sort", "query", False)}
+    objects = spark.createDataFrame([("r", "Filter", "since", "LocalDate"), ("r", "Filter", "tags", "String"), ("r", "Role", None, None)], "repo string, java_type string, name string, type string")
+    given = spark.createDataFrame([("r", "C#h", ["@Valid Filter f", "Role role", "ModelMap m", "@RequestParam Map<String, String> all", "@CookieValue String c", "Duration d", "Unknown u"])], "repo string, handler string, parameters array<string>")
+    assert {(r.name, r.source, r.required, r.java_type) for r in extract.bind_parameters(given, objects).collect()} == {("since", "query", False, "LocalDate"), ("tags", "query", False, "String"), ("role", "query", False, "Role"), ("d", "query", False, "Duration")}
 
 
 def test_flow_and_wrappers(spark):
