@@ -5,10 +5,11 @@ k-th block is released at floor((k - 1) * ticks / a_i) and due at ceil(k * ticks
 whose next block is released, the one with the earliest deadline runs (ties: by name). As the shares sum to ``ticks``
 every deadline is met, so at any slot t each source has run t * a_i / ticks blocks within less than one block. The
 schedule repeats after ``ticks`` slots, where all deviations are zero: one period is computed, and block k of a source
-is placed by arithmetic. A period has as many rows as ``ticks`` says.
+is placed by arithmetic. A period has as many rows as ``ticks`` says; its schedule is written as it is found, so that it
+needs no more memory than the sources do.
 
-Shares are whole, so they differ from the weights. Where no ``ticks`` is given there are as many as blocks, and a share
-is the weight's quota but for less than 1: at slot t a source is less than 1 + t / ticks blocks from its weight, so
+Shares are whole, so they differ from the weights. There are as many ticks as blocks, unless ``ticks`` is given, and a
+share is the weight's quota but for less than 1: at slot t a source is less than 1 + t / ticks blocks from its weight, so
 less than two for as long as no source has ended. Only a source whose weight would get no share takes 1 from others.
 
 Where a source ends before the others, its later slots stay empty: no row is dropped or repeated.
@@ -16,8 +17,10 @@ Where a source ends before the others, its later slots stay empty: no row is dro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush, heapreplace
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from seamline.plans.lineage import cut
 
 TICKS = 1000
-#: Slots of a period for each source at least, where they follow the table's size.
+#: Slots of a period for each source at least.
 SOURCE_TICKS = 16
 #: A longer period isn't broadcast.
 BROADCAST_TICKS = 1 << 20
 BLOCK = 64
+#: Slots that are written at a time.
+BATCH = 1 << 16
 #: Rows that one group of the ranking holds on average.
 BUCKET_ROWS = 4096
 SPACE = 1 << 60
@@ -42,48 +47,6 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def shares(weights: DataFrame, ticks: int = TICKS) -> DataFrame:
-    """(name, share): whole shares of ``ticks`` by largest remainder, at least 1 for each source of (name, weight).
-
-    Each source has 1 and the rest follows the weights, as in ORACLE. ``ticks`` must be as large as the number of
-    sources. Null or negative weights count as 0.
-    """
-    w = weights.select("name", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"))
-    everything = W.partitionBy(F.lit(0))
-    free = F.lit(ticks) - F.count("*").over(everything)
-    total = F.sum("weight").over(everything)
-    quota = w.withColumn("q", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / F.count("*").over(everything)) * free)
-    floors = quota.withColumn("low", F.floor("q")).withColumn("left", free - F.sum("low").over(everything))
-    rank = F.row_number().over(everything.orderBy(F.round(F.col("low") - F.col("q"), 9), F.col("name").asc_nulls_first()))
-    return floors.withColumn("rank", rank).select("name", (1 + F.col("low") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("int").alias("share"))
-
-
-def period(plan: DataFrame, ticks: int = TICKS) -> DataFrame:
-    """(name, share, turn, tick): the slots of one period by earliest deadline first; turn counts a source's slots from 0."""
-    row = plan.agg(F.array_sort(F.collect_list(F.struct("name", F.col("share").cast("long").alias("share")))).alias("p")).where(F.size("p") > 0)
-
-    def step(state: Column, t: Column) -> Column:
-        due = F.zip_with(
-            F.col("p"),
-            F.zip_with(state["done"], F.sequence(F.lit(0), F.size("p") - 1), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
-            # floor and ceiling of a division of whole numbers
-            lambda s, x: F.when(
-                F.floor(x["c"] * ticks / s["share"]) <= t,
-                F.struct(F.ceil((x["c"] + 1) * ticks / s["share"]).alias("d"), x["i"].alias("i")),
-            ),
-        )
-        best = F.array_min(due)["i"]
-        return F.transform(
-            F.array(best),
-            lambda b: F.struct(F.transform(state["done"], lambda c, i: F.when(i == b, c + 1).otherwise(c)).alias("done"), F.concat(state["runs"], F.array(b)).alias("runs")),
-        )[0]
-
-    start = F.struct(F.transform("p", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("runs"))
-    run = row.select("p", F.aggregate(F.sequence(F.lit(0), F.lit(ticks - 1)), start, step, lambda s: s["runs"]).alias("runs"))
-    each = run.select("p", F.posexplode("runs").alias("tick", "i")).select(F.get("p", F.col("i"))["name"].alias("name"), F.get("p", F.col("i"))["share"].alias("share"), "tick")
-    return each.withColumn("turn", (F.row_number().over(W.partitionBy("name").orderBy("tick")) - 1).cast("long"))
-
-
 def whole_shares(weights: list[float], ticks: int) -> list[int]:
     """Shares of ``ticks`` by largest remainder of the exact quotas; one that would be 0 takes 1 from those most above their quotas."""
     exact = [Fraction(w) for w in weights]
@@ -105,9 +68,9 @@ def whole_shares(weights: list[float], ticks: int) -> list[int]:
     return share
 
 
-def earliest_deadline(share: list[int], ticks: int) -> list[int]:
-    """The source that runs in each slot of one period, by its place in ``share``."""
-    done, runs = [0] * len(share), []
+def earliest_deadline(share: list[int], ticks: int) -> Iterator[tuple[int, int]]:
+    """(source, turn) of each slot of one period: the source's place in ``share`` and how often it ran before."""
+    done = [0] * len(share)
     released = [(0, i) for i in range(len(share))]
     ready: list[tuple[int, int]] = []
     for t in range(ticks):
@@ -115,14 +78,16 @@ def earliest_deadline(share: list[int], ticks: int) -> list[int]:
             i = heappop(released)[1]
             heappush(ready, (-(-(done[i] + 1) * ticks // share[i]), i))
         i = heappop(ready)[1]
-        runs.append(i)
+        yield i, done[i]
         done[i] += 1
         heappush(released, (done[i] * ticks // share[i], i))
-    return runs
 
 
 def weighted_period(weights: DataFrame, ticks: int) -> DataFrame:
-    """period() of whole_shares() of (name, weight)."""
+    """(name, share, turn, tick): the slots of one period for (name, weight); turn counts a source's slots from 0.
+
+    Null, negative and not-a-number weights count as 0.
+    """
     weight = F.greatest(F.coalesce(F.nanvl(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     row = weights.agg(F.array_sort(F.collect_list(F.struct("name", weight.alias("weight")))).alias("p")).where(F.size("p") > 0)
 
@@ -130,13 +95,10 @@ def weighted_period(weights: DataFrame, ticks: int) -> DataFrame:
         for batch in batches:
             for sources in batch.column(0).to_pylist():
                 share = whole_shares([s["weight"] for s in sources], ticks)
-                done = [0] * len(share)
-                found = []
-                for t, i in enumerate(earliest_deadline(share, ticks)):
-                    found.append((sources[i]["name"], share[i], done[i], t))
-                    done[i] += 1
-                names, shares_, turns, at = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shares_, pa.int64()), pa.array(turns, pa.int64()), pa.array(at, pa.int64())], names=["name", "share", "turn", "tick"])
+                runs = enumerate(earliest_deadline(share, ticks))
+                while found := [(sources[i]["name"], share[i], turn, t) for t, (i, turn) in islice(runs, BATCH)]:
+                    columns = zip((pa.string(), pa.int64(), pa.int64(), pa.int64()), zip(*found, strict=True), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], names=["name", "share", "turn", "tick"])
 
     return row.mapInArrow(run, "name string, share long, turn long, tick long")
 
@@ -170,8 +132,8 @@ def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "d
 
     Rows of equal key are ranked among themselves in any order. Null sources form a source of their own; sources that
     ``weights`` lacks get the least share. ``position`` is unique; gaps stand where a source has ended. Columns of
-    these names are replaced. An empty table gives an empty result. With ``ticks``, and no more sources than that, the
-    period has this length and shares(); else it follows the numbers of blocks and sources, by whole_shares().
+    these names are replaced. An empty table gives an empty result. The period follows the numbers of blocks and sources;
+    ``ticks`` sets its length where it is no less than the number of sources.
     """
     kept = [c for c in df.columns if c.lower() not in ("block", "slot", "position")]
     sizes = df.groupBy(F.col(source).cast("string").alias("name")).count()
@@ -179,13 +141,10 @@ def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "d
     size = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("sources")).first()
     known = weights.select(F.col("name").alias("_n"), F.col("weight"))
     targets = present.join(known, present["name"].eqNullSafe(known["_n"]), "left").select("name", "weight")
-    if ticks is not None and size.sources <= ticks:
-        plan = shares(targets, ticks)
-        slots = period(plan, ticks)
-    else:
+    if ticks is None or ticks < size.sources:
         ticks = max(TICKS, -(-size.rows // block) + size.sources, SOURCE_TICKS * size.sources)
-        slots = cut(weighted_period(targets, ticks))
-        plan = slots.where("turn = 0").select("name", "share")
+    slots = cut(weighted_period(targets, ticks))
+    plan = slots.where("turn = 0").select("name", "share")
     slots = slots.select(F.col("name").alias("_n"), "share", "turn", "tick")
     rows = ranked(df.select(*kept), source, key, size.rows)
     rows = rows.withColumn("block", F.expr(f"_rank div {block}")).withColumn("_row", F.col("_rank") % block)
@@ -196,26 +155,26 @@ def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "d
     return found.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("_row")).select(*kept, "block", "slot", "position")
 
 
-#: DuckDB: the same mixture of documents, by square roots of the sources' sizes.
+#: DuckDB: the same mixture of documents, by square roots of the sources' sizes. It lacks the rule for weights without a share.
 ORACLE = f"""
-WITH w AS (SELECT source AS name, round(pow(count(*)::DOUBLE, 0.5), 6) AS weight FROM documents GROUP BY source),
-q AS (SELECT name, weight / sum(weight) OVER () * ({TICKS} - count(*) OVER ()) AS q, {TICKS} - count(*) OVER () AS free FROM w),
-l AS (SELECT name, q, floor(q)::BIGINT AS low, free - sum(floor(q)::BIGINT) OVER () AS rest FROM q),
-plan AS (
-  SELECT name, 1 + low + CASE WHEN row_number() OVER (ORDER BY round(low - q, 9), name NULLS FIRST) <= rest THEN 1 ELSE 0 END AS share FROM l),
+WITH w AS (SELECT source AS name, count(*) AS rows, round(pow(count(*)::DOUBLE, 0.5), 6) AS weight FROM documents GROUP BY source),
+n AS (SELECT greatest({TICKS}, ((sum(rows) + {BLOCK} - 1) // {BLOCK})::BIGINT + count(*), {SOURCE_TICKS} * count(*)) AS ticks FROM w),
+q AS (SELECT name, round(weight / sum(weight) OVER () * ticks, 9) AS q, ticks FROM w, n),
+l AS (SELECT name, q, floor(q)::BIGINT AS low, ticks - sum(floor(q)::BIGINT) OVER () AS rest FROM q),
+plan AS (SELECT name, low + CASE WHEN row_number() OVER (ORDER BY round(low - q, 6), name NULLS FIRST) <= rest THEN 1 ELSE 0 END AS share FROM l),
 p AS (SELECT list(name ORDER BY name NULLS FIRST) AS names, list(share ORDER BY name NULLS FIRST) AS a FROM plan),
 run AS (
-  SELECT names, a, list_reduce(range(0, {TICKS}),
+  SELECT names, a, list_reduce(range(0, ticks),
     lambda s, t: list_transform([list_min(list_transform(range(1, len(a) + 1), lambda i:
-        CASE WHEN s[1][i] * {TICKS} // a[i] <= t THEN (((s[1][i] + 1) * {TICKS} + a[i] - 1) // a[i]) * 1000000 + i END)) % 1000000],
+        CASE WHEN s[1][i] * ticks // a[i] <= t THEN (((s[1][i] + 1) * ticks + a[i] - 1) // a[i]) * 1000000 + i END)) % 1000000],
       lambda b: [list_transform(range(1, len(a) + 1), lambda i: s[1][i] + CASE WHEN i = b THEN 1 ELSE 0 END), list_append(s[2], b)])[1],
-    [list_transform(a, lambda x: 0::BIGINT), []::BIGINT[]])[2] AS runs FROM p),
+    [list_transform(a, lambda x: 0::BIGINT), []::BIGINT[]])[2] AS runs FROM p, n),
 ticks AS (SELECT names[i] AS name, a[i] AS share, tick FROM (SELECT names, a, unnest(runs) AS i, generate_subscripts(runs, 1) - 1 AS tick FROM run)),
 slots AS (SELECT name, share, tick, row_number() OVER (PARTITION BY name ORDER BY tick) - 1 AS turn FROM ticks),
 r AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM documents),
 b AS (SELECT doc_id, source, rank // {BLOCK} AS block, rank % {BLOCK} AS row FROM r)
-SELECT b.doc_id, b.source, b.block, (b.block // s.share) * {TICKS} + s.tick AS slot,
-       ((b.block // s.share) * {TICKS} + s.tick) * {BLOCK} + b.row AS position
-FROM b JOIN slots s ON b.source IS NOT DISTINCT FROM s.name AND b.block % s.share = s.turn
+SELECT b.doc_id, b.source, b.block, (b.block // s.share) * n.ticks + s.tick AS slot,
+       ((b.block // s.share) * n.ticks + s.tick) * {BLOCK} + b.row AS position
+FROM n, b JOIN slots s ON b.source IS NOT DISTINCT FROM s.name AND b.block % s.share = s.turn
 """

@@ -311,7 +311,7 @@ def test_mixing(odd, none, spark):
     weights = spark.createDataFrame([("s0", 5.0), ("s1", 3.0), ("s2", 1.0), ("s3", -1.0)], "name string, weight double")
     got = mixing.mix(docs, weights, block=4, ticks=50).collect()
     assert len(got) == 900 == len({r.position for r in got})
-    share = {r.name: r.share for r in mixing.shares(weights.unionByName(spark.createDataFrame([(None, None)], "name string, weight double")), 50).collect()}
+    share = dict(zip((None, "s0", "s1", "s2", "s3"), mixing.whole_shares([0, 5, 3, 1, 0], 50), strict=True))
     assert sum(share.values()) == 50 and min(share.values()) == 1
     by = defaultdict(set)
     for r in got:
