@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import chunking, crossparse, decontamination, licenses, matroska, mixing, segments, sharding, superminhash, warc
+from seamline.llm import chunking, crossparse, decontamination, licenses, matroska, mixing, neighbours, periodic, segments, sharding, spelling, superminhash, warc
 from seamline.llm.crossparse import held_out, learnable
 from seamline.sources.tables import table
 
@@ -57,5 +57,17 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, mixing.target_weights(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op9_licence_scan, op10_pfair_mixing)}
-ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op9_licence_scan": licenses.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+def op11_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, folder, "documents"))))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxic_segments, op3_gear_chunks, op4_matroska_packets, op5_superminhash, op6_cross_parsing, op7_positional_index, op8_lookup_sharding, op9_licence_scan, op10_pfair_mixing, op11_stable_projections, op12_periodic_runs, op13_spelling_variants)}
+ORACLES = {"op1_warc_derivatives": warc.ORACLE, "op7_positional_index": decontamination.ORACLE, "op8_lookup_sharding": sharding.ORACLE, "op9_licence_scan": licenses.ORACLE, "op10_pfair_mixing": mixing.ORACLE, "op13_spelling_variants": spelling.ORACLE}
