@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions.paths import resolve_endpoint, resolve_specifier, spring_join, truncate_code, url_query_keys
-from seamline.plans.closure import closure
 from seamline.plans.lineage import Pile, stored
 
 FLOW_SAME = ("filter", "slice", "sort", "reverse")
@@ -329,20 +328,6 @@ def parse_types(texts: DataFrame, known: DataFrame) -> DataFrame:
     return each.join(named, ["repo", "java_type"], "left").select("repo", "java_type", parse("java_type", "names").alias("type_json"))
 
 
-def flatten_fields(fields: DataFrame, extends: DataFrame) -> DataFrame:
-    """(repo, dto_id, pos, name, ...): own and inherited fields; the nearest class wins, an ignored field removes the name.
-
-    ``fields``: repo, dto_id, pos, name, ignored and more; ``extends``: repo, dto_id, parent.
-    """
-    up = closure(extends.select("repo", F.col("dto_id").alias("src"), F.col("parent").alias("dst")))
-    depth = {"own": fields.withColumns({"_owner": F.col("dto_id"), "_depth": F.lit(0)})}
-    chain = up.join(up.select("repo", F.col("start").alias("node"), F.col("node").alias("_above")).groupBy("repo", "node").agg(F.count("*").alias("_h")), ["repo", "node"], "left")
-    inherited = fields.join(chain.select("repo", F.col("node").alias("dto_id"), F.col("start").alias("_owner"), (1000 - F.coalesce("_h", F.lit(0))).alias("_depth")), ["repo", "dto_id"])
-    rows = depth["own"].unionByName(inherited)
-    n = F.row_number().over(W.partitionBy("repo", "_owner", "name").orderBy("_depth", "pos"))
-    return rows.withColumn("_n", n).where("_n = 1 AND NOT ignored").withColumn("dto_id", F.col("_owner")).drop("_owner", "_depth", "_n")
-
-
 def enum_wire_values(constants: DataFrame) -> DataFrame:
     """(repo, enum_id, pos, value): the JSON name where one is given, else the constant's name."""
     return constants.select("repo", "enum_id", "pos", F.coalesce("json_name", "name").alias("value"))

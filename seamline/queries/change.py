@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamline.functions import paths as P
-from seamline.operators import diff, extract, impact, index, review
+from seamline.operators import diff, extract, impact, index, review, shapes
 from seamline.operators.contract import check_contract, contract_result
 from seamline.plans.lineage import stored
 from seamline.queries import change_sql as sql
@@ -72,7 +72,7 @@ def review_merge(spark, folder):
     files = f.files.select("repo", F.col("path").alias("file")).join(docs, "file")
     spread = chosen.withColumn("line", F.col("line") % 20 + 1)
     shown_ = stored(review.snippets(review.merge_ranges(review.ranges(spread, f.calls)), review.source_lines(files)))
-    asked = review.requests(changes, spread, shown_)
+    asked = review.requests(changes, spread, shown_, shapes.endpoint_shapes(pairs, *sides(spark, folder)))
     verdicts = stored(review.run_reviewer(asked, _reviewer))
     return review.apply_verdicts(spread, verdicts, shown_)
 

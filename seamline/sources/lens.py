@@ -83,6 +83,28 @@ def _params(after: bool) -> str:
   {"UNION ALL SELECT repo, id, 'tenant', " + s + ", line % 2 = 1, 'query', 3 FROM " + e + " WHERE line % 7 = 3" if after else ""}"""
 
 
+_T, _U = ('{"kind":"typeParameter","name":"%s"}' % n for n in "TU")
+_UP = "CAST(2 * floor(s_suppkey / 4) + s_suppkey % 2 AS BIGINT)"
+_CLASS = "'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'pkg.S' || CAST(s_suppkey AS STRING) AS dto_id"
+
+
+def _members() -> str:
+    k, text, number = "s_suppkey", '{"kind":"scalar","name":"String"}', '{"kind":"scalar","name":"int"}'
+    row = lambda kind, pos, name, type_json, null, where, json="CAST(NULL AS STRING)", skipped="FALSE": f"SELECT {_CLASS}, {pos} AS pos, '{kind}' AS kind, '{name}' AS name, {json} AS json_name, '{type_json}' AS type_json, {null} AS nullable, {skipped} AS skipped FROM supplier WHERE {where}"
+    rows = (
+        row("field", 0, "id", '{"kind":"scalar","name":"long"}', "FALSE", f"{k} % 2 = 0 OR {k} % 3 = 0"),
+        row("field", 1, "userName", text, "TRUE", "TRUE", f"CASE WHEN {k} % 4 = 0 THEN 'user' END", f"{k} % 6 = 1"),
+        row("field", 2, "total", number, "FALSE", f"{k} % 5 < 3"),
+        row("field", 3, "value", _T, "TRUE", f"{k} % 3 < 2"),
+        row("field", 4, "other", '{"kind":"map","value":' + _U + "}", f"{k} % 4 = 1", f"{k} % 3 = 1"),
+        row("method", 0, "getId", text, "TRUE", f"{k} % 4 < 2", skipped=f"{k} % 9 = 0"),
+        row("method", 1, "isActive", '{"kind":"scalar","name":"boolean"}', "FALSE", f"{k} % 3 = 0"),
+        row("method", 2, "getURLPath", '{"kind":"array","element":' + _T + "}", "TRUE", f"{k} % 3 < 2 AND {k} % 7 < 2", f"CASE WHEN {k} % 2 = 0 THEN '' END"),
+        row("method", 3, "toText", text, "TRUE", "TRUE"),
+    )
+    return " UNION ALL ".join(rows)
+
+
 _FN = "'fn:' || CAST({s} AS STRING) || ':' || CAST({k} AS STRING)"
 LENS = {
     "repos": "SELECT DISTINCT 'repo' || CAST(p_partkey % 2 AS STRING) AS repo FROM part",
@@ -95,6 +117,16 @@ LENS = {
     "dto_fields_after": _fields(True),
     "enum_values": _values(False),
     "enum_values_after": _values(True),
+    # a class for each supplier, that extends another one with arguments for its parameters
+    "java_classes": f"""
+  SELECT {_CLASS}, split(CASE s_suppkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'T,U' ELSE '' END, ',') AS type_parameters, CASE WHEN s_suppkey % 5 = 0 THEN 'snake' WHEN s_suppkey % 7 = 0 THEN 'kebab' END AS naming,
+    CASE WHEN s_suppkey % 11 = 0 THEN split('total,none', ',') END AS ignored FROM supplier""",
+    "java_extends": f"""
+  SELECT {_CLASS}, 0 AS ord, 'pkg.S' || CAST({_UP} AS STRING) AS parent, CASE WHEN {_UP} % 3 < 2 THEN split(
+      CASE s_suppkey % 3 WHEN 0 THEN '{{"kind":"array","element":{_T}}}' WHEN 1 THEN '{_U}' ELSE '{{"kind":"scalar","name":"String"}}' END
+      || CASE WHEN {_UP} % 3 = 1 THEN '#' || CASE WHEN s_suppkey % 3 < 2 THEN '{_T}' ELSE '{{"kind":"scalar","name":"int"}}' END ELSE '' END, '#') END AS args FROM supplier WHERE {_UP} > 0
+  UNION ALL SELECT {_CLASS}, 1, 'pkg.S2', NULL FROM supplier WHERE s_suppkey % 10 = 0""",
+    "java_members": _members(),
     "files": "SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS path FROM supplier",
     "imports": """
   SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS file,

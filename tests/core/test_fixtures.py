@@ -222,12 +222,8 @@ def test_flow_and_wrappers(spark):
     assert {(r.id, r.endpoint_pattern) for r in extract.infer_wrappers(calls, returns, sites).collect()} == {("w1", "/users"), ("w2", "/users")}
 
 
-def test_constants_and_inheritance(spark):
+def test_constants(spark):
     parts = "repo string, name string, parts array<struct<literal:string,ref:string>>"
     rows = [("A", [("/api", None)]), ("B", [(None, "A"), ("/x", None)]), ("C", [(None, "B"), (None, "B")]), ("L", [(None, "L")])]
     got = {r.name: r.value for r in extract.resolve_constants(table(spark, rows, parts)).collect()}
     assert got == {"A": "/api", "B": "/api/x", "C": "/api/x/api/x", "L": "<expr>"}
-    fields = table(spark, [("Base", 0, "id", False), ("Base", 1, "name", False), ("Mid", 0, "name", True), ("Leaf", 0, "id", False)], "repo string, dto_id string, pos int, name string, ignored boolean")
-    extends = table(spark, [("Mid", "Base"), ("Leaf", "Mid")], "repo string, dto_id string, parent string")
-    flat = {(r.dto_id, r.name) for r in extract.flatten_fields(fields, extends).collect()}
-    assert flat == {("Base", "id"), ("Base", "name"), ("Mid", "id"), ("Leaf", "id")}
