@@ -83,6 +83,15 @@ def _params(after: bool) -> str:
   {"UNION ALL SELECT repo, id, 'tenant', " + s + ", line % 2 = 1, 'query', 3 FROM " + e + " WHERE line % 7 = 3" if after else ""}"""
 
 
+_SUP, _LINE = "'repo' || CAST(s_suppkey % 2 AS STRING) AS repo", "'repo' || CAST(l_suppkey % 2 AS STRING) AS repo"
+_K = "CAST(s_suppkey AS STRING)"
+#: Line numbers of an order repeat in the given table.
+_O = "CAST(l_orderkey AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING)"
+_ONE = "(SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) l"
+_NONE = "CAST(NULL AS STRING)"
+#: Functions call the one before the last, in chains of twelve.
+_INNER = "'g' || CAST(s_suppkey - 2 AS STRING)"
+
 _T, _U = ('{"kind":"typeParameter","name":"%s"}' % n for n in "TU")
 _UP = "CAST(2 * floor(s_suppkey / 4) + s_suppkey % 2 AS BIGINT)"
 _CLASS = "'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'pkg.S' || CAST(s_suppkey AS STRING) AS dto_id"
@@ -127,6 +136,35 @@ LENS = {
       || CASE WHEN {_UP} % 3 = 1 THEN '#' || CASE WHEN s_suppkey % 3 < 2 THEN '{_T}' ELSE '{{"kind":"scalar","name":"int"}}' END ELSE '' END, '#') END AS args FROM supplier WHERE {_UP} > 0
   UNION ALL SELECT {_CLASS}, 1, 'pkg.S2', NULL FROM supplier WHERE s_suppkey % 10 = 0""",
     "java_members": _members(),
+    # chains of functions that pass a value on, and calls of them on API results
+    "flow_seeds": f"SELECT {_LINE}, 'v:' || {_O} AS symbol, 'c' || {_O} AS call_id, CASE l_orderkey % 3 WHEN 0 THEN 'envelope' WHEN 1 THEN 'fetchResponse' ELSE 'body' END AS kind, 'direct' AS flow FROM {_ONE}",
+    "flow_params": f"SELECT {_SUP}, 'g' || {_K} AS function_id, p AS position, CASE p WHEN 0 THEN 'p:' ELSE 'q:' END || {_K} AS symbol FROM supplier CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) n",
+    "flow_results": f"SELECT {_SUP}, 'g' || {_K} AS function_id, 'r:' || {_K} AS symbol FROM supplier",
+    "flow_steps": f"""
+  SELECT {_SUP}, 'p:' || {_K} AS src, 'a:' || {_K} AS dst, CASE s_suppkey % 6 WHEN 1 THEN 'element' WHEN 2 THEN 'same' ELSE 'field' END AS op, CASE WHEN s_suppkey % 6 IN (0, 3, 5) THEN 'f' || CAST(s_suppkey % 5 AS STRING) END AS segment FROM supplier WHERE s_suppkey % 6 <> 4
+  UNION ALL SELECT {_SUP}, 'a:' || {_K}, 'b:' || {_K}, 'same', {_NONE} FROM supplier WHERE s_suppkey % 24 < 2 OR s_suppkey <= 2
+  UNION ALL SELECT {_SUP}, 'b:' || {_K}, 'r:' || {_K}, CASE WHEN s_suppkey % 4 = 0 THEN 'field' ELSE 'same' END, CASE WHEN s_suppkey % 4 = 0 THEN 'g' || CAST(s_suppkey % 3 AS STRING) END FROM supplier WHERE s_suppkey % 7 <> 3
+  UNION ALL SELECT {_LINE}, 'v:' || {_O}, 'w:' || {_O}, CASE WHEN l_orderkey % 3 = 0 AND l_partkey % 9 > 0 THEN 'field' ELSE 'same' END, CASE WHEN l_orderkey % 3 = 0 AND l_partkey % 9 > 0 THEN 'data' END FROM {_ONE} WHERE l_orderkey % 3 <> 1
+  UNION ALL SELECT {_LINE}, 'h:' || {_O}, 'z:' || {_O}, 'field', 'data' FROM {_ONE}""",
+    "flow_methods": f"""
+  SELECT {_SUP}, 'p:' || {_K} AS src, 'filter' AS method, 'a:' || {_K} AS dst, 'i:' || {_K} AS callback_param, {_NONE} AS callback_result FROM supplier WHERE s_suppkey % 6 = 4
+  UNION ALL SELECT {_LINE}, 'v:' || {_O}, 'json', 'w:' || {_O}, {_NONE}, {_NONE} FROM {_ONE} WHERE l_orderkey % 3 = 1
+  UNION ALL SELECT {_LINE}, 'z:' || {_O}, CASE l_partkey % 4 WHEN 0 THEN 'map' WHEN 1 THEN 'find' WHEN 2 THEN 'then' ELSE 'join' END, 'u:' || {_O}, 'y:' || {_O}, 'y:' || {_O} FROM {_ONE}""",
+    "flow_hooks": f"SELECT {_LINE}, 'x:' || {_O} AS result, 'h:' || {_O} AS dst FROM {_ONE}",
+    "flow_calls": f"""
+  SELECT {_SUP}, 'a:' || {_K} AS src, 'b:' || {_K} AS dst, CASE WHEN s_suppkey % 13 = 5 THEN 'ghost' ELSE {_INNER} END AS function_id, 0 AS position FROM supplier WHERE s_suppkey % 24 >= 2 AND s_suppkey > 2
+  UNION ALL SELECT {_LINE}, 'w:' || {_O}, 'x:' || {_O}, CASE WHEN l_partkey % 10 > 0 THEN 'g' || CAST(l_suppkey AS STRING) END, 0 FROM {_ONE}""",
+    # API calls within the innermost functions, what each function returns of its inner call, and where functions are called
+    "wrap_calls": f"""
+  SELECT {_SUP}, 'c' || {_K} AS id, CASE WHEN s_suppkey % 4 < 2 THEN '/api/s' || {_K} END AS endpoint_pattern, CASE WHEN s_suppkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE s_suppkey % 3 WHEN 0 THEN 'body' WHEN 1 THEN 'envelope' ELSE 'fetchResponse' END AS kind,
+    CASE WHEN s_suppkey % 4 >= 2 THEN CAST(floor(s_suppkey / 4) AS INT) % 2 END AS url_position FROM supplier WHERE s_suppkey % 6 < 2 OR s_suppkey <= 2""",
+    "wrap_returns": f"""
+  SELECT {_SUP}, 'g' || {_K} AS function_id, 'c' || {_K} AS call_id, CASE s_suppkey % 3 WHEN 1 THEN 'field' WHEN 2 THEN 'json' END AS op, CASE WHEN s_suppkey % 3 = 1 THEN 'data' END AS segment FROM supplier WHERE s_suppkey % 6 < 2 OR s_suppkey <= 2
+  UNION ALL SELECT {_SUP}, 'g' || {_K}, 's' || {_K}, CASE s_suppkey % 5 WHEN 0 THEN 'field' WHEN 1 THEN 'element' END, CASE WHEN s_suppkey % 5 = 0 THEN 'x' || CAST(s_suppkey % 3 AS STRING) END FROM supplier WHERE s_suppkey % 6 >= 2 AND s_suppkey > 2 AND s_suppkey % 11 <> 7""",
+    "wrap_sites": f"""
+  SELECT {_SUP}, 's' || {_K} AS id, {_INNER} AS function_id, 'src/s' || {_K} || '.ts' AS file, CAST(s_suppkey % 90 AS INT) AS line, CASE WHEN s_suppkey % 9 = 4 THEN '/x/' || {_K} || '?a=1' END AS text0, CASE WHEN s_suppkey % 9 <> 4 THEN 1 END AS position0,
+    CASE WHEN s_suppkey % 9 = 4 THEN '/y/' || {_K} || '/' END AS text1, CASE WHEN s_suppkey % 9 <> 4 THEN 0 END AS position1 FROM supplier WHERE s_suppkey % 6 >= 2 AND s_suppkey > 2
+  UNION ALL SELECT {_LINE}, 'l' || {_O} || lower(l_returnflag), 'g' || CAST(l_suppkey AS STRING), 'src/l.ts', CAST(l_orderkey % 90 AS INT), '/o0/$' || '{{id}}', NULL, CASE WHEN l_partkey % 6 > 0 THEN '/o1/' || lower(l_returnflag) || '/$' || '{{id}}?q=1' END, NULL FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 2) l""",
     "files": "SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS path FROM supplier",
     "imports": """
   SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS file,

@@ -138,25 +138,16 @@ def test_closure_survives_cycles(spark):
 
 
 @pytest.fixture
-def brief(spark, monkeypatch):
-    """For many small rounds: one partition, and no checkpoint files."""
+def brief(spark):
+    """For many small rounds: one partition."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     for k, v in zip(old, ("1", "false"), strict=True):
         spark.conf.set(k, v)
-    for module in (closure, extract):
-        monkeypatch.setattr(module, "cut", lambda df: df.localCheckpoint(eager=True), raising=False)
     yield
     for k, v in old.items():
         spark.conf.set(k, v)
 
 
-def test_wrappers_of_many_levels(spark, brief):
-    calls = table(spark, [call("w0", "GET", "/users")], CALL).coalesce(1)
-    returns = spark.createDataFrame([("r", f"g{i}", f"w{i}") for i in range(18)], "repo string, function_id string, call_id string").coalesce(1)
-    sites = spark.createDataFrame([("r", f"w{i + 1}", f"g{i}", "a", i, None) for i in range(18)], "repo string, id string, function_id string, file string, line int, argument string").coalesce(1)
-    assert {r.id for r in extract.infer_wrappers(calls, returns, sites).collect()} == {f"w{i}" for i in range(1, 19)}
-
-
 def test_closure_of_a_long_chain(spark, brief):
     n = 70
     imports = spark.createDataFrame([("r", f"f{i + 1}", f"f{i}") for i in range(n)], "repo string, file string, resolved_file string").coalesce(1)
@@ -211,17 +202,6 @@ def test_scanners(spark):
     assert {(r.name, r.source, r.required, r.java_type) for r in extract.bind_parameters(given, objects).collect()} == {("since", "query", False, "LocalDate"), ("tags", "query", False, "String"), ("role", "query", False, "Role"), ("d", "query", False, "Duration")}
 
 
-def test_flow_and_wrappers(spark):
-    seeds = spark.createDataFrame([("r", "res", "c1", "envelope", [], "direct")], "repo string, symbol string, call_id string, kind string, path array<string>, flow string")
-    edges = spark.createDataFrame([("r", "res", "body", "field", "data"), ("r", "body", "user", "field", "user"), ("r", "user", "item", "element", None), ("r", "item", "again", "same", None), ("r", "again", "user", "same", None), ("r", "user", "lost", "derived", None)], "repo string, src string, dst string, op string, segment string")
-    got = {r.symbol: (r.kind, r.path, r.flow) for r in extract.propagate(seeds, edges).collect()}
-    assert got == {"res": ("envelope", [], "direct"), "body": ("body", [], "direct"), "user": ("body", ["user"], "direct"), "item": ("body", ["user", "[]"], "direct"), "again": ("body", ["user", "[]"], "direct"), "lost": ("body", [], "derived")}
-    calls = table(spark, [call("c1", "GET", "/users")], CALL)
-    returns = spark.createDataFrame([("r", "f1", "c1"), ("r", "f2", "w1")], "repo string, function_id string, call_id string")
-    sites = spark.createDataFrame([("r", "w1", "f1", "a", 1, None), ("r", "w2", "f2", "b", 2, None)], "repo string, id string, function_id string, file string, line int, argument string")
-    assert {(r.id, r.endpoint_pattern) for r in extract.infer_wrappers(calls, returns, sites).collect()} == {("w1", "/users"), ("w2", "/users")}
-
-
 def test_constants(spark):
     parts = "repo string, name string, parts array<struct<literal:string,ref:string>>"
     rows = [("A", [("/api", None)]), ("B", [(None, "A"), ("/x", None)]), ("C", [(None, "B"), (None, "B")]), ("L", [(None, "L")])]
