@@ -73,6 +73,10 @@ def cuts(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(long):
         extra = [np.arange(edges[i] + MOST, edges[i + 1], MOST) for i in long]
         edges = np.union1d(edges, np.concatenate(extra))
+    # no chunk begins within a character
+    for _ in range(3):
+        inside = (b[np.minimum(edges, n - 1)] & 0xC0 == 0x80) & (edges < n)
+        edges = np.unique(edges + inside)
     return edges
 
 
@@ -194,28 +198,33 @@ def lengthened(runs: DataFrame, df: DataFrame, least: int, key: str = "doc_id",
 def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """``runs`` with start, keeper_start, size and words after extension to both sides by equal blank-separated words.
 
-    A run takes its own surroundings, ``reach`` bytes on each side, to the keeper's text; the words that agree are added.
-    Only texts with runs are read again. ``open`` says that all bytes on a side agreed and that there are more.
+    What stands around a run, ``reach`` bytes on each side, is compared with what stands around it in the keeper's text,
+    byte by byte (as one character each); the words that agree are added. Surroundings that are cut off at ``reach``
+    lose what is left of a character there. Those of a keeper are taken once for all runs at one place in it. Only
+    texts with runs are read again. ``open`` says that all bytes on a side agreed and that there are more.
     """
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text).cast("string"), "UTF-8").alias("b"))
-
-    def joined(rows: DataFrame, doc: str) -> DataFrame:
-        ids = rows.select(F.col(doc).alias("doc")).distinct()
-        one = narrowed(texts, ids, "doc").select(F.col("doc").alias("_doc"), "b")
-        return rows.join(one, F.col(doc) == F.col("_doc")).drop("_doc")
-
-    first = lambda at: F.greatest(F.lit(0), F.col(at) - reach)
-    before = lambda at: F.substring(F.col("b"), first(at) + 1, F.col(at) - first(at))
-    after = lambda at: F.substring(F.col("b"), F.col(at) + F.col("size") + 1, F.lit(reach))
-    own = joined(runs, "doc").withColumns({"b1": before("start"), "a1": after("start")}).drop("b")
-    both = joined(own, "keeper").withColumns({"b2": before("keeper_start"), "a2": after("keeper_start")}).drop("b")
-    words = lambda c: F.split(F.regexp_replace(F.col(c).cast("string"), "[\\x00-\\x20]", " "), " ")
-    cut_up = both.select("doc", "keeper", "start", "keeper_start", "size", "words", *[F.reverse(words(c)).alias(c) for c in ("b1", "b2")], *[words(c).alias(c) for c in ("a1", "a2")])
-    met = cut_up.select("doc", "keeper", "start", "keeper_start", "size", "words", F.slice("b1", F.lit(1), _alike(F.col("b1"), F.col("b2"))).alias("l"), F.slice("a1", F.lit(1), _alike(F.col("a1"), F.col("a2"))).alias("r"))
-    length = lambda c: F.octet_length(F.array_join(c, " "))
+    first = F.greatest(F.lit(0), F.col("at") - reach)
+    head = F.decode(F.substring("b", first + 1, F.col("at") - first), "ISO-8859-1")
+    tail = F.decode(F.substring("b", F.col("at") + F.col("size") + 1, F.lit(reach)), "ISO-8859-1")
+    head = F.when(first > 0, F.regexp_replace(head, "^[\x80-\xBF]{1,3}", "")).otherwise(head)
+    tail = F.when(F.length(tail) == reach, F.regexp_replace(tail, "[\xC0-\xFF][\x80-\xBF]{0,2}$", "")).otherwise(tail)
+    words = lambda c: F.split(F.regexp_replace(c, "[\x00-\x20]", " "), " ")
+
+    def around(places: DataFrame, doc: str, at: str, names: tuple[str, str]) -> DataFrame:
+        """Distinct (doc, at, size) with the words before and after, nearest first."""
+        each = places.select(F.col(doc).alias("doc"), F.col(at).alias("at"), "size").distinct()
+        one = narrowed(texts, each.select("doc").distinct(), "doc")
+        return each.join(one, "doc").select(F.col("doc").alias(doc), F.col("at").alias(at), "size", F.reverse(words(head)).alias(names[0]), words(tail).alias(names[1]))
+
+    theirs = stored(around(runs, "keeper", "keeper_start", ("b2", "a2")))
+    both = runs.join(around(runs, "doc", "start", ("b1", "a1")), ["doc", "start", "size"]).join(theirs, ["keeper", "keeper_start", "size"])
+    met = both.select("doc", "keeper", "start", "keeper_start", "size", "words", F.slice("b1", F.lit(1), _alike(F.col("b1"), F.col("b2"))).alias("l"), F.slice("a1", F.lit(1), _alike(F.col("a1"), F.col("a2"))).alias("r"))
+    length = lambda c: F.length(F.array_join(c, " "))
     full = lambda c: F.size(F.filter(c, lambda w: w != ""))
     grown = met.withColumns({"lb": length("l"), "rb": length("r")})
-    more = (F.col("lb") >= reach) | (F.col("rb") >= reach)
+    # up to three bytes of a character that was cut off count as met
+    more = (F.col("lb") >= reach - 3) | (F.col("rb") >= reach - 3)
     return grown.select(
         more.alias("open"), "doc", "keeper", (F.col("start") - F.col("lb")).alias("start"), (F.col("keeper_start") - F.col("lb")).alias("keeper_start"),
         (F.col("size") + F.col("lb") + F.col("rb")).alias("size"), (F.col("words") + full("l") + full("r")).alias("words"),

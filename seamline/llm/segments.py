@@ -4,9 +4,8 @@ Words get the log-odds of their documents being toxic, under a Dirichlet prior,
 standard deviations. A linear scan finds all maximal scoring segments of a text. Their scores are calibrated by the
 extreme-value law of such scores in clean text: E = K * n * exp(-lambda * S) segments are expected by chance.
 
-The classifier is fitted on a bounded sample of labelled rows (SAMPLE, drawn by hash). Words are 64-bit hashes; a first
-count over 2**18 hash slots finds the slots that differ, a second one the words in them, so that no count over all words
-of the corpus is shuffled. The model holds every word that differs in the sample; the sample is its only bound.
+The classifier is fitted on a bounded sample of labelled rows (SAMPLE, drawn by hash). Words are 64-bit hashes. All words
+of the sample are counted, and the model holds every word whose exact z is LEAST_Z or more; the sample is its only bound.
 """
 
 from __future__ import annotations
@@ -123,41 +122,19 @@ def training(df: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Fit on the labelled rows of ``df``. What comes to the driver is bounded by SLOTS, BINS and the words of the sample that differ."""
-    rows = training(df, labels, key, text, label, bound)
+    """Fit on the labelled rows of ``df``. What comes to the driver is bounded by BINS and the words of the sample that differ.
 
-    def slots(batches):
-        docs, tokens = np.zeros((2, SLOTS), np.int64), np.zeros((2, 2), np.int64)
-        for batch in batches:
-            for part in sliced(batch, "_text"):
-                words = Words(texts_of(part, "_text"), ALNUM)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                for y in (0, 1):
-                    which = (own == y)[words.text_of_words()]
-                    pairs = np.unique((words.text_of_words()[which].astype(np.uint64) << np.uint64(32)) | (words.hashes[which] & np.uint64(SLOTS - 1)))
-                    docs[y] += np.bincount((pairs & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-                    tokens[y] += (int((own == y).sum()), int(which.sum()))
-        there = np.flatnonzero(docs.any(axis=0))
-        slot = np.concatenate((there, [-1, -2]))
-        yield pa.RecordBatch.from_arrays([pa.array(slot), *[pa.array(np.concatenate((docs[y][there], tokens[y]))) for y in (0, 1)]], names=["slot", "clean", "toxic"])
-
-    table = rows.mapInArrow(slots, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas().set_index("slot")
-    n_clean, n_toxic = (int(table.at[-1, c]) if -1 in table.index else 0 for c in ("clean", "toxic"))
-    tokens = int(table.at[-2, "clean"]) if -2 in table.index else 0
-    if not n_clean or not n_toxic:
-        return Model(np.zeros(0, np.uint64), np.zeros(0))
-    table = table[table.index >= 0]
-    _, z = log_odds(table["toxic"], table["clean"], n_toxic, n_clean)
-    wanted = np.zeros(SLOTS, bool)
-    wanted[table.index.to_numpy()[np.abs(np.asarray(z)) >= LEAST_Z - 1]] = True
+    Ties of z don't matter, as all words from LEAST_Z on are taken; rows that repeat a key are documents of their own.
+    """
+    rows = training(df, labels, key, text, label, bound)
 
     def terms(batches):
+        """Documents of either label with a term, and its uses in clean ones; a null term for all documents and words."""
         for batch in batches:
             for part in sliced(batch, "_text"):
                 words = Words(texts_of(part, "_text"), ALNUM)
                 own = part.column(0).to_numpy(zero_copy_only=False)
-                keep = wanted[words.hashes & np.uint64(SLOTS - 1)]
-                term, doc = words.hashes[keep], words.text_of_words()[keep]
+                term, doc = words.hashes, words.text_of_words()
                 order = np.lexsort((doc, term))
                 term, doc = term[order], doc[order]
                 new = np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))) if len(term) else np.zeros(0, bool)
@@ -165,13 +142,19 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 at = np.flatnonzero(head)
                 total = lambda x: np.add.reduceat(x.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
                 clean = own[doc] == 0
-                yield pa.RecordBatch.from_arrays([pa.array(term[at].view(np.int64)), pa.array(total(new & clean)), pa.array(total(new & ~clean)), pa.array(total(clean))], names=["term", "clean", "toxic", "uses"])
+                values = [np.append(x, n) for x, n in ((total(new & clean), (own == 0).sum()), (total(new & ~clean), (own != 0).sum()), (total(clean), clean.sum()))]
+                yield pa.RecordBatch.from_arrays([pa.array([*term[at].view(np.int64).tolist(), None], pa.int64()), *[pa.array(x.astype(np.int64)) for x in values]], names=["term", "clean", "toxic", "uses"])
 
-    counted = rows.mapInArrow(terms, "term long, clean long, toxic long, uses long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "uses")])
+    # as many rows as the sample has different words
+    counted = stored(rows.mapInArrow(terms, "term long, clean long, toxic long, uses long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "uses")]))
+    every = counted.where("term IS NULL").first()
+    n_clean, n_toxic, tokens = (every.clean, every.toxic, every.uses) if every else (0, 0, 0)
+    if not n_clean or not n_toxic:
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
     a, b = F.col("toxic") + PRIOR, F.col("clean") + PRIOR
-    # the same z as log_odds(), where documents with the word are few; the exact one follows
-    rough = F.abs(F.log(a / n_toxic) - F.log(b / n_clean)) / F.sqrt(1 / a + 1 / b)
-    top = counted.where(F.col("toxic") + F.col("clean") >= 3).withColumn("z", rough).where(F.col("z") >= LEAST_Z).drop("z").orderBy("term").toPandas()
+    # log_odds() as columns, with a little to spare for rounding
+    exact = F.abs(F.log(a / (n_toxic + 2 * PRIOR - a)) - F.log(b / (n_clean + 2 * PRIOR - b))) / F.sqrt(1 / a + 1 / b)
+    top = counted.where(F.col("term").isNotNull() & (exact >= LEAST_Z - 1e-6)).orderBy("term").toPandas()
     delta, z = log_odds(top["toxic"], top["clean"], n_toxic, n_clean)
     keep = np.abs(z) >= LEAST_Z
     model = Model(top["term"].to_numpy(np.int64)[keep].view(np.uint64), np.clip(delta[keep], -8, 12) - DRIFT)

@@ -243,3 +243,58 @@ def test_matroska_lacing_of_unequal_frames_and_unknown_sizes():
 def test_matroska_refuses_what_is_broken(data):
     with pytest.raises(matroska.Malformed):
         matroska.parse(data)
+
+
+def test_words_of_the_toxicity_model_are_those_of_a_full_count(spark):
+    """Common words with a large exact z among them, which log a / n alone would miss."""
+    import math
+    import random
+    from collections import Counter
+
+    from seamline.llm.common import ALNUM, Words
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        own = [w for k, w in enumerate(words) if r.random() < 0.03 + (0.2 if toxic and k % 40 == 0 else 0) - (0.02 if toxic and k % 25 == 1 else 0)]
+        own += ["common"] if r.random() < (0.9 if toxic else 0.7) else []
+        own += ["rare"] * (3 if toxic and i % 90 == 0 else 0)
+        r.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = segments.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    count = {y: Counter(w for (_, t), (_, l) in zip(rows, labels) if l == y for w in set(t.split())) for y in (0, 1)}
+    n = {y: sum(l == y for _, l in labels) for y in (0, 1)}
+    want = {}
+    for w in count[0].keys() | count[1].keys():
+        a, b = count[1][w] + 0.5, count[0][w] + 0.5
+        delta = math.log(a / (n[1] + 1 - a)) - math.log(b / (n[0] + 1 - b))
+        if abs(delta) / math.sqrt(1 / a + 1 / b) >= 3:
+            want[w] = min(12, max(-8, delta)) - 0.1
+    hashes = Words(pa.array([" ".join(want)]), ALNUM).hashes.tolist()
+    assert "common" in want and "rare" in want and len(want) > 8
+    assert {int(t): round(float(s), 9) for t, s in zip(model.terms, model.scores)} == {h: round(s, 9) for h, s in zip(hashes, want.values())}
+
+
+def test_repeated_ranges_have_the_keepers_bytes(spark):
+    """Passages of two- and three-byte letters: the same bytes in both texts, whole characters, all found."""
+    import random
+
+    r = random.Random(12)
+    letters = "абвгдежзиклмнопрстуфхцчшщыэюя日本語漢字仮名文書"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 9)))
+    rows = []
+    for i in range(0, 400, 2):
+        passage = " ".join(word() for _ in range(r.randrange(51, 140)))
+        for d in (i, i + 1):
+            rows.append((d, " ".join(word() for _ in range(r.randrange(0, 60))) + r.choice([" ", "\n"]) + passage + " " + " ".join(word() for _ in range(r.randrange(0, 60)))))
+    texts = {d: t.encode() for d, t in rows}
+    found = chunking.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    copies = {(f.doc_id, f.keeper_id): texts[f.doc_id][f.start : f.start + f.n_bytes].decode() for f in found}
+    assert {d for d, _ in copies} == set(texts)
+    for f in found:
+        if not f.is_keeper:
+            assert copies[f.doc_id, f.keeper_id].split() == copies[f.keeper_id, f.keeper_id].split()
