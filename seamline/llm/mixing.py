@@ -1,26 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source form blocks. Weights are shares of ``ticks``: source i gets a_i of every ``ticks`` block slots. Its
-k-th block is released at floor((k - 1) * ticks / a_i) and due at ceil(k * ticks / a_i); at every slot, of the sources
-whose next block is released, the one with the earliest deadline runs (ties: by name). As the shares sum to ``ticks``
-every deadline is met, so at any slot t each source has run t * a_i / ticks blocks within less than one block. The
-schedule repeats after ``ticks`` slots, where all deviations are zero: one period is computed, and block k of a source
-is placed by arithmetic. A period has as many rows as ``ticks`` says; its schedule is written as it is found, so that it
-needs no more memory than the sources do.
-
-Shares are whole, so they differ from the weights. There are as many ticks as blocks, unless ``ticks`` is given, and a
-share is the weight's quota but for less than 1: at slot t a source is less than 1 + t / ticks blocks from its weight, so
-less than two for as long as no source has ended. Only a source whose weight would get no share takes 1 from others.
-
-Where a source ends before the others, its later slots stay empty: no row is dropped or repeated.
+Rows of a source form blocks, and a source of weight w (its share of all weights, an exact fraction) owns w of every
+slot. Its k-th block, from 0, is released at floor(k / w) and due at ceil((k + 1) / w). At every slot, of the sources
+whose next block is released, the one with the earliest deadline runs (ties: by name). As the shares sum to 1, every
+deadline is met, so at any slot t each source has run within less than one block of t * w: nothing is rounded, and no
+deviation grows with the input.
+
+A source that has ended is left out, and the others keep to their windows; a slot at which no block is released stays
+empty. No row is dropped or repeated. The schedule has one row for each block of BLOCK rows. It is made in one task, a few
+comparisons a block, which holds the sources alone and writes it as it is found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from heapq import heapify, heappop, heappush, heapreplace
+from heapq import heappop, heappush
 from itertools import islice
+from math import lcm
+from sys import float_info
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,13 +27,10 @@ from pyspark.sql import functions as F
 
 from seamline.plans.lineage import cut
 
-TICKS = 1000
-#: Slots of a period for each source at least.
-SOURCE_TICKS = 16
-#: A longer period isn't broadcast.
-BROADCAST_TICKS = 1 << 20
+#: A schedule of more blocks isn't broadcast.
+BROADCAST_BLOCKS = 1 << 20
 BLOCK = 64
-#: Slots that are written at a time.
+#: Blocks that are written at a time.
 BATCH = 1 << 16
 #: Rows that one group of the ranking holds on average.
 BUCKET_ROWS = 4096
@@ -47,60 +42,55 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def whole_shares(weights: list[float], ticks: int) -> list[int]:
-    """Shares of ``ticks`` by largest remainder of the exact quotas; one that would be 0 takes 1 from those most above their quotas."""
+def whole_weights(weights: list[float]) -> list[int]:
+    """The weights times a common factor, exactly. A weight of 0 counts as the least of the others, as 1 where there are none.
+
+    Weights below 2**-24 of all count as that, so that slots fit into 64 bits.
+    """
     exact = [Fraction(w) for w in weights]
-    if not any(exact):
-        exact = [Fraction(1)] * len(exact)
-    total = sum(exact)
-    quota = [w * ticks / total for w in exact]
-    share = [q.numerator // q.denominator for q in quota]
-    for i in sorted(range(len(quota)), key=lambda i: (share[i] - quota[i], i))[: ticks - sum(share)]:
-        share[i] += 1
-    givers = [(q - s, i) for i, (q, s) in enumerate(zip(quota, share, strict=True)) if s > 1]
-    heapify(givers)
-    for i, s in enumerate(share):
-        if not s:
-            share[i] = 1
-            short, giver = givers[0]
-            share[giver] -= 1
-            heapreplace(givers, (short + 1, giver)) if share[giver] > 1 else heappop(givers)
-    return share
-
-
-def earliest_deadline(share: list[int], ticks: int) -> Iterator[tuple[int, int]]:
-    """(source, turn) of each slot of one period: the source's place in ``share`` and how often it ran before."""
-    done = [0] * len(share)
-    released = [(0, i) for i in range(len(share))]
+    least = max(min((w for w in exact if w), default=Fraction(1)), sum(exact) / (1 << 24))
+    exact = [max(w, least) for w in exact]
+    factor = lcm(*(w.denominator for w in exact))
+    return [int(w * factor) for w in exact]
+
+
+def earliest_deadline(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of every block, slot by slot; a source is its place in ``weights`` and has ``blocks`` blocks."""
+    total, done, t = sum(weights), [0] * len(weights), 0
+    released = [(0, i) for i, n in enumerate(blocks) if n]
     ready: list[tuple[int, int]] = []
-    for t in range(ticks):
+    while released or ready:
+        if not ready:
+            t = max(t, released[0][0])
         while released and released[0][0] <= t:
             i = heappop(released)[1]
-            heappush(ready, (-(-(done[i] + 1) * ticks // share[i]), i))
+            heappush(ready, (-(-(done[i] + 1) * total // weights[i]), i))
         i = heappop(ready)[1]
-        yield i, done[i]
+        yield i, done[i], t
         done[i] += 1
-        heappush(released, (done[i] * ticks // share[i], i))
+        t += 1
+        if done[i] < blocks[i]:
+            heappush(released, (done[i] * total // weights[i], i))
 
 
-def weighted_period(weights: DataFrame, ticks: int) -> DataFrame:
-    """(name, share, turn, tick): the slots of one period for (name, weight); turn counts a source's slots from 0.
+def schedule(sources: DataFrame) -> DataFrame:
+    """(name, block, slot): where each block of each source (name, weight, blocks) runs.
 
-    Null, negative and not-a-number weights count as 0.
+    Null, negative and not-a-number weights count as 0, infinite ones as the largest number.
     """
-    weight = F.greatest(F.coalesce(F.nanvl(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    row = weights.agg(F.array_sort(F.collect_list(F.struct("name", weight.alias("weight")))).alias("p")).where(F.size("p") > 0)
+    number = F.coalesce(F.nanvl(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
+    weight = F.least(F.greatest(number, F.lit(0.0)), F.lit(float_info.max))
+    row = sources.agg(F.array_sort(F.collect_list(F.struct("name", weight.alias("weight"), "blocks"))).alias("p")).where(F.size("p") > 0)
 
     def run(batches):
         for batch in batches:
-            for sources in batch.column(0).to_pylist():
-                share = whole_shares([s["weight"] for s in sources], ticks)
-                runs = enumerate(earliest_deadline(share, ticks))
-                while found := [(sources[i]["name"], share[i], turn, t) for t, (i, turn) in islice(runs, BATCH)]:
-                    columns = zip((pa.string(), pa.int64(), pa.int64(), pa.int64()), zip(*found, strict=True), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], names=["name", "share", "turn", "tick"])
+            for found in batch.column(0).to_pylist():
+                runs = earliest_deadline(whole_weights([s["weight"] for s in found]), [s["blocks"] for s in found])
+                while some := [(found[i]["name"], block, slot) for i, block, slot in islice(runs, BATCH)]:
+                    columns = zip((pa.string(), pa.int64(), pa.int64()), zip(*some, strict=True), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], names=["name", "block", "slot"])
 
-    return row.mapInArrow(run, "name string, share long, turn long, tick long")
+    return row.mapInArrow(run, "name string, block long, slot long")
 
 
 def ranked(df: DataFrame, source: str, key: str, rows: int) -> DataFrame:
@@ -123,58 +113,43 @@ def ranked(df: DataFrame, source: str, key: str, rows: int) -> DataFrame:
 
 
 def target_weights(df: DataFrame, source: str = "source", power: float = 0.5) -> DataFrame:
-    """(name, weight): each source's number of rows to ``power``, the usual flattening of a skewed mixture."""
-    return df.groupBy(F.col(source).cast("string").alias("name")).agg(F.round(F.pow(F.count("*").cast("double"), F.lit(power)), 6).alias("weight"))
+    """(name, weight): each source's number of rows to ``power``, the usual flattening of a skewed mixture, in millionths."""
+    return df.groupBy(F.col(source).cast("string").alias("name")).agg(F.round(F.pow(F.count("*").cast("double"), F.lit(power)) * 1e6).alias("weight"))
 
 
-def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "doc_id", block: int = BLOCK, ticks: int | None = None) -> DataFrame:
+def mix(df: DataFrame, weights: DataFrame, source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``df`` with ``block`` (of its source, from 0), ``slot`` (of the whole mixture) and ``position`` (of the row: order by it).
 
-    Rows of equal key are ranked among themselves in any order. Null sources form a source of their own; sources that
-    ``weights`` lacks get the least share. ``position`` is unique; gaps stand where a source has ended. Columns of
-    these names are replaced. An empty table gives an empty result. The period follows the numbers of blocks and sources;
-    ``ticks`` sets its length where it is no less than the number of sources.
+    Rows of equal key are ranked among themselves in any order. Null sources form a source of their own. Sources that
+    ``weights`` lacks, or gives a null, negative or zero weight, get the least of the other weights; of several weights
+    of a source the largest counts. ``position`` is unique; gaps stand where a slot is empty or a block isn't full. Columns
+    of these names are replaced. An empty table gives an empty result.
     """
     kept = [c for c in df.columns if c.lower() not in ("block", "slot", "position")]
-    sizes = df.groupBy(F.col(source).cast("string").alias("name")).count()
-    present = sizes.select("name")
-    size = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("sources")).first()
-    known = weights.select(F.col("name").alias("_n"), F.col("weight"))
-    targets = present.join(known, present["name"].eqNullSafe(known["_n"]), "left").select("name", "weight")
-    if ticks is None or ticks < size.sources:
-        ticks = max(TICKS, -(-size.rows // block) + size.sources, SOURCE_TICKS * size.sources)
-    slots = cut(weighted_period(targets, ticks))
-    plan = slots.where("turn = 0").select("name", "share")
-    slots = slots.select(F.col("name").alias("_n"), "share", "turn", "tick")
+    sizes = df.groupBy(F.col(source).cast("string").alias("name")).count().select("name", "count", F.expr(f"(count + {block - 1}) div {block}").alias("blocks"))
+    size = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()
+    known = weights.groupBy(F.col("name").alias("_n")).agg(F.max("weight").alias("weight"))
+    slots = cut(schedule(sizes.join(known, sizes["name"].eqNullSafe(known["_n"]), "left").select("name", "weight", "blocks")))
+    slots = slots.select(F.col("name").alias("_n"), F.col("block").alias("_block"), "slot")
     rows = ranked(df.select(*kept), source, key, size.rows)
     rows = rows.withColumn("block", F.expr(f"_rank div {block}")).withColumn("_row", F.col("_rank") % block)
-    shared = F.broadcast(plan.select(F.col("name").alias("_s"), F.col("share").alias("_share")))
-    rows = rows.join(shared, F.col("_name").eqNullSafe(F.col("_s"))).withColumn("_turn", F.col("block") % F.col("_share"))
-    found = rows.join(F.broadcast(slots) if ticks <= BROADCAST_TICKS else slots, F.col("_name").eqNullSafe(F.col("_n")) & (F.col("_turn") == F.col("turn")))
-    slot = F.expr(f"(block div share) * {ticks} + tick")
-    return found.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("_row")).select(*kept, "block", "slot", "position")
+    found = rows.join(F.broadcast(slots) if size.blocks <= BROADCAST_BLOCKS else slots, F.col("_name").eqNullSafe(F.col("_n")) & (F.col("block") == F.col("_block")))
+    return found.withColumn("position", F.col("slot") * block + F.col("_row")).select(*kept, "block", "slot", "position")
 
 
-#: DuckDB: the same mixture of documents, by square roots of the sources' sizes. It lacks the rule for weights without a share.
+#: DuckDB: the same mixture of documents, by square roots of the sources' sizes. The state of the fold is the blocks done, the next slot, and the runs with their slots.
 ORACLE = f"""
-WITH w AS (SELECT source AS name, count(*) AS rows, round(pow(count(*)::DOUBLE, 0.5), 6) AS weight FROM documents GROUP BY source),
-n AS (SELECT greatest({TICKS}, ((sum(rows) + {BLOCK} - 1) // {BLOCK})::BIGINT + count(*), {SOURCE_TICKS} * count(*)) AS ticks FROM w),
-q AS (SELECT name, round(weight / sum(weight) OVER () * ticks, 9) AS q, ticks FROM w, n),
-l AS (SELECT name, q, floor(q)::BIGINT AS low, ticks - sum(floor(q)::BIGINT) OVER () AS rest FROM q),
-plan AS (SELECT name, low + CASE WHEN row_number() OVER (ORDER BY round(low - q, 6), name NULLS FIRST) <= rest THEN 1 ELSE 0 END AS share FROM l),
-p AS (SELECT list(name ORDER BY name NULLS FIRST) AS names, list(share ORDER BY name NULLS FIRST) AS a FROM plan),
+WITH w AS (SELECT source AS name, CAST(round(pow(count(*)::DOUBLE, 0.5) * 1e6) AS BIGINT) AS weight, (count(*) + {BLOCK - 1}) // {BLOCK} AS blocks FROM documents GROUP BY source),
+p AS (SELECT list(name ORDER BY name NULLS FIRST) AS names, list(weight ORDER BY name NULLS FIRST) AS a, list(blocks ORDER BY name NULLS FIRST) AS m, sum(weight)::BIGINT AS n, sum(blocks)::BIGINT AS b FROM w),
 run AS (
-  SELECT names, a, list_reduce(range(0, ticks),
-    lambda s, t: list_transform([list_min(list_transform(range(1, len(a) + 1), lambda i:
-        CASE WHEN s[1][i] * ticks // a[i] <= t THEN (((s[1][i] + 1) * ticks + a[i] - 1) // a[i]) * 1000000 + i END)) % 1000000],
-      lambda b: [list_transform(range(1, len(a) + 1), lambda i: s[1][i] + CASE WHEN i = b THEN 1 ELSE 0 END), list_append(s[2], b)])[1],
-    [list_transform(a, lambda x: 0::BIGINT), []::BIGINT[]])[2] AS runs FROM p, n),
-ticks AS (SELECT names[i] AS name, a[i] AS share, tick FROM (SELECT names, a, unnest(runs) AS i, generate_subscripts(runs, 1) - 1 AS tick FROM run)),
-slots AS (SELECT name, share, tick, row_number() OVER (PARTITION BY name ORDER BY tick) - 1 AS turn FROM ticks),
+  SELECT names, list_reduce(range(0, b), lambda s, k:
+    list_transform([greatest(s[2][1], list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN s[1][i] < m[i] THEN s[1][i] * n // a[i] END)))], lambda t:
+      list_transform([list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN s[1][i] < m[i] AND s[1][i] * n // a[i] <= t THEN (((s[1][i] + 1) * n + a[i] - 1) // a[i]) * 1000000 + i END)) % 1000000], lambda j:
+        [list_transform(range(1, len(a) + 1), lambda i: s[1][i] + CASE WHEN i = j THEN 1 ELSE 0 END), [t + 1], list_append(s[3], j), list_append(s[4], t)])[1])[1],
+    [list_transform(a, lambda x: 0::BIGINT), [0::BIGINT], []::BIGINT[], []::BIGINT[]]) AS s FROM p),
+slots AS (SELECT names[i] AS name, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS block FROM (SELECT names, unnest(s[3]) AS i, unnest(s[4]) AS slot FROM run)),
 r AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM documents),
 b AS (SELECT doc_id, source, rank // {BLOCK} AS block, rank % {BLOCK} AS row FROM r)
-SELECT b.doc_id, b.source, b.block, (b.block // s.share) * n.ticks + s.tick AS slot,
-       ((b.block // s.share) * n.ticks + s.tick) * {BLOCK} + b.row AS position
-FROM n, b JOIN slots s ON b.source IS NOT DISTINCT FROM s.name AND b.block % s.share = s.turn
+SELECT b.doc_id, b.source, b.block, s.slot, s.slot * {BLOCK} + b.row AS position FROM b JOIN slots s ON b.source IS NOT DISTINCT FROM s.name AND b.block = s.block
 """

@@ -309,35 +309,42 @@ def test_mixing(odd, none, spark):
     rows = [(i, None if i % 9 == 0 else "s%d" % (i % 4)) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     weights = spark.createDataFrame([("s0", 5.0), ("s1", 3.0), ("s2", 1.0), ("s3", -1.0)], "name string, weight double")
-    got = mixing.mix(docs, weights, block=4, ticks=50).collect()
+    got = mixing.mix(docs, weights.union(weights.limit(1)), block=4).collect()
     assert len(got) == 900 == len({r.position for r in got})
-    share = dict(zip((None, "s0", "s1", "s2", "s3"), mixing.whole_shares([0, 5, 3, 1, 0], 50), strict=True))
-    assert sum(share.values()) == 50 and min(share.values()) == 1
+    share = {None: 1, "s0": 5, "s1": 3, "s2": 1, "s3": 1}
     by = defaultdict(set)
     for r in got:
         by[r.source].add((r.block, r.slot))
     for name, blocks in by.items():
+        assert {k for k, _ in blocks} == set(range(len(blocks)))
         for block, slot in blocks:  # block k runs between its release and its deadline
-            assert block * 50 // share[name] <= slot < -(-(block + 1) * 50 // share[name])
+            assert block * 11 // share[name] <= slot < -(-(block + 1) * 11 // share[name])
     assert mixing.mix(odd, mixing.target_weights(odd)).count() == 16
+    assert mixing.mix(odd, mixing.target_weights(none)).count() == 16
     assert mixing.mix(none, mixing.target_weights(none)).count() == 0
 
 
-@pytest.mark.parametrize("large, small, others", [(139.6, 45.2842, 19), (30.0, 1.0, 1100)])
-def test_mixing_keeps_to_the_weights(spark, large, small, others):
-    rows = [("big", 2000), *((f"s{i:04}", max(1, 4000 // others)) for i in range(others))]
-    docs = spark.createDataFrame([(k * 10_000 + i, name) for k, (name, n) in enumerate(rows) for i in range(n)], "doc_id long, source string")
-    weights = spark.createDataFrame([(name, large if name == "big" else small) for name, _ in rows], "name string, weight double")
-    got = mixing.mix(docs, weights, block=1).collect()
-    assert len(got) == docs.count() == len({r.position for r in got})
-    slots, total = defaultdict(list), large + small * others
-    for r in got:
-        slots[r.source].append(r.slot)
-    end = min(max(s) for s in slots.values())  # until then every source has blocks
-    for name, found in slots.items():
-        weight = (large if name == "big" else small) / total
-        for k, slot in enumerate(sorted(s for s in found if s <= end)):
-            assert abs(k - slot * weight) < 2 and abs(k + 1 - (slot + 1) * weight) < 2
+@pytest.mark.parametrize("weights", [[139.6, *[45.2842] * 19], [30.0, *[1.0] * 1100], [1 / 3, 0.1, 2**0.5, 1e-3, 7.0, 0.25, 11.3, 3.14159], [1e-300, 1.0, 1e300]])
+def test_deviation_stays_below_one_block(weights):
+    """Of exact weights, at every slot, for as long as all sources have blocks."""
+    whole = mixing.whole_weights(weights)
+    total, done = sum(whole), [0] * len(weights)
+    slots = 20_000 if len(weights) < 100 else 3000
+    for t, (i, block, slot) in zip(range(slots), mixing.earliest_deadline(whole, [10**9] * len(weights))):
+        assert slot == t and block == done[i]
+        done[i] += 1
+        if t % 97 == 0 or len(weights) < 9:
+            assert all(abs(n * total - (t + 1) * w) < total for n, w in zip(done, whole))
+
+
+def test_ended_sources_leave_the_others_in_their_windows():
+    weights, blocks = mixing.whole_weights([5.0, 2.5, 0.3, 0.0]), [3, 40, 11, 2]
+    total, seen = sum(weights), defaultdict(list)
+    for i, k, slot in mixing.earliest_deadline(weights, blocks):
+        assert k * total // weights[i] <= slot < -(-(k + 1) * total // weights[i])
+        seen[i].append(slot)
+    assert [len(seen[i]) for i in range(4)] == blocks
+    assert len({t for s in seen.values() for t in s}) == sum(blocks)
 
 
 def test_warc_records(spark):
