@@ -4,7 +4,9 @@ A suffix automaton of labelled text stands for each language. A text is parsed g
 occur in that text; the language that needs the fewest phrases, each weighed by the bits that point to a phrase, wins.
 
 The automata are fitted on a bounded sample: ``docs`` texts a language, drawn by hash, of which ``chars`` characters in
-all are used, from places in the whole text that a hash chooses. Everything else covers whole texts: a text is parsed in pieces of PIECE characters, all of them.
+all are used, from places in the whole text that a hash chooses. Everything else covers whole texts: pieces of PIECE
+characters are parsed side by side, and where a piece begins within a phrase it is parsed anew from there, until both
+ways are in one state.
 """
 
 from __future__ import annotations
@@ -163,31 +165,70 @@ def phrases(model: Model, kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     pieces = -(-sizes // PIECE)
     text = np.repeat(np.arange(len(sizes)), pieces)
     first = np.cumsum(pieces) - pieces
-    begin = starts[:-1][text] + (np.arange(len(text)) - first[text]) * PIECE
+    part = np.arange(len(text)) - first[text]
+    begin = starts[:-1][text] + part * PIECE
     size = np.minimum(PIECE, starts[1:][text] - begin)
-    order = np.argsort(-size, kind="stable")
-    text, begin, size = text[order], begin[order], size[order]
     roots = model.roots[:, None]
+    # every piece from the root: states and phrases ended after each of its characters
+    at = np.arange(PIECE)[:, None]
+    chars = kinds[np.minimum(begin + at, max(len(kinds) - 1, 0))].astype(np.int32) if len(text) else np.zeros((PIECE, 0), np.int32)
+    width = int(size.max(initial=0))
+    states = np.zeros((width, len(model.langs), len(text)), np.int32)
+    ended = np.zeros((width, len(model.langs), len(text)), np.int16)
     state = np.broadcast_to(roots, (len(model.langs), len(text))).copy()
-    count = np.zeros(state.shape, np.int32)
-    active = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")
-    for t in range(PIECE):
-        k = active[t]
-        if not k:
-            break
-        char = kinds[begin[:k] + t].astype(np.int32)
-        after = model.follow(state[:, :k], char)
-        ends = after == 0
-        again = model.follow(roots, char)
-        again = np.where(again == 0, roots, again)
-        count[:, :k] += ends
-        state[:, :k] = np.where(ends, again, after)
+    count = np.zeros(state.shape, np.int16)
+    for t in range(width):
+        state, more = _next(model, state, chars[t])
+        count = count + more
+        states[t], ended[t] = state, count
+    lane = np.arange(len(text))
+    last = states[size - 1, :, lane].T.copy() if len(text) else state  # languages x pieces
+    total = ended[size - 1, :, lane].T.astype(np.int64) if len(text) else count.astype(np.int64)
+    # pieces that don't begin a text and come in another state than the root
+    todo = np.zeros(last.shape, bool)
+    todo[:, 1:] = (part[1:] > 0) & (last[:, :-1] != roots)
+    while todo.any():
+        lang, piece = np.nonzero(todo)
+        todo = np.zeros(last.shape, bool)
+        state = last[lang, piece - 1]
+        n = np.zeros(len(piece), np.int64)
+        for t in range(width):
+            state, more = _next(model, state, chars[t, piece], lang)
+            n += more
+            met = (state == states[t, lang, piece]) | (t + 1 == size[piece])
+            if met.any():
+                own, which = lang[met], piece[met]
+                same = state[met] == states[t, own, which]
+                end = size[which] - 1
+                total[own, which] = n[met] + np.where(same, ended[end, own, which] - ended[t, own, which], 0)
+                after = np.where(same, states[end, own, which], state[met])
+                changed = after != last[own, which]
+                last[own, which] = after
+                # the next piece of the text is parsed again where this one now ends otherwise
+                follow = which[changed] + 1
+                there = (follow < len(text)) & (part[np.minimum(follow, len(text) - 1)] > 0)
+                todo[own[changed][there], follow[there]] = True
+                lang, piece, state, n = lang[~met], piece[~met], state[~met], n[~met]
+            if not len(piece):
+                break
     out = np.zeros((len(sizes), len(model.langs)), np.int64)
+    ends = np.flatnonzero(np.append(part[1:] == 0, True)) if len(text) else np.zeros(0, np.int64)
     for i in range(len(model.langs)):
-        out[:, i] = np.bincount(text, weights=count[i] + (state[i] != model.roots[i]), minlength=len(sizes))
+        out[:, i] = np.bincount(text, weights=total[i], minlength=len(sizes))
+        out[text[ends], i] += last[i, ends] != model.roots[i]
     return out
 
 
+def _next(model: Model, state: np.ndarray, char: np.ndarray, lang: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The states after one more character, and whether a phrase ended before it. ``state``: languages x texts, or one a text with its ``lang``."""
+    roots = model.roots[:, None] if lang is None else model.roots[lang]
+    after = model.follow(state, char) if lang is None else model.follow(state[None], char)[0]
+    ends = after == 0
+    again = model.follow(roots, char) if lang is None else model.follow(roots[None], char)[0]
+    again = np.where(again == 0, roots, again)
+    return np.where(ends, again, after), ends
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS, chars: int = CHARS) -> Model:
     """Fit on the labelled rows of ``df``. The sample that comes to the driver is bounded for each language (see sample())."""
     texts: dict[str, list[str]] = {}
