@@ -287,59 +287,86 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return slim.mapInArrow(run, f"`{key}` {kind}, media binary")
 
 
+def parsed(data: bytes) -> tuple[dict | None, str | None]:
+    """What ``parse`` finds, or why the bytes can't be read: damage ends with the file it is in."""
+    try:
+        found = parse(data)
+        if any(not -(1 << 63) <= x < 1 << 63 for row in (*found["packets"], *found["cues"]) for x in row if type(x) is int):
+            raise Malformed("a number beyond 64 bits")
+    except (ValueError, IndexError, ArithmeticError, struct.error) as e:
+        return None, f"{type(e).__name__}: {e}"
+    return found, None
+
+
 def packets(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """The packet table: one row per frame, with track, timestamp, duration, byte range, keyframe flag and lacing. Null media: no rows."""
+    """The packet table: one row per frame, with track, timestamp, duration, byte range, keyframe flag and lacing. Null media: no rows.
+
+    A file that can't be read has one row, with ``error`` and nulls.
+    """
 
     def run(batches):
-        names = [key, "packet", "track", "timestamp", "duration", "offset", "size", "keyframe", "lacing"]
+        names = [key, "packet", "track", "timestamp", "duration", "offset", "size", "keyframe", "lacing", "error"]
         for batch in batches:
             for part in sliced(batch, "_media"):
                 keys, rows = part.column(0).to_pylist(), []
                 for k, data in zip(keys, part.column(1).to_pylist()):
                     if data is not None:
-                        rows += [(k, i, *p) for i, p in enumerate(parse(data)["packets"])]
-                arrays = [pa.array([r[i] for r in rows], part.schema.field(0).type if i == 0 else t) for i, t in enumerate([None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()])]
+                        found, error = parsed(data)
+                        rows += [(k, i, *p, None) for i, p in enumerate(found["packets"])] if found else [(k, *[None] * 8, error)]
+                arrays = [pa.array([r[i] for r in rows], part.schema.field(0).type if i == 0 else t) for i, t in enumerate([None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     slim = df.select(F.col(key), F.col(media).alias("_media"))
     kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, packet long, track long, timestamp long, duration long, offset long, size long, keyframe boolean, lacing string")
+    return slim.mapInArrow(run, f"`{key}` {kind}, packet long, track long, timestamp long, duration long, offset long, size long, keyframe boolean, lacing string, error string")
 
 
 def cues(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """The cue table: one row per cue point and track, with the cluster's byte offset in the file. Null media: no rows."""
+    """The cue table: one row per cue point and track, with the cluster's byte offset in the file. Null media: no rows.
+
+    A file that can't be read has one row, with ``error`` and nulls.
+    """
 
     def run(batches):
         for batch in batches:
             for part in sliced(batch, "_media"):
-                rows = [(k, *c) for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if data is not None for c in parse(data)["cues"]]
-                arrays = [pa.array([r[i] for r in rows], part.schema.field(0).type if i == 0 else pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, "time", "track", "cluster_offset"])
+                rows = []
+                for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if data is not None:
+                        found, error = parsed(data)
+                        rows += [(k, *c, None) for c in found["cues"]] if found else [(k, None, None, None, error)]
+                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()])]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "time", "track", "cluster_offset", "error"])
 
     slim = df.select(F.col(key), F.col(media).alias("_media"))
     kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, time long, track long, cluster_offset long")
+    return slim.mapInArrow(run, f"`{key}` {kind}, time long, track long, cluster_offset long, error string")
 
 
 def read_back(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """Parse each file again, join its packets' byte ranges into the payload, and describe payload, file and samples.
 
     ``feature`` has the numbers of packets, clusters and cues, the time in ms, and mean, standard deviation and mean
-    absolute step of the samples. Null media: no row.
+    absolute step of the samples. Null media: no row. Of a file that can't be read, or whose packets leave the file, only
+    ``media_bytes``, ``media_sha256`` and ``error`` are known; one without packets has an empty payload.
     """
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
     def describe(data: bytes) -> tuple:
-        found = parse(data)
+        found, error = parsed(data)
+        stored = (len(data), hashlib.sha256(data).hexdigest())
+        if found is None:
+            return None, None, None, None, *stored, None, error
         payload = b"".join([data[p[3] : p[3] + p[4]] for p in found["packets"]])
         samples = np.frombuffer(payload, np.uint8)
         step = np.abs(np.diff(samples.astype(np.int16)))
-        last = found["packets"][-1]
+        last = max(((p[1] + (p[2] or 0)) for p in found["packets"][-1:]), default=0)
+        mean, std = (samples.mean(), samples.std()) if len(samples) else (0.0, 0.0)
         feature = (
-            f"packets={len(found['packets'])};clusters={len(found['clusters'])};cues={len(found['cues'])};ms={last[1] + last[2]};"
-            f"mean={samples.mean():.3f};std={samples.std():.3f};step={step.mean():.3f}"
+            f"packets={len(found['packets'])};clusters={len(found['clusters'])};cues={len(found['cues'])};ms={last};"
+            f"mean={mean:.3f};std={std:.3f};step={step.mean() if len(step) else 0.0:.3f}"
         )
-        return len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        return len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature, None
 
     def run(batches):
         for batch in batches:
@@ -347,9 +374,9 @@ def read_back(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
                 here = [(k, data) for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if data is not None]
                 rows = [describe(data) for _, data in here]
                 arrays = [pa.array([k for k, _ in here], part.schema.field(0).type)]
-                arrays += [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
+                arrays += [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     slim = df.select(F.col(key), F.col(media).alias("_media"))
     kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return slim.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

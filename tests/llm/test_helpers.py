@@ -298,3 +298,43 @@ def test_repeated_ranges_have_the_keepers_bytes(spark):
     for f in found:
         if not f.is_keeper:
             assert copies[f.doc_id, f.keeper_id].split() == copies[f.keeper_id, f.keeper_id].split()
+
+
+def test_phrases_go_on_over_pieces():
+    """Texts of many pieces, continuations of the samples among them, against a greedy parse of the whole text."""
+    r = random.Random(9)
+    samples = {"a": "".join(r.choice("abc ") for _ in range(3000)), "b": "".join(r.choice("abcdefgh") for _ in range(3000)), "c": "ab" * 1500}
+    model = crossparse.Model({k: [t] for k, t in samples.items()})
+    coded = lambda t: crossparse.squeeze(model.kinds[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()
+    known = {k: "".join(map(chr, coded(t + " "))) for k, t in samples.items()}  # a blank ends a sample
+
+    def greedy(codes, text_):
+        count, phrase = 0, ""
+        for c in map(chr, codes):
+            if phrase + c in text_:
+                phrase += c
+            else:
+                count, phrase = count + 1, c if c in text_ else ""
+        return count + bool(phrase)
+
+    texts = [samples["a"][100:2100], "ab" * 2000, "", "x", "".join(r.choice("abcx ") for _ in range(5000)), samples["b"][:512], samples["b"][7 : 7 + 1024] + samples["c"][:513], samples["b"][9:2900], "a"]
+    codes = [coded(t) for t in texts]
+    got = crossparse.phrases(model, np.array([c for x in codes for c in x], model.kinds.dtype), np.cumsum([0, *map(len, codes)]))
+    assert got.tolist() == [[greedy(x, known[k]) for k in sorted(known)] for x in codes]
+    assert got[0, 0] == 1
+
+
+def test_damaged_media_are_reported(spark):
+    from seamline.llm import matroska
+
+    good = matroska.write(matroska.padded(b"some text " * 200))
+    bad = [b"junk", good[: len(good) // 2], bytes([255]) * 50, good.replace(b"A_PCM", b"\xff\xfe\xfd\xfc\xfb", 1), good[:40] + b"\x01" * 9 + good[49:], b""]
+    rows = [(0, bytearray(good)), (99, None), *((i + 1, bytearray(b)) for i, b in enumerate(bad))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    read = {r.doc_id: r for r in matroska.read_back(df).collect()}
+    assert set(read) == set(range(len(bad) + 1)) and read[0].error is None and read[0].n_bytes == 2000
+    assert all(read[i].error and read[i].payload_sha256 is None and read[i].media_bytes == len(bad[i - 1]) for i in (1, 2, 3, 6))
+    for table in (matroska.packets(df), matroska.cues(df)):
+        found = table.collect()
+        assert {r.doc_id for r in found if r.error} >= {1, 2, 3, 6}
+        assert all(r.track is None for r in found if r.error) and any(r.doc_id == 0 and r.error is None for r in found)
