@@ -204,21 +204,20 @@ def extended(runs: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "t
     texts with runs are read again. ``open`` says that all bytes on a side agreed and that there are more.
     """
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text).cast("string"), "UTF-8").alias("b"))
-    first = F.greatest(F.lit(0), F.col("at") - reach)
-    head = F.decode(F.substring("b", first + 1, F.col("at") - first), "ISO-8859-1")
-    tail = F.decode(F.substring("b", F.col("at") + F.col("size") + 1, F.lit(reach)), "ISO-8859-1")
-    head = F.when(first > 0, F.regexp_replace(head, "^[\x80-\xBF]{1,3}", "")).otherwise(head)
-    tail = F.when(F.length(tail) == reach, F.regexp_replace(tail, "[\xC0-\xFF][\x80-\xBF]{0,2}$", "")).otherwise(tail)
-    words = lambda c: F.split(F.regexp_replace(c, "[\x00-\x20]", " "), " ")
-
-    def around(places: DataFrame, doc: str, at: str, names: tuple[str, str]) -> DataFrame:
-        """Distinct (doc, at, size) with the words before and after, nearest first."""
-        each = places.select(F.col(doc).alias("doc"), F.col(at).alias("at"), "size").distinct()
-        one = narrowed(texts, each.select("doc").distinct(), "doc")
-        return each.join(one, "doc").select(F.col("doc").alias(doc), F.col("at").alias(at), "size", F.reverse(words(head)).alias(names[0]), words(tail).alias(names[1]))
-
-    theirs = stored(around(runs, "keeper", "keeper_start", ("b2", "a2")))
-    both = runs.join(around(runs, "doc", "start", ("b1", "a1")), ["doc", "start", "size"]).join(theirs, ["keeper", "keeper_start", "size"])
+
+    def around(places: DataFrame, doc: str, at: str, before: str, after: str) -> DataFrame:
+        one = narrowed(texts, places.select(F.col(doc).alias("doc")).distinct(), "doc").withColumnRenamed("doc", "_doc")
+        first = F.greatest(F.lit(0), F.col(at) - reach)
+        cut = {before: F.substring("b", first + 1, F.col(at) - first), after: F.substring("b", F.col(at) + F.col("size") + 1, F.lit(reach))}
+        return places.join(one, F.col(doc) == F.col("_doc")).withColumns(cut).drop("_doc", "b")
+
+    theirs = around(runs.select("keeper", "keeper_start", "size").distinct(), "keeper", "keeper_start", "b2", "a2")
+    both = around(runs, "doc", "start", "b1", "a1").join(theirs, ["keeper", "keeper_start", "size"])
+    text_of = lambda c: F.decode(F.col(c), "ISO-8859-1")
+    head = lambda c, at: F.when(F.col(at) > reach, F.regexp_replace(text_of(c), "^[\x80-\xBF]{1,3}", "")).otherwise(text_of(c))
+    tail = lambda c: F.when(F.length(c) == reach, F.regexp_replace(text_of(c), "[\xC0-\xFF][\x80-\xBF]{0,2}$", "")).otherwise(text_of(c))
+    words = lambda t: F.split(F.regexp_replace(t, "[\x00-\x20]", " "), " ")
+    both = both.withColumns({"b1": F.reverse(words(head("b1", "start"))), "b2": F.reverse(words(head("b2", "keeper_start"))), "a1": words(tail("a1")), "a2": words(tail("a2"))})
     met = both.select("doc", "keeper", "start", "keeper_start", "size", "words", F.slice("b1", F.lit(1), _alike(F.col("b1"), F.col("b2"))).alias("l"), F.slice("a1", F.lit(1), _alike(F.col("a1"), F.col("a2"))).alias("r"))
     length = lambda c: F.length(F.array_join(c, " "))
     full = lambda c: F.size(F.filter(c, lambda w: w != ""))
