@@ -167,11 +167,38 @@ def scan_functions(sources: DataFrame) -> DataFrame:
     return sources.select("repo", "file", "text").mapInPandas(run, "repo string, id string, name string, file string, line int, last_line int, component boolean")
 
 
+def _innermost(lines: DataFrame, spans: DataFrame, value: str) -> DataFrame:
+    """(repo, file, line, ``value``): of the spans (repo, file, id, first, last, ``value``) around each line the shortest, then the one that begins last, then by id.
+
+    A span is cut into the blocks of 2^level lines that make it up, two a level at most, and each block keeps its best span;
+    a line looks up its own block of each level. Spans may overlap in any way, and no line meets all spans of its file.
+    """
+    size = F.col("last") - F.col("first") + 1
+    level = spans.where("first <= last AND first >= 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(size)).cast("int"))))
+    width = F.expr("shiftleft(1L, level)")
+    low, high = F.ceil(F.col("first") / width).cast("long"), F.floor((F.col("last") + 1) / width).cast("long")
+    ends = level.withColumns({"low": low, "high": high}).where("low < high")
+    blocks = F.array_compact(F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1)))
+    best = F.min(F.struct(size.alias("size"), (-F.col("first")).alias("begin"), "id", value)).alias("best")
+    kept = ends.withColumn("block", F.explode(blocks)).groupBy("repo", "file", "level", "block").agg(best)
+    tops = kept.groupBy("repo", "file").agg(F.max("level").alias("top"))
+    asked = lines.join(tops, ["repo", "file"]).withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
+    asked = asked.withColumn("block", F.floor(F.col("line") / width).cast("long"))
+    found = asked.join(kept, ["repo", "file", "level", "block"]).groupBy("repo", "file", "line").agg(F.min("best").alias("best"))
+    return found.select("repo", "file", "line", F.col(f"best.{value}").alias(value))
+
+
 def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """(repo, id, function_id, component): the innermost function around each site (repo, id, file, line), and the nearest component."""
-    met = sites.select("repo", "id", "file", "line").join(spans.select("repo", "file", F.col("id").alias("function_id"), "name", F.col("line").alias("first"), "last_line", F.col("component").alias("is_component")), ["repo", "file"]).where("line BETWEEN first AND last_line")
-    size = F.col("last_line") - F.col("first")
-    return met.groupBy("repo", "id").agg(F.min_by("function_id", size).alias("function_id"), F.min_by(F.when(F.col("is_component"), F.col("name")), F.when(F.col("is_component"), size)).alias("component"))
+    """(repo, id, function_id, component): the innermost function around each site (repo, id, file, line), and the nearest component.
+
+    ``spans``: repo, file, id, name, line, last_line, component. One row for each row of ``sites``, also where ids repeat; those
+    outside all functions are left out. Only the lines that have a site are looked up, each once.
+    """
+    lines = sites.select("repo", "file", "line").distinct()
+    given = spans.select("repo", "file", "id", F.col("id").alias("function_id"), F.col("name").alias("component"), F.col("line").alias("first"), F.col("last_line").alias("last"), F.col("component").alias("is_component"))
+    on = ["repo", "file", "line"]
+    met = _innermost(lines, given, "function_id").join(_innermost(lines, given.where("is_component"), "component"), on, "left")
+    return sites.select("repo", "id", "file", "line").join(met, on).select("repo", "id", "function_id", "component")
 
 
 def expand_mappings(mappings: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ def with_payload(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def compared(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, old_file, old_json, new_file, new_json of the records that differ; of rows that repeat a key the first by (json, file)."""
+    first = lambda rows, p: rows.groupBy(*keys).agg(F.min(F.struct("json", "file")).alias("r")).select(*keys, F.col("r.file").alias(f"{p}_file"), F.col("r.json").alias(f"{p}_json"))
+    return first(stored, "old").join(first(new, "new"), keys, "full_outer").where("NOT old_json <=> new_json")
+
+
 def sync(stored: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(repo, id, action, old_file, new_file): insert, update or delete by (repo, id); equal rows are left out.
 
@@ -20,11 +26,8 @@ def sync(stored: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     deletes what it lacks.
     """
     on = keys or ["repo", "id"]
-    first = lambda rows, p: rows.groupBy(*on).agg(F.min(F.struct("json", "file")).alias("r")).select(*on, F.col("r.file").alias(f"{p}_file"), F.col("r.json").alias(f"{p}_json"))
-    old, now = first(stored, "old"), first(new, "new")
-    both = old.join(now, on, "full_outer")
-    action = F.when(F.col("old_json").isNull(), "insert").when(F.col("new_json").isNull(), "delete").when(F.col("old_json") != F.col("new_json"), "update")
-    return both.withColumn("action", action).where("action IS NOT NULL").select(*on, "action", "old_file", "new_file")
+    action = F.when(F.col("old_json").isNull(), "insert").when(F.col("new_json").isNull(), "delete").otherwise("update")
+    return compared(stored, new, on).select(*on, action.alias("action"), "old_file", "new_file")
 
 
 def touched_files(changes: DataFrame) -> DataFrame:

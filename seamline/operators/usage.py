@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions.paths import format_access_path, normalize_path
+from seamline.plans.ranks import numbered
 
 
 def call_sites(linked: DataFrame, functions: DataFrame) -> DataFrame:
@@ -51,9 +52,8 @@ def api_usage(linked: DataFrame, reads: DataFrame, functions: DataFrame, endpoin
 
 
 def rank_apis(usage: DataFrame) -> DataFrame:
-    """APIs by the files that use them; ``rank`` counts per repo."""
-    order = W.partitionBy("repo").orderBy(F.desc("files"), F.desc("call_sites"), "api_key")
-    return usage.withColumn("rank", F.row_number().over(order).cast("long"))
+    """APIs by the files that use them; ``rank`` counts per repo. Stores the rows when called."""
+    return numbered(usage, "repo", [F.desc("files"), F.desc("call_sites"), F.col("api_key")], "rank")
 
 
 def field_counts(reads: DataFrame, linked: DataFrame) -> DataFrame:
@@ -74,9 +74,9 @@ def file_apis(linked: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def rank_files(linked: DataFrame, reads: DataFrame) -> DataFrame:
-    """(repo, file, apis, rank): files by the APIs that they call or read."""
+    """(repo, file, apis, rank): files by the APIs that they call or read. Stores the rows when called."""
     counts = file_apis(linked, reads).groupBy("repo", "file").agg(F.count("*").alias("apis"))
-    return counts.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("apis"), "file")).cast("long"))
+    return numbered(counts, "repo", [F.desc("apis"), F.col("file")], "rank")
 
 
 def client_functions(linked: DataFrame, functions: DataFrame) -> DataFrame:

@@ -39,12 +39,13 @@ def stored(df: DataFrame) -> DataFrame:
 
     For larger tables than ``cut``: columnar, compressed, and later reads take only the columns they need.
     """
-    where = _fresh_folder(df.sparkSession)
+    where = fresh_folder(df.sparkSession)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def _fresh_folder(spark: SparkSession) -> str:
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder for a table, in the shared folder; it goes when the application ends."""
     where = f"{shared_folder(spark).rstrip('/')}/seamline-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -56,7 +57,7 @@ class Pile:
     as one scan, so the plan stays as small as in the first round."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.rounds, self.schema = spark, _fresh_folder(spark), [], None
+        self.spark, self.root, self.rounds, self.schema = spark, fresh_folder(spark), [], None
 
     def add(self, df: DataFrame) -> DataFrame:
         """Store ``df`` and return it as a table."""

@@ -3,30 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seamline.operators import store
 
-def latest(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key in a batch."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order), F.desc("json")))
-    return batch.withColumn("_n", n).where("_n = 1").drop("_n")
 
+def upsert_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Apply each micro-batch of changes (repo, id, file, json, ord; json null: deleted) to the stored table at ``path``.
 
-def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Write each micro-batch's changed rows to ``path`` as a version: ``state`` reads the newest of each key.
-
-    Versions are written under the batch's id and overwritten when a batch is repeated, so a restart gives the same
-    table. Rows have keys, ``json`` and ``order``.
+    Each batch is a version with the batch's number as its label, so that one which is repeated after a restart changes
+    nothing, and leaves the files it touched beside it. Changes may come in any order: the largest ``ord`` of a key wins.
     """
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+    def apply(batch: DataFrame, number: int) -> None:
+        store.commit(batch.sparkSession, path, batch.select("repo", "id", "file", "json", "ord"), label=f"batch {number}")
 
-def state(spark, path: str, keys: list[str], order: str) -> DataFrame:
-    """The table after all versions."""
-    return latest(spark.read.parquet(path), keys, order).drop("version")
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
