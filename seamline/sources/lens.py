@@ -165,6 +165,24 @@ LENS = {
   SELECT {_SUP}, 's' || {_K} AS id, {_INNER} AS function_id, 'src/s' || {_K} || '.ts' AS file, CAST(s_suppkey % 90 AS INT) AS line, CASE WHEN s_suppkey % 9 = 4 THEN '/x/' || {_K} || '?a=1' END AS text0, CASE WHEN s_suppkey % 9 <> 4 THEN 1 END AS position0,
     CASE WHEN s_suppkey % 9 = 4 THEN '/y/' || {_K} || '/' END AS text1, CASE WHEN s_suppkey % 9 <> 4 THEN 0 END AS position1 FROM supplier WHERE s_suppkey % 6 >= 2 AND s_suppkey > 2
   UNION ALL SELECT {_LINE}, 'l' || {_O} || lower(l_returnflag), 'g' || CAST(l_suppkey AS STRING), 'src/l.ts', CAST(l_orderkey % 90 AS INT), '/o0/$' || '{{id}}', NULL, CASE WHEN l_partkey % 6 > 0 THEN '/o1/' || lower(l_returnflag) || '/$' || '{{id}}?q=1' END, NULL FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 2) l""",
+    # classes within classes, with supertypes, static imports and constants made of names
+    "scoped_types": "SELECT 'default' AS repo, 'pkg.K' || CAST(s_suppkey AS STRING) AS type, CASE WHEN s_suppkey % 4 IN (1, 2) AND s_suppkey > 2 THEN 'pkg.K' || CAST(s_suppkey - 1 AS STRING) END AS outer_type FROM supplier",
+    "scoped_supers": """
+  SELECT 'default' AS repo, 'pkg.K' || CAST(s_suppkey AS STRING) AS type, 1 AS ord, 'pkg.K' || CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS STRING) AS parent FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey > 0
+  UNION ALL SELECT 'default', 'pkg.K' || CAST(s_suppkey AS STRING), 0, 'pkg.K' || CAST(s_suppkey - 3 AS STRING) FROM supplier WHERE s_suppkey % 5 = 0""",
+    "scoped_imports": """
+  SELECT 'default' AS repo, 'pkg.K' || CAST(s_suppkey AS STRING) AS type, 0 AS ord, 'pkg.K' || CAST(CAST(floor(s_suppkey / 7) AS BIGINT) AS STRING) AS owner, CAST(NULL AS STRING) AS name FROM supplier WHERE s_suppkey % 7 < 2
+  UNION ALL SELECT 'default', 'pkg.K' || CAST(s_suppkey AS STRING), 1, 'pkg.K' || CAST(s_suppkey - 5 AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN 'BASE' ELSE 'PATH' END FROM supplier WHERE s_suppkey % 7 < 5""",
+    # the parts of constants in order: text, name, owner
+    "scoped_parts": f"""
+  SELECT 'default' AS repo, 'pkg.K' || {_K} AS type, 'BASE' AS name, 0 AS i, {_NONE} AS literal, 'BASE' AS ref, 'pkg.K' || CAST(s_suppkey - 12 AS STRING) AS owner FROM supplier WHERE s_suppkey % 12 = 6 AND s_suppkey % 60 <> 6
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'BASE', 1, '/b' || {_K}, {_NONE}, {_NONE} FROM supplier WHERE s_suppkey % 6 = 0
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'PATH', 0, {_NONE}, 'BASE', {_NONE} FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'PATH', 1, '/p' || {_K}, {_NONE}, {_NONE} FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'FULL', 0, {_NONE}, 'PATH', {_NONE} FROM supplier
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'FULL', 1, '/f', {_NONE}, {_NONE} FROM supplier
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'FULL', 2, {_NONE}, 'BASE', 'pkg.K' || CAST(s_suppkey - 2 AS STRING) FROM supplier WHERE s_suppkey % 9 = 2
+  UNION ALL SELECT 'default', 'pkg.K' || {_K}, 'ROUND', 0, {_NONE}, CASE WHEN s_suppkey % 2 = 0 THEN 'ROUND' ELSE 'MISSING' END, {_NONE} FROM supplier WHERE s_suppkey % 11 = 0""",
     "files": "SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS path FROM supplier",
     "imports": """
   SELECT 'repo' || CAST(s_suppkey % 2 AS STRING) AS repo, 'src/s' || CAST(s_suppkey AS STRING) || '.tsx' AS file,

@@ -10,7 +10,7 @@ TABLES = "part lineitem supplier events documents pages".split()
 #: One of each kind, with all those that iterate.
 NAMES = (
     "link_calls", "rank_apis", "search", "dependents", "graph_reach", "merged_graphs", "api_impact", "file_impact", "match_api_keys", "contract_messages", "checked_apis", "type_walk",
-    "dto_usage", "field_impact", "search_types", "diff_params", "diff_contracts", "change_sites", "bound_parameters", "java_types", "scanned_calls", "index_sync", "touched_apis", "merged_ranges", "url_functions", "endpoint_shapes", "inherited_fields", "function_summaries", "api_flow", "api_wrappers", "stored_index", "streamed_index", "enclosing_functions", "rank_files",
+    "dto_usage", "field_impact", "search_types", "diff_params", "diff_contracts", "change_sites", "bound_parameters", "java_types", "scanned_calls", "index_sync", "touched_apis", "merged_ranges", "url_functions", "endpoint_shapes", "inherited_fields", "function_summaries", "api_flow", "api_wrappers", "stored_index", "streamed_index", "enclosing_functions", "rank_files", "scoped_constants",
 )
 
 
