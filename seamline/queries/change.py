@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamline.functions import paths as P
-from seamline.operators import diff, extract, impact, index, review, shapes
+from seamline.operators import diff, extract, impact, index, review
 from seamline.operators.contract import check_contract, contract_result
 from seamline.plans.lineage import stored
 from seamline.queries import change_sql as sql
@@ -41,53 +41,29 @@ def diff_counts(spark, folder):
     return diff.diff_counts(pairs, stored(changes))
 
 
-def _impact(spark, folder):
+def change_impact(spark, folder):
     f = Facts(spark, folder, keep=True)
     pairs, changes, sites = impact.change_impact(f.linked, f.reads, f.functions, *sides(spark, folder))
     return f, pairs, stored(changes), stored(sites)
 
 
 def change_sites(spark, folder):
-    return _impact(spark, folder)[3]
+    return change_impact(spark, folder)[3]
 
 
 def change_report(spark, folder):
-    f, pairs, changes, sites = _impact(spark, folder)
+    f, pairs, changes, sites = change_impact(spark, folder)
     return impact.endpoint_report(pairs, changes, sites, f.linked, f.reads)
 
 
 def ci_gate(spark, folder):
-    f, pairs, changes, sites = _impact(spark, folder)
+    f, pairs, changes, sites = change_impact(spark, folder)
     report = impact.endpoint_report(pairs, changes, sites, f.linked, f.reads)
     get = lambda n: lens(spark, folder, n)
     issues = check_contract(f.linked, f.reads, f.endpoints, get("params"), get("dtos"), get("dto_fields"))
     return impact.ci_gate(impact.change_result(report), contract_result(issues), fail_on="likely", contract_on="warning")
 
 
-def review_merge(spark, folder):
-    """Candidates, snippets from documents as source files, a reviewer that reads its request, and the merged verdicts."""
-    f, pairs, changes, sites = _impact(spark, folder)
-    chosen = stored(review.candidates(sites))
-    docs = table(spark, folder, "documents").select(F.concat(F.lit("src/s"), F.col("doc_id"), F.lit(".tsx")).alias("file"), "text")
-    files = f.files.select("repo", F.col("path").alias("file")).join(docs, "file")
-    spread = chosen.withColumn("line", F.col("line") % 20 + 1)
-    shown_ = stored(review.snippets(review.merge_ranges(review.ranges(spread, f.calls)), review.source_lines(files)))
-    asked = review.requests(changes, spread, shown_, shapes.endpoint_shapes(pairs, *sides(spark, folder)))
-    verdicts = stored(review.run_reviewer(asked, _reviewer))
-    return review.apply_verdicts(spread, verdicts, shown_)
-
-
-def _reviewer(request: dict) -> list[dict]:
-    """Says FAIL with a quote for each odd candidate, and PASS without one for the others."""
-    out = []
-    for c in request["candidates"]:
-        code = next((s["lines"][min(1, len(s["lines"]) - 1)] for s in (request["snippets"] if request["snippets"] is not None else []) if s["file"] == c["file"]), "")
-        odd = c["n"] % 2 == 1
-        first = next((s["first"] for s in (request["snippets"] if request["snippets"] is not None else []) if s["file"] == c["file"]), 1)
-        out.append({"candidate_id": c["candidate_id"], "result": "FAIL" if odd else "PASS", "confidence": 1.5, "reason": "read", "evidence": [{"file": c["file"], "line": int(first) + 1, "code": code if odd else "made up"}]})
-    return out
-
-
 def merged_ranges(spark, folder):
     rows = table(spark, folder, "lineitem").select(F.lit("default").alias("repo"), F.col("l_orderkey").cast("string").alias("endpoint_id"), F.col("l_linestatus").alias("file"), (F.col("l_quantity") * 3).cast("int").alias("line"))
     return review.merge_ranges(rows.select("repo", "endpoint_id", "file", (F.col("line") - 6).alias("first"), (F.col("line") + 6).alias("last")).distinct())
@@ -184,7 +160,7 @@ _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_endpoints, diff_params, diff_contracts, diff_counts, change_sites, change_report, ci_gate, review_merge, merged_ranges, index_sync, touched_apis,
+        diff_endpoints, diff_params, diff_contracts, diff_counts, change_sites, change_report, ci_gate, merged_ranges, index_sync, touched_apis,
         url_functions, name_functions, text_functions, path_functions, page_imports, scanned_calls, spring_mappings, bound_parameters, java_types, callees,
     )
 }
