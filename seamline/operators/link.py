@@ -10,8 +10,8 @@ from seamline.functions.paths import PARAM, api_key, frontend_path, join_path, n
 from seamline.plans.lineage import stored
 
 SIMILAR = 3
-#: Literal segments of a set that is looked up first, and segments of a path whose sets are made at most.
-MANY, WIDE = 4, 12
+#: Literal segments of a path whose sets are made at most, and parts of a set's holders that are cut down one by one.
+WIDE, PARTS = 12, 64
 
 
 def shape(parts: Column) -> Column:
@@ -24,38 +24,37 @@ def literals(parts: Column, other: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s, i: F.when((s != PARAM) & (F.substring(other, i + 1, F.lit(1)) == "-"), s).otherwise("")), "/")
 
 
-def subsets(rows: DataFrame, parts: str, least: int, most: int) -> DataFrame:
-    """``rows`` with ``_key`` for each set of ``least`` to ``most`` literal segments (with their places) of the first WIDE ones."""
+def subsets(rows: DataFrame, parts: str) -> DataFrame:
+    """``rows`` with ``_key`` for each non-empty set of literal segments (with their places) of the first WIDE ones."""
     literal = F.filter(F.transform(F.slice(parts, 1, WIDE), lambda s, i: F.when(s != PARAM, F.concat_ws(":", i.cast("string"), s))), lambda s: s.isNotNull())
-    sets = F.filter(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("_literal")) - 1).cast("int")), lambda m: (F.bit_count(m) >= least) & (F.bit_count(m) <= most))
-    each = rows.withColumn("_literal", literal).withColumn("_set", F.explode(sets))
+    each = rows.withColumn("_literal", literal).where(F.size("_literal") > 0).withColumn("_set", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("_literal")) - 1).cast("int"))))
     return each.withColumn("_key", F.xxhash64(F.filter("_literal", lambda s, i: F.bit_get(F.col("_set"), i) == 1))).drop("_literal", "_set")
 
 
+def first_by(rows: DataFrame, by: list[str], order: list[str | Column], spread: str, most: int) -> DataFrame:
+    """The first ``most`` ``rows`` of each group in ``order``: of each of PARTS parts of a group first (by the hash of
+    ``spread``), then of what they leave, which is PARTS x ``most`` rows at most, whatever the group holds."""
+    for keys in ([*by, "_part"], by):
+        rows = rows if "_part" in rows.columns else rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return rows.drop("_part")
+
+
 def similar_endpoints(far: DataFrame, known: DataFrame, most: int = SIMILAR) -> DataFrame:
     """(repo, endpoint_pattern, similar): of each pattern (repo, endpoint_pattern, fe) the ``most`` endpoints that share most literal segments, then by id.
 
     An endpoint among a pattern's best shares some set of segments with it, and of the endpoints that have the whole set
-    it is among the first ``most`` by id: the others before it would be better ones. So endpoints are kept as short lists
-    by such sets, and a pattern looks up its own sets: work grows with the paths, however many share a segment. Sets of
-    MANY segments or more come first; smaller ones only for patterns that don't have enough. Patterns of more than WIDE
-    segments are met segment by segment instead.
+    it is among the first ``most`` by id: the others before it would be better ones. So only the first ``most`` endpoints
+    of each such set are kept, and a pattern looks up its own sets: work grows with the paths, however many share a
+    segment, and no set's holders meet in one place. Patterns of more than WIDE segments are met segment by segment instead.
     """
     pair = ["repo", "endpoint_pattern", "fe"]
-
-    def looked_up(patterns: DataFrame, least: int, upto: int) -> DataFrame:
-        lists = subsets(known.select("repo", "e_id", "be"), "be", least, upto).groupBy("repo", "_key").agg(F.slice(F.array_sort(F.collect_set(F.struct("e_id", "be"))), 1, most).alias("_es"))
-        met = subsets(patterns, "fe", least, upto).join(lists, ["repo", "_key"])
-        return met.select(*pair, F.explode("_es").alias("e")).select(*pair, "e.*").distinct()
-
-    long = far.where(F.size("fe") > WIDE)
-    parts = long.select(*pair, F.posexplode("fe").alias("place", "part")).where(F.col("part") != PARAM)
-    direct = parts.join(known.select("repo", "e_id", "be", F.posexplode("be").alias("place", "part")), ["repo", "place", "part"]).select(*pair, "e_id", "be").distinct()
-    short = far.where(F.size("fe") <= WIDE)
-    first = stored(looked_up(short, MANY, WIDE))
-    enough = first.groupBy(*pair).count().where(F.col("count") >= most)
-    more = looked_up(short.join(enough, pair, "left_anti"), 1, MANY - 1)
-    scored = first.unionByName(more).unionByName(direct).distinct().withColumn("same", path_similarity(F.col("fe"), F.col("be"))).where("same > 0")
+    holders = known.select("repo", "e_id", "be").distinct()
+    kept = first_by(subsets(holders, "be"), ["repo", "_key"], ["e_id"], "e_id", most)
+    met = subsets(far.where(F.size("fe") <= WIDE), "fe").join(kept, ["repo", "_key"]).select(*pair, "e_id", "be")
+    parts = far.where(F.size("fe") > WIDE).select(*pair, F.posexplode("fe").alias("place", "part")).where(F.col("part") != PARAM)
+    direct = parts.join(holders.select("repo", "e_id", "be", F.posexplode("be").alias("place", "part")), ["repo", "place", "part"]).select(*pair, "e_id", "be")
+    scored = met.unionByName(direct).distinct().withColumn("same", path_similarity(F.col("fe"), F.col("be"))).where("same > 0")
     near = scored.withColumn("rank", F.row_number().over(W.partitionBy("repo", "endpoint_pattern").orderBy(F.desc("same"), "e_id"))).where(F.col("rank") <= most)
     return near.groupBy("repo", "endpoint_pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "e_id"))), lambda x: x["e_id"]).alias("similar"))
 
