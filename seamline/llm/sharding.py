@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Prime; at 48 shards each gets 100 or 101 slots.
 SIZE = 4801
 SHARDS = 48
+#: Places of a shard's order that a turn looks at first.
+PROBES = 64
 
 
 def digits(text: Column, first: int) -> Column:
@@ -25,39 +27,50 @@ def digits(text: Column, first: int) -> Column:
 
 
 def preferences(names: DataFrame, size: int = SIZE) -> DataFrame:
-    """(turn, shard, offset, inverse) of each distinct shard name, in turn order: by name. ``inverse`` undoes the skip modulo ``size``."""
+    """(turn, shard, offset, skip) of each distinct shard name, in turn order: by name."""
     shards = names.select(F.col(names.columns[0]).cast("string").alias("shard")).where("shard IS NOT NULL").distinct()
     ordered = shards.agg(F.array_sort(F.collect_list("shard")).alias("all")).select(F.posexplode("all").alias("turn", "shard"))
     skip = F.pmod(digits(F.col("shard"), 16), F.lit(size - 1)) + 1
-    found = ordered.select("turn", "shard", F.pmod(digits(F.col("shard"), 1), F.lit(size)).alias("offset"), skip.alias("skip"))
-    # the size is prime, so exactly one factor undoes each skip
-    inverse = F.filter(F.sequence(F.lit(1), F.lit(size - 1)), lambda x: (x.cast("long") * F.col("skip")) % size == 1)[0]
-    return found.select("turn", "shard", "offset", inverse.cast("long").alias("inverse"))
+    return ordered.select("turn", "shard", F.pmod(digits(F.col("shard"), 1), F.lit(size)).alias("offset"), skip.alias("skip"))
+
+
+def put(items: Column, at: Column, value: Column) -> Column:
+    """The array with ``value`` at index ``at``."""
+    return F.concat(F.slice(items, F.lit(1), at), F.array(value), F.slice(items, at + 2, F.size(items)))
 
 
 def lookup_table(names: DataFrame, size: int = SIZE) -> DataFrame:
     """(slot, shard): every slot of the table, claimed in turns. ``size`` must be prime. No shard: no row.
 
-    The filling is one fold over ``size`` turns in one row of bounded size. At most ``size`` shards get slots.
+    The filling is one fold over ``size`` turns in one row of bounded size. Each shard keeps a cursor in its order and
+    goes on from there, so that a shard looks at each place of its order once, but for the rest of its last PROBES.
+    At most ``size`` shards get slots.
     """
     if size < 3 or any(size % d == 0 for d in range(2, int(size**0.5) + 1)):
         raise ValueError(f"the table's size must be prime, not {size}")
-    row = preferences(names, size).agg(F.array_sort(F.collect_list(F.struct("turn", "shard", "offset", "inverse"))).alias("p"))
+    row = preferences(names, size).agg(F.array_sort(F.collect_list(F.struct("turn", "shard", "offset", "skip"))).alias("p"))
     row = row.where(F.size("p") > 0)
 
-    def claim(state: Column, turn: Column) -> Column:
-        own = F.get("p", turn % F.size("p"))
-        # rank of a slot in the shard's order, with the slot itself in the low digits
-        rank = F.transform(state["free"], lambda s: F.pmod((s - own["offset"]) * own["inverse"], F.lit(size)) * size + s)
-        slot = F.array_min(rank) % size
-        return F.struct(slot.alias("slot"), state["free"].alias("free"), state["taken"].alias("taken"))
+    word = lambda slot: F.floor(slot / 64).cast("int")  # noqa: E731  free slots are kept as bits, 64 to a word
 
-    def step(state: Column, turn: Column) -> Column:
-        # the chosen slot is computed once, as an array of one element that transform() binds to a name
-        done = F.transform(F.array(claim(state, turn)), lambda c: F.struct(F.array_remove(c["free"], c["slot"]).alias("free"), F.concat(c["taken"], F.array(c["slot"])).alias("taken")))
-        return done[0]
+    def first_free(state: Column, own: Column, start: Column, count: int) -> Column:
+        """(at, slot) of the first place with a free slot among ``count`` places of the shard's order, or null."""
+        places = F.transform(F.sequence(start, F.least(start + (count - 1), F.lit(size - 1).cast("long"))), lambda k: F.struct(k.alias("at"), ((own["offset"] + k * own["skip"]) % size).alias("slot")))
+        return F.get(F.filter(places, lambda x: F.bit_get(F.get(state["free"], word(x["slot"])), (x["slot"] % 64).cast("int")) == 1), F.lit(0))
 
-    start = F.struct(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")).alias("free"), F.array().cast("array<bigint>").alias("taken"))
+    def step(state: Column, turn: Column) -> Column:
+        which = (turn % F.size("p")).cast("int")
+        own, start = F.get("p", which), F.get(state["cursor"], which)
+        # far ahead only where all near places are taken
+        near = F.coalesce(*(first_free(state, own, start, n) for n in (PROBES, 16 * PROBES, size)))
+        # what was found is computed once, as an array of one element that transform() binds to a name
+        claim = lambda c: F.struct(
+            put(state["free"], word(c["slot"]), F.get(state["free"], word(c["slot"])).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (c["slot"] % 64).cast("int")))).alias("free"), put(state["cursor"], which, c["at"] + 1).alias("cursor"), F.concat(state["taken"], F.array(c["slot"])).alias("taken")
+        )
+        return F.get(F.transform(F.array(near), claim), F.lit(0))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array_repeat(F.lit(-1).cast("long"), size // 64 + 1).alias("free"), F.transform("p", lambda _: zero).alias("cursor"), F.array().cast("array<bigint>").alias("taken"))
     filled = row.select("p", F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, step, lambda s: s["taken"]).alias("taken"))
     return filled.select("p", F.posexplode("taken").alias("turn", "slot")).select("slot", F.get("p", F.col("turn") % F.size("p"))["shard"].alias("shard"))
 

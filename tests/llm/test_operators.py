@@ -289,6 +289,23 @@ def test_toxic_segments(odd, none, spark):
     assert {r.predicted for r in segments.score(docs, blank).collect()} == {0}
 
 
+def test_shards_claim_slots_by_turns(spark):
+    for size, n in ((7, 10), (101, 101), (1009, 5), (211, 48)):
+        names = sharding.shard_names(spark, n)
+        shards = sorted(sharding.preferences(names, size).collect(), key=lambda r: r.turn)
+        want, free = {}, set(range(size))
+        for turn in range(size):
+            own = shards[turn % n]
+            slot = next(x for k in range(size) if (x := (own.offset + k * own.skip) % size) in free)
+            free.remove(slot)
+            want[slot] = own.shard
+        assert {r.slot: r.shard for r in sharding.lookup_table(names, size).collect()} == want
+    nothing = spark.createDataFrame([], "shard string")
+    assert sharding.lookup_table(nothing, 7).count() == 0
+    placed = sharding.place(spark.createDataFrame([(1,)], "doc_id long"), sharding.lookup_table(nothing, 7), size=7).first()
+    assert placed.slot is not None and placed.shard is None
+
+
 def test_sharding(odd, none, spark):
     table = sharding.lookup_table(sharding.shard_names(spark, 7), 211)
     slots = {r.slot: r.shard for r in table.collect()}
