@@ -59,7 +59,8 @@ def lookup_table(names: DataFrame, size: int = SIZE) -> DataFrame:
         return F.get(F.filter(places, lambda x: F.bit_get(F.get(state["free"], word(x["slot"])), (x["slot"] % 64).cast("int")) == 1), F.lit(0))
 
     def step(state: Column, turn: Column) -> Column:
-        which = (turn % F.size("p")).cast("int")
+        # the optimizer may fold before it drops the row of no shards
+        which = (turn % F.greatest(F.size("p"), F.lit(1))).cast("int")
         own, start = F.get("p", which), F.get(state["cursor"], which)
         # far ahead only where all near places are taken
         near = F.coalesce(*(first_free(state, own, start, n) for n in (PROBES, 16 * PROBES, size)))
