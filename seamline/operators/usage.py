@@ -134,6 +134,11 @@ def calls_by_endpoint(calls: DataFrame, method: str, pattern: str) -> DataFrame:
     return calls.where((F.col("method") == method) & (F.col("endpoint_pattern") == pattern)).orderBy("file", "id")
 
 
+def reads_of_call(reads: DataFrame, repo: str, call_id: str) -> DataFrame:
+    """The response fields read of one call, in file order."""
+    return reads.where((F.col("repo") == repo) & (F.col("api_call_id") == call_id)).orderBy("file", "line", "col", "id")
+
+
 def match_api_keys(keys: DataFrame, endpoints: DataFrame, query: str) -> DataFrame:
     """(repo, api_key, tier): keys that a query names: 1 exactly, else 2 by normalised path (and method), else 3 by part of the handler."""
     q = query.strip()

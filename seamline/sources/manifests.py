@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOC = "struct<file:string,line:int,column:int>"
-FRONTEND = T._parse_datatype_string(
+FRONTEND = (
     f"repo string, files array<struct<path:string,exports:array<string>,imports:array<struct<source:string,resolvedFile:string,specifiers:array<string>,location:{_LOC}>>>>, "
     f"functions array<struct<id:string,name:string,file:string,params:array<struct<name:string,type:string>>,returnType:string,calls:array<string>,location:{_LOC},containingComponent:string>>, "
     f"apiCalls array<struct<id:string,endpointPattern:string,method:string,calleeExpression:string,resolution:string,wrapperFunctionId:string,callerFunctionId:string,file:string,location:{_LOC},arguments:array<string>,request:struct<queryKeys:array<string>,bodyKeys:array<string>>,code:string>>, "
     f"propertyAccesses array<struct<id:string,apiCallId:string,object:string,path:array<string>,flow:string,file:string,location:{_LOC},containingFunctionId:string,containingComponent:string,code:string>>"
 )
-BACKEND = T._parse_datatype_string(
+BACKEND = (
     f"repo string, endpoints array<struct<id:string,method:string,path:string,handler:string,requestParams:array<struct<name:string,type:string,required:boolean,source:string>>,requestBody:struct<type:string,required:boolean>,response:string,location:{_LOC}>>, "
     f"dtos array<struct<id:string,name:string,typeParameters:array<string>,fields:array<struct<name:string,type:string,nullable:boolean>>,location:{_LOC}>>, enums array<struct<id:string,name:string,values:array<string>>>"
 )
 
 
-def read_manifests(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per manifest file; a missing repo is ``default``. Recursive types stay JSON texts."""
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("repo", F.coalesce("repo", F.lit("default")))
 
@@ -67,8 +66,9 @@ def is_source(path: Column) -> Column:
 def read_sources(spark: SparkSession, root: str, repo: str = "default") -> DataFrame:
     """(repo, file, text) of the analysable files below ``root``, with paths relative to it."""
     whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
-    base = root.rstrip("/") + "/"
-    file = F.regexp_replace("uri", "^.*" + base.replace(".", r"\."), "")
+    # listed as URIs, in which a plus sign stands for itself
+    listed = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    file = F.substring_index(listed, root.rstrip("/") + "/", -1)
     return whole.select(F.lit(repo).alias("repo"), file.alias("file"), "text").where(is_source(F.col("file")))
 
 
