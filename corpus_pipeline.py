@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seamline.llm import crossparse, decontamination, mixing, sharding, superminhash
 from seamline.llm.common import narrowed, without
 from seamline.plans.lineage import cut, stored
+from seamline.plans.ranks import numbered_as_stored
 from seamline.sources.tables import table
 
 
@@ -54,22 +55,28 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: the files by name, and the rows in them, follow the schedule.
+    """All documents, in the order of the mixture: the files by name, and the rows in them, follow the schedule. ``sharded``
+    reads this order and returns it as ``position``.
 
-    Null sources are a source of their own; rows that repeat a doc_id stand in any order among themselves.
+    Null sources are a source of their own; rows that repeat a doc_id, or have none, stand by text, lang and n_chars.
     """
     plain, at = _neutral(docs)
-    placed = mixing.mix(plain, mixing.target_weights(plain, at["source"]), at["source"], at["doc_id"])
+    ties = [at[c] for c in ("text", "lang", "n_chars") if c in at]
+    placed = mixing.mix(plain, mixing.target_weights(plain, at["source"]), at["source"], at["doc_id"], ties=ties)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*plain.columns).toDF(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with slot and shard; a null doc_id has the shard of the empty text, and rows of one doc_id share one.
+    """All documents with slot, shard and position; a null doc_id has the shard of the empty text, and rows of one doc_id share one.
 
-    This last stage adds its columns: a column slot or shard that was there before is replaced.
+    ``position`` is the row's place in the mixture, from 0, as the files of ``docs`` have it: rows of a shard are to be read
+    by it. This last stage adds its columns: a column slot, shard or position that was there before is replaced.
     """
-    return sharding.place(docs, sharding.lookup_table(sharding.shard_names(spark)))
+    plain, at = _neutral(docs)
+    placed = sharding.place(numbered_as_stored(plain, "position"), sharding.lookup_table(sharding.shard_names(spark)), at["doc_id"])
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard", "position")]
+    return placed.select(*(F.col(at[c]).alias(c) for c in kept), "slot", "shard", "position")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminated", decontaminated), ("mixed", mixed), ("sharded", sharded)]

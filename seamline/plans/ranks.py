@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,3 +25,23 @@ def numbered(rows: DataFrame, by: str, order: list[Column], name: str, parts: in
     within = F.row_number().over(W.partitionBy("_range", by).orderBy(*order))
     met = dealt.withColumn("_within", within).join(offsets, F.col("_range").eqNullSafe(F.col("_of")) & F.col(by).eqNullSafe(F.col("_by")), "left")
     return met.select(*rows.columns, (F.col("_within") + F.col("_before")).cast("long").alias(name))
+
+
+def numbered_as_stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``, the row's place in its table, from 0: files by name (parts of a Spark job by number), and rows
+    as they stand in their file.
+
+    Rows that aren't read from files are stored first, which keeps the order of their partitions. Texts aren't shuffled:
+    one count for each file is summed up, and these are broadcast (the driver lists the files anyway).
+    """
+    try:
+        rows.select(rows.metadataColumn("_metadata"))
+    except AnalysisException:
+        rows = stored(rows)
+    file = rows.metadataColumn("_metadata")
+    counts = rows.select(file["file_path"].alias("_path")).groupBy("_path").agg(F.count("*").alias("_n"))
+    part = F.expr(r"try_cast(regexp_extract(_path, 'part-([0-9]+)[^/]*$', 1) AS long)")
+    earlier = W.orderBy(part, F.length("_path"), "_path").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    met = rows.select("*", file["file_path"].alias("_path"), file["row_index"].alias("_row")).join(F.broadcast(offsets), "_path")
+    return met.select(*rows.columns, (F.col("_before") + F.col("_row")).alias(name))
