@@ -13,11 +13,15 @@ from seamline.queries.duck import linked, norm, shown
 from seamline.sources.lens import lens, lens_sql
 
 
+#: What graphs and impacts of files read of linked calls.
+CALLS = ("repo", "id", "api_key", "status", "endpoint_id", "caller_function_id", "wrapper_function_id", "file")
+
+
 class Facts:
     """The lens tables of one folder, linked, each derived when first asked for. ``keep`` stores endpoints and linked
-    calls, for queries that read them several times."""
+    calls, for queries that read them several times: with all columns, or those named, so that no others are shuffled."""
 
-    def __init__(self, spark: SparkSession, folder: str, keep: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, keep: bool | tuple[str, ...] = False):
         self.spark, self.folder, self.keep = spark, folder, keep
 
     def _lens(self, name: str) -> DataFrame:
@@ -46,7 +50,9 @@ class Facts:
     @cached_property
     def linked(self) -> DataFrame:
         found = link.link_calls(self.calls, self.endpoints)
-        return stored(found) if self.keep else found
+        if not self.keep:
+            return found
+        return stored(found if self.keep is True else found.select(*self.keep))
 
     def usage(self) -> DataFrame:
         return usage.api_usage(self.linked, self.reads, self.functions, self.endpoints)
@@ -111,7 +117,7 @@ def client_functions(spark, folder):
 
 
 def blast_radius(spark, folder):
-    f = Facts(spark, folder, keep=True)
+    f = Facts(spark, folder, keep=CALLS)
     return usage.blast_radius(f.linked, f.reads, f.functions)
 
 
@@ -137,22 +143,22 @@ def dependents(spark, folder):
 
 
 def graph_nodes(spark, folder):
-    return Facts(spark, folder, keep=True).graph()[0]
+    return Facts(spark, folder, keep=CALLS).graph()[0]
 
 
 def graph_edges(spark, folder):
-    return Facts(spark, folder, keep=True).graph()[1]
+    return Facts(spark, folder, keep=CALLS).graph()[1]
 
 
 def graph_reach(spark, folder):
-    return graph.reach(*Facts(spark, folder, keep=True).graph())
+    nodes, edges = Facts(spark, folder, keep=CALLS).graph()
+    return graph.reach(nodes, stored(edges))
 
 
 def merged_graphs(spark, folder):
-    f = Facts(spark, folder, keep=True)
-    one = graph.build_graph(f.linked.where("col <= 3"), f.reads, f.functions, f.endpoints, unused=False)
-    two = graph.build_graph(f.linked.where("col >= 3"), f.reads, f.functions, f.endpoints, unused=False)
-    nodes, edges = graph.merge_graphs(one, two)
+    f = Facts(spark, folder, keep=(*CALLS, "col"))
+    halves = [graph.build_graph(f.linked.where(part), f.reads, f.functions, f.endpoints, unused=False) for part in ("col <= 3", "col >= 3")]
+    nodes, edges = graph.merge_graphs(*[tuple(map(stored, half)) for half in halves])
     return nodes.select("repo", "id", "kind", "label", F.lit(None).cast("string").alias("dst")).unionByName(edges.select("repo", F.col("src").alias("id"), "kind", F.lit(None).cast("string").alias("label"), "dst"))
 
 
@@ -164,7 +170,7 @@ def api_impact(spark, folder):
 
 
 def file_impact(spark, folder):
-    f = Facts(spark, folder, keep=True)
+    f = Facts(spark, folder, keep=CALLS)
     return usage.impact_of_files(f.linked, f.reads, f.functions, graph.dependents(lens(spark, folder, "imports")))
 
 

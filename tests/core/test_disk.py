@@ -4,8 +4,10 @@ import os
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from seamline import catalog
 from seamline.operators import review
 from seamline.plans.lineage import stored
 from seamline.queries.review import Review
@@ -32,6 +34,13 @@ def test_a_stored_step_leaves_no_shuffles(spark):
     assert [df.count() for df in (*kept, rows)] == [7, 7, 7]
 
 
+@pytest.mark.parametrize("name", ("graph_edges",))
+def test_no_shuffle_of_an_earlier_step_is_kept(spark, name):
+    before = left_behind(spark)
+    catalog.QUERIES[name](spark, FOLDER)
+    assert not left_behind(spark, before)
+
+
 def test_a_review_keeps_no_shuffle_and_no_snippet(spark):
     before = left_behind(spark)
     made = Review(spark, FOLDER)
