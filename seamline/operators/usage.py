@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions.paths import format_access_path, normalize_path
+from seamline.plans.lineage import stored
 from seamline.plans.ranks import numbered
 
 
@@ -86,34 +89,62 @@ def client_functions(linked: DataFrame, functions: DataFrame) -> DataFrame:
     return met.groupBy("repo", F.col("home").alias("file"), "name").agg(F.count("*").alias("call_sites"), F.count_distinct("api_key").alias("apis"))
 
 
+def _affected(linked: DataFrame, reads: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, clients): distinct (repo, home, kind, what, own) that a change of the file ``home`` may affect, and distinct
+    (repo, file, name) of client functions that other files call.
+
+    Calls get their caller's component and their client's file, and reads get all of that from their call, each in one join
+    that is stored. Pairs within a call or a read need no further join; only calls whose id repeats, and reads of one call
+    from several files, meet each other. ``own`` says that the home calls or reads the API itself.
+    """
+    caller = functions.select("repo", F.col("id").alias("caller_function_id"), F.col("containing_component").alias("component"))
+    client = functions.select("repo", F.col("id").alias("wrapper_function_id"), F.col("name").alias("via"), F.col("file").alias("client_home"))
+    calls = linked.select("repo", F.col("id").alias("api_call_id"), "api_key", F.col("file").alias("call_file"), "caller_function_id", "wrapper_function_id")
+    calls = calls.join(caller, ["repo", "caller_function_id"], "left").drop("caller_function_id").join(client, ["repo", "wrapper_function_id"], "left").drop("wrapper_function_id")
+    calls = stored(calls)
+    seen = reads.where(F.size("path") > 0).select("repo", "api_call_id", "file", "containing_component")
+    seen = stored(seen.join(calls.drop("via"), ["repo", "api_call_id"]).distinct())
+
+    def part(rows: DataFrame, home: str, kind: str, what: str, own: bool = False) -> DataFrame:
+        return rows.select("repo", F.col(home).alias("home"), F.lit(kind).alias("kind"), F.col(what).alias("what"), F.lit(own).alias("own"))
+
+    key, of_call = ["repo", "api_call_id"], (("api", "api_key"), ("file", "call_file"), ("component", "component"))
+    repeated = calls.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+    alike = stored(calls.drop("via").join(repeated, key, "left_semi"))
+    homes = alike.select(*key, F.col("call_file").alias("home")).union(alike.select(*key, "client_home")).where("home IS NOT NULL").distinct()
+    alike = homes.join(alike.drop("client_home").distinct(), key)
+    # reads of one call from several files
+    spread = seen.groupBy(*key).agg(F.min("file").alias("_a"), F.max("file").alias("_b")).where("_a <> _b").select(*key)
+    several = stored(seen.select(*key, "file", "containing_component").join(spread, key, "left_semi").distinct())
+    several = several.select(*key, F.col("file").alias("home")).distinct().join(several, key)
+    # a client's or a reader's home that is the call's own adds nothing to what the call gives
+    apart = lambda rows, home: rows.where(~F.col(home).eqNullSafe(F.col("call_file")))
+    pairs = [
+        *[part(calls, "call_file", kind, what, True) for kind, what in of_call],
+        *[part(apart(calls, "client_home"), "client_home", kind, what) for kind, what in (*of_call, ("file", "client_home"))],
+        *[part(apart(seen, "file"), "file", kind, what, True) for kind, what in of_call],
+        *[part(rows, home, kind, what) for rows, home in ((seen, "call_file"), (apart(seen, "client_home"), "client_home"), (apart(seen, "file"), "file")) for kind, what in (("file", "file"), ("component", "containing_component"))],
+        *[part(alike, "home", kind, what) for kind, what in of_call],
+        part(several, "home", "file", "file"), part(several, "home", "component", "containing_component"),
+    ]
+    pairs = reduce(DataFrame.union, pairs).where("home IS NOT NULL AND what IS NOT NULL")
+    clients = calls.where("client_home <> call_file").select("repo", F.col("client_home").alias("file"), F.col("via").alias("name")).distinct()
+    return pairs.groupBy("repo", "home", "kind", "what").agg(F.max("own").alias("own")), clients
+
+
+def _radius(pairs: DataFrame) -> DataFrame:
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return pairs.groupBy("repo", F.col("home").alias("file")).agg(n("api").alias("apis"), n("file").alias("files"), n("component").alias("components"), F.count_if((F.col("kind") == "api") & F.col("own")).alias("own_apis"))
+
+
 def blast_radius(linked: DataFrame, reads: DataFrame, functions: DataFrame) -> DataFrame:
     """(repo, file, apis, files, components): what a change of each file may affect.
 
     Affected are calls in the file, calls through its client functions, and calls whose response it reads; then all
-    reads of these calls. Everything is computed for all files at once, as distinct pairs before counts.
+    reads of these calls. Everything is computed for all files at once, as distinct pairs before counts. Calls and reads
+    with what they need of each other are stored when this is called.
     """
-    sites = call_sites(linked, functions)
-    own = functions.select("repo", F.col("id").alias("wrapper_function_id"), F.col("file").alias("home"))
-    touched = (
-        linked.select("repo", F.col("file").alias("home"), "id")
-        .union(linked.join(own, ["repo", "wrapper_function_id"]).select("repo", "home", "id"))
-        .union(field_reads(reads, linked).select("repo", "file", "api_call_id"))
-        .distinct()
-    )
-    calls = touched.join(sites.select("repo", "id", "api_key", "file", "component"), ["repo", "id"])
-    seen = touched.withColumnRenamed("id", "api_call_id").join(field_reads(reads, linked).select("repo", "api_call_id", "file", "containing_component"), ["repo", "api_call_id"])
-    pairs = (
-        calls.select("repo", "home", F.lit("api").alias("kind"), F.col("api_key").alias("what"))
-        .union(calls.select("repo", "home", F.lit("file"), "file"))
-        .union(calls.select("repo", "home", F.lit("component"), "component"))
-        .union(seen.select("repo", "home", F.lit("file"), "file"))
-        .union(seen.select("repo", "home", F.lit("component"), "containing_component"))
-        .union(touched.select("repo", "home", F.lit("file"), "home"))
-        .where("what IS NOT NULL")
-        .distinct()
-    )
-    n = lambda kind: F.count_if(F.col("kind") == kind)
-    return pairs.groupBy("repo", F.col("home").alias("file")).agg(n("api").alias("apis"), n("file").alias("files"), n("component").alias("components"))
+    return _radius(_affected(linked, reads, functions)[0]).drop("own_apis")
 
 
 def summary(files: DataFrame, functions: DataFrame, calls: DataFrame, reads: DataFrame) -> DataFrame:
@@ -164,14 +195,13 @@ def impact_of_api(keys: DataFrame, usage: DataFrame, counts: DataFrame) -> DataF
 def impact_of_files(linked: DataFrame, reads: DataFrame, functions: DataFrame, dependents: DataFrame) -> DataFrame:
     """(repo, file, own_apis, clients, dependents, apis, files, components) of every file that uses an API: its own APIs, client
     functions that other files call, files that import it (repo, file, dependent), and what a change of it may affect."""
-    at = ["repo", "file"]
-    own = file_apis(linked, reads).groupBy(*at).agg(F.count("*").alias("own_apis"))
-    clients = client_functions(linked, functions).groupBy(*at).agg(F.count("*").alias("clients"))
-    above = dependents.groupBy(*at).agg(F.count("*").alias("dependents"))
-    found = blast_radius(linked, reads, functions)
-    for part in (own, clients, above):
-        found = found.join(part, at, "left")
-    return found.na.fill(0, ["own_apis", "clients", "dependents"])
+    pairs, named = _affected(linked, reads, functions)
+    clients = named.groupBy("repo", "file").agg(F.count("*").alias("clients"))
+    above = dependents.groupBy("repo", "file").agg(F.count("*").alias("dependents"))
+    found = _radius(pairs)
+    for part in (clients, above):
+        found = found.join(part, ["repo", "file"], "left")
+    return found.na.fill(0, ["clients", "dependents"]).select("repo", "file", "own_apis", "clients", "dependents", "apis", "files", "components")
 
 
 def _has(c: str, text: str) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline import catalog
-from seamline.operators import graph, review
+from seamline.operators import graph, review, usage
 from seamline.plans.lineage import stored
 from seamline.queries.review import Review
 
@@ -34,7 +34,7 @@ def test_a_stored_step_leaves_no_shuffles(spark):
     assert [df.count() for df in (*kept, rows)] == [7, 7, 7]
 
 
-@pytest.mark.parametrize("name", ("graph_reach", "change_sites", "merged_graphs", "graph_edges"))
+@pytest.mark.parametrize("name", ("graph_reach", "change_sites", "merged_graphs", "blast_radius", "graph_edges"))
 def test_no_shuffle_of_an_earlier_step_is_kept(spark, name):
     before = left_behind(spark)
     catalog.QUERIES[name](spark, FOLDER)
@@ -74,6 +74,33 @@ def test_snippets_and_evidence_of_whole_files(spark):
     assert held(review.evidence_in_files(verdicts, merged, lines)) == held(review.evidence_holds(verdicts, want)) != set()
 
 
+def test_radius_of_repeated_calls_equals_brute_force(spark):
+    draw = random.Random(4)
+    functions = [("r", f"g{n}", f"n{n}", f"f{n % 4}", None if n % 3 else f"C{n}") for n in range(8)]
+    by_id = {f[1]: f for f in functions}
+    calls = [("r", f"c{draw.randrange(30)}", f"api{draw.randrange(6)}", "matched", None, draw.choice([None, "g1", "g3", "g6", "ghost"]), draw.choice([None, "g0", "g5", "ghost"]), f"f{draw.randrange(6)}") for _ in range(40)]
+    reads = [("r", f"a{n}", f"c{draw.randrange(34)}", ["x"] if n % 7 else [], f"f{draw.randrange(7)}", draw.choice([None, "D1", "D2"])) for n in range(40)]
+    linked = spark.createDataFrame(calls, "repo string, id string, api_key string, status string, endpoint_id string, caller_function_id string, wrapper_function_id string, file string")
+    seen = spark.createDataFrame(reads, "repo string, id string, api_call_id string, path array<string>, file string, containing_component string")
+    known = spark.createDataFrame(functions, "repo string, id string, name string, file string, containing_component string")
+    ids = {c[1] for c in calls}
+    touched = {(c[7], c[1]) for c in calls} | {(by_id[c[6]][3], c[1]) for c in calls if c[6] in by_id} | {(a[4], a[2]) for a in reads if a[3] and a[2] in ids}
+    pairs = {(home, "file", home) for home, _ in touched}
+    for home, i in touched:
+        for c in (c for c in calls if c[1] == i):
+            pairs |= {(home, "api", c[2]), (home, "file", c[7]), (home, "component", by_id[c[5]][4] if c[5] in by_id else None)}
+        for a in (a for a in reads if a[3] and a[2] == i):
+            pairs |= {(home, "file", a[4]), (home, "component", a[5])}
+    count = lambda home, kind: sum(p[0] == home and p[1] == kind and p[2] is not None for p in pairs)
+    want = {home: tuple(count(home, k) for k in ("api", "file", "component")) for home, _ in touched}
+    assert {r.file: (r.apis, r.files, r.components) for r in usage.blast_radius(linked, seen, known).collect()} == want
+    none = spark.createDataFrame([], "repo string, file string, dependent string")
+    found = {r.file: (r.own_apis, r.clients) for r in usage.impact_of_files(linked, seen, known, none).collect()}
+    own = {(r.file, r.own_apis) for r in usage.file_apis(linked, seen).groupBy("file").agg(F.count("*").alias("own_apis")).collect()}
+    named = {r.file: r.n for r in usage.client_functions(linked, known).groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert found == {home: (dict(own).get(home, 0), named.get(home, 0)) for home in want}
+
+
 def test_reach_of_cycles_equals_brute_force(spark):
     draw = random.Random(5)
     kinds = {"endpoint": [f"api:{n}" for n in range(5)], "field": [f"field:{n}" for n in range(9)], "function": [f"g{n}" for n in range(12)], "file": [f"file:{n}" for n in range(6)]}
