@@ -34,7 +34,7 @@ def test_a_stored_step_leaves_no_shuffles(spark):
     assert [df.count() for df in (*kept, rows)] == [7, 7, 7]
 
 
-@pytest.mark.parametrize("name", ("graph_reach", "file_impact", "change_sites", "merged_graphs", "ci_gate", "blast_radius", "graph_edges"))
+@pytest.mark.parametrize("name", ("graph_reach", "file_impact", "change_sites", "merged_graphs", "ci_gate", "change_report", "blast_radius", "graph_edges"))
 def test_no_shuffle_of_an_earlier_step_is_kept(spark, name):
     before = left_behind(spark)
     catalog.QUERIES[name](spark, FOLDER)
