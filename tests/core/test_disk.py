@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seamline import catalog
 from seamline.operators import graph, review, usage
 from seamline.plans.lineage import stored
+from seamline.queries import review as reviews
 from seamline.queries.review import Review
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,15 +42,26 @@ def test_no_shuffle_of_an_earlier_step_is_kept(spark, name):
     assert not left_behind(spark, before)
 
 
-def test_a_review_keeps_no_shuffle_and_no_snippet(spark):
+@pytest.fixture(scope="module")
+def made(spark):
+    return Review(spark, FOLDER)
+
+
+def test_a_review_keeps_no_shuffle_and_no_snippet(spark, made):
     before = left_behind(spark)
-    made = Review(spark, FOLDER)
-    made.merged()
+    Review(spark, FOLDER).merged()
     assert not left_behind(spark, before)
     plan = made.shown._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "endpoint_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
 
 
+def test_candidates_need_no_lines_around_them(spark, made, monkeypatch):
+    monkeypatch.setattr(reviews, "Review", lambda *_: made)
+    made.__dict__.pop("around", None)
+    monkeypatch.setattr(review, "merge_ranges", None)
+    assert reviews.review_candidates(spark, FOLDER).count() > 0
+
+
 def test_requests_are_not_shuffled_again(spark):
     asked = spark.range(20, numPartitions=5).select(F.lit("r").alias("repo"), F.concat(F.lit("e"), "id").alias("endpoint_id"))
     got = review.run_reviewer(asked, lambda request: [{"candidate_id": "c1"}], parallel=2)
