@@ -68,6 +68,16 @@ def test_errors_are_counted_without_storing_verdicts(spark, made, monkeypatch):
     assert {r.message for r in reviews.review_errors(spark, FOLDER).collect()} == {"no answer on deletes"}
 
 
+@pytest.mark.parametrize("name", ("review_summary",))
+def test_the_reviewer_is_asked_once_and_no_text_is_left(spark, made, monkeypatch, name):
+    monkeypatch.setattr(reviews, "Review", lambda *_: made)
+    asked, answers = [], Review.answers
+    monkeypatch.setattr(Review, "answers", lambda self: asked.append(1) or answers(self))
+    before = left_behind(spark)
+    found = reviews.QUERIES[name](spark, FOLDER)
+    assert asked == [1] and not left_behind(spark, before) and found.count() > 0
+
+
 def test_requests_are_not_shuffled_again(spark):
     asked = spark.range(20, numPartitions=5).select(F.lit("r").alias("repo"), F.concat(F.lit("e"), "id").alias("endpoint_id"))
     got = review.run_reviewer(asked, lambda request: [{"candidate_id": "c1"}], parallel=2)
