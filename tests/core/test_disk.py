@@ -68,7 +68,7 @@ def test_errors_are_counted_without_storing_verdicts(spark, made, monkeypatch):
     assert {r.message for r in reviews.review_errors(spark, FOLDER).collect()} == {"no answer on deletes"}
 
 
-@pytest.mark.parametrize("name", ("review_summary",))
+@pytest.mark.parametrize("name", ("review_summary", "review_verdicts"))
 def test_the_reviewer_is_asked_once_and_no_text_is_left(spark, made, monkeypatch, name):
     monkeypatch.setattr(reviews, "Review", lambda *_: made)
     asked, answers = [], Review.answers
